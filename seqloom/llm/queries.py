@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, sharding, simhash, urlfilter
+from . import editembed, lines, mixing, quality, sharding, simhash, tiling, tokencount, tokenout, urlfilter
 from .common import table
 
 
@@ -35,15 +35,54 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM best WHER
 """
 
 
+def tokenizer_file() -> str:
+    """Place of the public tokenizer that the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.plan(table(spark, sf_dir, "documents"))
+    taken = (F.size("shards") * F.col("size")).cast("long").alias("taken")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenout.round_trip(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+
+
+def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editembed.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file())
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tiling.with_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.get("leaks", F.lit(0))
+    return out.select(
+        "doc_id", (F.size("leaks") > 0).alias("contaminated"), best["item_id"].alias("item_id"),
+        F.coalesce(best["coverage"], F.lit(0.0)).alias("coverage"), F.array_sort(F.col("leaks.item_id")).alias("items"),
+    )
+
+
 def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_boilerplate(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "n_lines", "n_dropped", "kept_text")
@@ -65,8 +104,14 @@ SELECT page_id, host, len(ls)::INT AS n_lines, (len(ls) - len(k))::INT AS n_drop
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
+    "op2_quality": op2_quality,
+    "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
+    "op5_token_ids": op5_token_ids,
+    "op6_edit_embedding": op6_edit_embedding,
+    "op7_token_counts": op7_token_counts,
     "op8_histogram_sort": op8_histogram_sort,
+    "op9_decontamination": op9_decontamination,
     "op10_site_lines": op10_site_lines,
 }
 SQL: dict[str, str] = {"op1_url_rules": OP1_SQL, "op10_site_lines": OP10_SQL}

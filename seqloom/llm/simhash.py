@@ -183,6 +183,7 @@ def _hot_links(hot_keys: DataFrame, fps: DataFrame, how: SimHash) -> DataFrame:
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     by = ["seg", "v", "i", "j"]
+    left, right = ({"l": left, "r": right}[k].select(*[F.col(c).alias(c) for c in (*by, "id", "fp")]) for k in "lr")
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "a bigint, b bigint")
 
 
@@ -226,3 +227,7 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id: str = "doc_id
 #: alters one of them but five shingles; 8 tables of 24 bits with balls of radius 1 find
 #: documents whose five-word shingles overlap by 0.8 with high recall.
 STAGE = SimHash(words=1, longs=4, segment_bits=(24,) * 8, radii=(1,) * 8, distance=28, weighted=True)
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

@@ -27,6 +27,8 @@ from .common import ascii_lower, materialize, release
 
 #: Filters larger than this (all levels, in bits) are not broadcast; rules are then joined.
 MAX_FILTER_BITS = 1 << 29
+#: Positions are taken modulo a prime first, so that keys which collide in one level part in the next.
+PRIME = (1 << 31) - 1
 _A_MASK, _B_MASK = (1 << 40) - 1, (1 << 20) - 1
 
 
@@ -37,8 +39,13 @@ def key_hashes(key: Column) -> list[Column]:
     return [a.alias("a"), b.alias("b")]
 
 
+def _salt(level: int, probe: int) -> int:
+    return 7 * level + probe + 1
+
+
 @dataclass
 class Level:
+    number: int
     bits: int
     probes: int
     words: np.ndarray
@@ -46,7 +53,7 @@ class Level:
     def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = np.ones(len(a), dtype=bool)
         for j in range(self.probes):
-            pos = (a + j * b) % self.bits
+            pos = (a + _salt(self.number, j) * b) % PRIME % self.bits
             ok &= (self.words[pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1) == 1
         return ok
 
@@ -72,11 +79,11 @@ class Cascade:
         return out
 
 
-def _level(keys: DataFrame, n: int, bits_per_key: float) -> Level:
+def _level(number: int, keys: DataFrame, n: int, bits_per_key: float) -> Level:
     """The bits are set by a grouped bit_or, so at most bits / 64 rows reach the driver."""
     bits = max(64, math.ceil(n * bits_per_key))
     probes = max(1, round(bits_per_key * math.log(2)))
-    pos = F.explode(F.array(*[(F.col("a") + F.lit(j) * F.col("b")) % F.lit(bits) for j in range(probes)])).alias("pos")
+    pos = F.explode(F.array(*[(F.col("a") + F.lit(_salt(number, j)) * F.col("b")) % F.lit(PRIME) % F.lit(bits) for j in range(probes)])).alias("pos")
     rows = (
         keys.select(pos)
         .groupBy(F.shiftright("pos", 6).alias("word"))
@@ -86,7 +93,7 @@ def _level(keys: DataFrame, n: int, bits_per_key: float) -> Level:
     words = np.zeros((bits + 63) // 64, dtype=np.uint64)
     for r in rows:
         words[r["word"]] = np.uint64(r["set"] & 0xFFFFFFFFFFFFFFFF)
-    return Level(bits, probes, words)
+    return Level(number, bits, probes, words)
 
 
 def _passing(keys: DataFrame, level: Level) -> DataFrame:
@@ -108,13 +115,13 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_bits: float = 10
         return Cascade()
     if n * (first_bits + 4 * later_bits) > max_bits:
         return None
-    cascade = Cascade([_level(listed, n, first_bits)])
+    cascade = Cascade([_level(0, listed, n, first_bits)])
     other = materialize(_passing(hashed(universe), cascade.levels[0]).distinct().join(listed.select("key"), "key", "left_anti"), "passed")
     inside = listed
     while (n := other.count()) > 0:
         if len(cascade.levels) > 60:
             raise ValueError("two keys share all their hashes")
-        level = _level(other, n, later_bits)
+        level = _level(len(cascade.levels), other, n, later_bits)
         cascade.levels.append(level)
         inside, other = other, materialize(_passing(inside, level), "passed")
     release(listed, inside, other)
