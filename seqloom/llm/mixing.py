@@ -87,15 +87,18 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
 
 
 def _extra(rest: float, next_docs: dict[int, list[int]]) -> dict[int, int]:
-    """How many of the next documents of each class bring the rest nearest to zero, larger first."""
-    out = {}
+    """How many of the next documents of each class fill the rest, larger classes first; at the
+    end one document more, where going over is nearer than staying under."""
+    out = {c: 0 for c in next_docs}
     for c in sorted(next_docs, reverse=True):
-        out[c] = 0
         for size in next_docs[c]:
-            if abs(rest - size) >= abs(rest):
+            if size > rest:
                 break
             rest -= size
             out[c] += 1
+    over = min(((docs[out[c]] - rest, c) for c, docs in next_docs.items() if out[c] < len(docs)), default=(rest, None))
+    if over[0] < rest:
+        out[over[1]] += 1
     return out
 
 
