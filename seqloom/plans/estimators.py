@@ -205,6 +205,69 @@ class CooccurrenceModel(_Fitted):
         return linalg.reduce_cooccurrence(coo, n * len(self.how.windows()), dimension, power, self.how.n_iter > 0)
 
 
+@dataclass(eq=False)
+class MultiSetCooccurrenceVectorizer(_Fit):
+    """Tokens by what shares their set or is in the sets around it; rows (doc_id, sets)."""
+
+    window_radius: int = 5
+    orientation: str = "directional"
+    kernel: str = "flat"
+    kernel_args: dict = field(default_factory=dict)
+    normalize_windows: bool = True
+    n_iter: int = 0
+    epsilon: float = 0.0
+    rules: V.Prune = V.NO_PRUNING
+
+    def _fit(self, df: DataFrame) -> MultiSetCooccurrenceModel:
+        return MultiSetCooccurrenceModel(self, V.require_tokens(V.vocabulary(S.multisets_of_arrays(df), self.rules, df.count())))
+
+
+@dataclass(eq=False)
+class MultiSetCooccurrenceModel(_Fitted):
+    how: MultiSetCooccurrenceVectorizer
+    vocab: DataFrame
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        how = self.how
+        known = S.multisets_of_arrays(df).join(self.vocab.select("token", "idx"), "token")
+        windows = expand(how.orientation, how.window_radius, kernel_of(how.kernel, **how.kernel_args))
+        pairs = lambda n: cooc.multiset_pairs(known, windows, n).withColumn("pos", F.struct("set_pos", "item_pos"))
+        out = cooc.cells(pairs(how.normalize_windows))
+        return cooc.em(pairs(False), out, how.n_iter, how.epsilon) if how.n_iter or how.epsilon > 0 else out
+
+
+@dataclass(eq=False)
+class LabelledTreeCooccurrenceVectorizer(_Fit):
+    """Labels that walks in trees connect. Trees are edges (tree_id, src, dst, weight); their nodes
+    (tree_id, node_id, label) are a parameter, as are the rules on labels."""
+
+    nodes: DataFrame
+    window_radius: int = 5
+    orientation: str = "directional"
+    kernel: str = "flat"
+    kernel_args: dict = field(default_factory=dict)
+    rules: V.Prune = V.NO_PRUNING
+    mask: str | None = None
+
+    def _fit(self, df: DataFrame) -> LabelledTreeCooccurrenceModel:
+        tokens = self.nodes.select(F.col("tree_id").alias("doc_id"), F.col("label").alias("token"))
+        vocab = V.require_tokens(V.vocabulary(tokens, self.rules, tokens.select("doc_id").distinct().count()))
+        return LabelledTreeCooccurrenceModel(self, vocab)
+
+
+@dataclass(eq=False)
+class LabelledTreeCooccurrenceModel(_Fitted):
+    how: LabelledTreeCooccurrenceVectorizer
+    vocab: DataFrame
+    nodes: DataFrame | None = None
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        """(row_label, col_label, value); set nodes for trees other than the fitted ones."""
+        how, nodes = self.how, self.nodes if self.nodes is not None else self.how.nodes
+        keep = self.vocab.select(F.col("token").alias("label"))
+        return graph.tree_cooccurrence(nodes, df, how.window_radius, kernel_of(how.kernel, **how.kernel_args), how.orientation, keep, how.mask)
+
+
 @dataclass(eq=False)
 class EdgeListVectorizer(_Fit):
     rows: DataFrame | None = None

@@ -134,6 +134,8 @@ def test_hyperedges(spark):
     known = rows.join(vocab.select("token", "idx"), "token")
     out = cooc.cells(cooc.multiset_pairs(known, [WindowSpec("before", 0)]))
     assert vocab.count() == 97 and out.count() == 452
+    for rounds in (1, 2):
+        assert E.MultiSetCooccurrenceVectorizer(0, "before", normalize_windows=False, n_iter=rounds).fit_transform(df).count() == 452
 
 
 def test_ngram_rows(seqs):
@@ -169,6 +171,8 @@ def test_trees(spark, seqs):
     names = {r["idx"]: r["token"] for r in same[0].collect()}
     plain = {(names[a], names[b]): v for (a, b), v in cells(same[1], "row_id", "c").items()}
     assert plain == cells(graph.tree_cooccurrence(nodes, edges, 2, orientation="after"), "row_label", "col_label")
+    model = E.LabelledTreeCooccurrenceVectorizer(nodes, 2, rules=V.Prune(min_document_occurrences=2), orientation="after").fit(edges)
+    assert cells(model.transform(edges), "row_label", "col_label") == {("pok", "wer"): 1, ("wer", "pok"): 1}
     with pytest.raises(ValueError, match="orientation"):
         graph.tree_cooccurrence(nodes, edges, 2, orientation="sideways")
 
@@ -368,9 +372,9 @@ def test_bpe(spark):
 
 
 def test_lempel_ziv(spark):
-    # by hand: the empty phrase, "a", "a" again; "" | a | b | a ab?: known "a" grows to "ab"
+    # by hand: "", a, a again; then "", a, b, a known, ab, a known
     assert codecs.lz_phrases("aaa") == {"": 1, "a": 2}
-    assert codecs.lz_phrases("ababab") == {"": 1, "a": 2, "b": 1, "ab": 1}
+    assert codecs.lz_phrases("ababab") == {"": 1, "a": 3, "b": 1, "ab": 1}
     df = spark.createDataFrame([(0, "ababab"), (1, None), (2, "")], "id int, s string")
     counts = codecs.lz_counts(df)
     assert {(r["phrase"], r["n"]) for r in counts.collect()} == set(codecs.lz_phrases("ababab").items())
