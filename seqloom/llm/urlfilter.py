@@ -27,20 +27,18 @@ from .common import ascii_lower, materialize, release
 
 #: Filters larger than this (all levels, in bits) are not broadcast; rules are then joined.
 MAX_FILTER_BITS = 1 << 29
-#: Positions are taken modulo a prime first, so that keys which collide in one level part in the next.
+#: Positions are (a * multiplier + b) modulo this prime, then modulo the filter's bits.
 PRIME = (1 << 31) - 1
-_A_MASK, _B_MASK = (1 << 40) - 1, (1 << 20) - 1
 
 
 def key_hashes(key: Column) -> list[Column]:
-    """Two hashes of a key, small enough that (a + j * b) stays in 63 bits."""
-    a = F.xxhash64(key).bitwiseAND(F.lit(_A_MASK))
-    b = F.xxhash64(key, F.lit(1)).bitwiseAND(F.lit(_B_MASK)).bitwiseOR(F.lit(1))
-    return [a.alias("a"), b.alias("b")]
+    """Two hashes of a key below the prime, so that a * multiplier + b stays in 63 bits."""
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(PRIME)).alias("ab"[i]) for i in (0, 1)]
 
 
 def _salt(level: int, probe: int) -> int:
-    return 7 * level + probe + 1
+    """The multiplier of a probe; one of its own for each, so that no two keys keep colliding."""
+    return (0x9E3779B97F4A7C15 * (64 * level + probe + 1) >> 20) % (PRIME - 1) + 1
 
 
 @dataclass
@@ -53,7 +51,7 @@ class Level:
     def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = np.ones(len(a), dtype=bool)
         for j in range(self.probes):
-            pos = (a + _salt(self.number, j) * b) % PRIME % self.bits
+            pos = (a * _salt(self.number, j) + b) % PRIME % self.bits
             ok &= (self.words[pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1) == 1
         return ok
 
@@ -83,7 +81,7 @@ def _level(number: int, keys: DataFrame, n: int, bits_per_key: float) -> Level:
     """The bits are set by a grouped bit_or, so at most bits / 64 rows reach the driver."""
     bits = max(64, math.ceil(n * bits_per_key))
     probes = max(1, round(bits_per_key * math.log(2)))
-    pos = F.explode(F.array(*[(F.col("a") + F.lit(_salt(number, j)) * F.col("b")) % F.lit(PRIME) % F.lit(bits) for j in range(probes)])).alias("pos")
+    pos = F.explode(F.array(*[(F.col("a") * F.lit(_salt(number, j)) + F.col("b")) % F.lit(PRIME) % F.lit(bits) for j in range(probes)])).alias("pos")
     rows = (
         keys.select(pos)
         .groupBy(F.shiftright("pos", 6).alias("word"))
