@@ -16,7 +16,8 @@ from functools import lru_cache
 import numpy as np
 
 _SAFE = bytes([10, *range(32, 127)])
-_JOIN, _CACHE = 2000, 600_000
+#: Pieces a call of the library, and pieces kept, which take about 160 bytes each.
+_JOIN, _CACHE = 2000, 200_000
 
 
 class Encoder:
@@ -25,6 +26,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces = False
         if path.endswith(".model"):
             import sentencepiece
@@ -43,6 +45,10 @@ class Encoder:
         pre = conf.get("pre_tokenizer") or {}
         self.pieces = (pre.get("type"), pre.get("use_regex", True), pre.get("add_prefix_space")) == ("ByteLevel", True, False) and not conf.get("normalizer")
         self.special = [t["content"] for t in conf.get("added_tokens", [])]
+        if self.pieces:
+            vocab = tok.get_vocab()
+            self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # tokens that begin with a blank
+            self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -62,29 +68,36 @@ class Encoder:
         return bool(text) and text[0] not in " \n" and text[-1] != " " and "  " not in text and " \n" not in text and not any(s in text for s in self.special)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode blank + piece for each new piece, from one text of many of them."""
+        """Encode blank + piece for each new piece, from one text of many of them. Pieces hold no
+        blanks, so a token that begins with one begins a piece."""
         for i in range(0, len(pieces), _JOIN):
             some = pieces[i : i + _JOIN]
-            starts = np.cumsum([0, *[len(p) + 1 for p in some]])[:-1]
-            (e,) = self.tokenizer.encode_batch(["".join([" " + p for p in some])], add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = np.searchsorted(np.array(e.offsets)[:, 0], starts)
-            ends = [*cuts[1:], len(ids)]
-            for p, a, b in zip(some, cuts, ends, strict=True):
-                self.cache[p] = ids[a:b].tobytes()
+            ids = np.array(self.library([" " + " ".join(some)])[0], dtype="<u4")
+            ends = [*np.flatnonzero(self.opens[ids])[1:].tolist(), len(ids)]
+            if len(ends) != len(some):
+                raise ValueError("the file's tokens do not keep blanks at the start of words")
+            body, at = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                self.cache[p] = body[4 * at : 4 * end]
+                at = end
+
+    def _know(self, pieces: set[str]) -> None:
+        """Two generations of pieces: those in use move to the newer, the rest are dropped in time."""
+        new = pieces.difference(self.cache)
+        if len(self.cache) + len(new) > _CACHE:
+            self.older, self.cache, new = self.cache, {}, pieces
+        kept = new.intersection(self.older)
+        self.cache.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+        self._learn(list(new.difference(kept)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return self.whole(texts)
         cut = [t.split(" ") if self._can_cut(t) else None for t in texts]
-        new = set().union(*[c[1:] for c in cut if c]).difference(self.cache)
-        if len(self.cache) + len(new) > _CACHE:
-            self.cache.clear()
-            new = set().union(*[c[1:] for c in cut if c])
-        self._learn(sorted(new))
+        self._know(set().union(*[c[1:] for c in cut if c]))
         odd = [i for i, c in enumerate(cut) if c is None]
-        firsts = [c[0] for c in cut if c]
-        first_ids = dict(zip(set(firsts), self.whole(list(set(firsts))), strict=True))
+        firsts = list({c[0] for c in cut if c})
+        first_ids = dict(zip(firsts, self.whole(firsts), strict=True))
         whole = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
         get = self.cache.__getitem__
         return [whole[i] if c is None else first_ids[c[0]] + b"".join(map(get, c[1:])) for i, c in enumerate(cut)]
@@ -104,7 +117,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches_of(texts: list[str], limit: int = 4_000_000):
+def batches_of(texts: list[str], limit: int = 1_000_000):
     """Ranges of texts with at most `limit` characters each, but one text at least."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -185,21 +185,43 @@ def find(keys: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def fetch(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of what find() returned, from the payloads."""
-    wanted = found.groupBy("shard", "chunk").agg(F.collect_list(F.struct("key", "offset", "n")).alias("wanted"))  # at most CHUNK_DOCS
-    rows = chunks.select("shard", "chunk", "start", "payload").join(wanted, ["shard", "chunk"])
+    """(key, start, n_tokens, ids_crc32) of what find() returned. The tasks that scan the payloads
+    hash each document where it lies, so places and digests are shuffled and payloads are not."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            out = []
             for r in df.itertuples(index=False):
-                body = memoryview(r.payload)
-                for w in r.wanted:
-                    a = 4 * w["offset"]
-                    out.append((w["key"], r.start + w["offset"], w["n"], zlib.crc32(body[a : a + 4 * w["n"]])))
-            yield pd.DataFrame(out, columns=["key", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInPandas(read, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+                body, n = memoryview(r.payload), np.asarray(r.lengths, dtype=np.int64)
+                at = np.cumsum(n) - n
+                crc = [zlib.crc32(body[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
+                yield pd.DataFrame({"shard": r.shard, "chunk": r.chunk, "offset": at, "n_tokens": n, "start": r.start + at, "ids_crc32": crc})
+
+    places = chunks.select("shard", "chunk", "start", "payload", "lengths").mapInPandas(digest, "shard int, chunk int, offset bigint, n_tokens bigint, start bigint, ids_crc32 bigint")
+    met = found.select("key", "shard", "chunk", "offset", F.col("n").alias("n_tokens")).join(places, ["shard", "chunk", "offset", "n_tokens"])
+    return met.select("key", "start", "n_tokens", "ids_crc32")
+
+
+def get(spark: SparkSession, path: str, keys: list[int], most: int = 10_000) -> dict[int, list[int]]:
+    """Ids of the first document of each of a few keys, by the index: only the buckets of the keys
+    and the chunks that hold them are read. Keys that are not there are left out."""
+    if len(keys) > most:
+        raise ValueError(f"more than {most} keys: use find() and the chunks")
+    index = spark.read.schema(_INDEX).parquet(f"{path}/index")
+    head = index.select("buckets").first()
+    if head is None or not keys:
+        return {}
+    wanted = spark.createDataFrame([(k, 0) for k in keys], "key bigint, times int")
+    buckets = [r[0] for r in wanted.select(_bucket("key", head["buckets"])).distinct().collect()]
+    found = find(wanted, index.where(F.col("bucket").isin(buckets))).collect()
+    chunks = spark.read.schema(_CHUNK).parquet(f"{path}/files")
+    out = {}
+    at = {(r["shard"], r["chunk"]) for r in found}
+    held = chunks.where(F.struct("shard", "chunk").isin([F.struct(F.lit(s).alias("shard"), F.lit(c).alias("chunk")) for s, c in at])) if at else chunks.limit(0)
+    bodies = {(r["shard"], r["chunk"]): r["payload"] for r in held.select("shard", "chunk", "payload").toLocalIterator()}
+    for r in found:
+        a = 4 * r["offset"]
+        out[r["key"]] = np.frombuffer(bytes(bodies[r["shard"], r["chunk"]][a : a + 4 * r["n"]]), "<u4").tolist()
+    return out
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id: str = "doc_id", text: str = "text", out: str | None = None) -> DataFrame:

@@ -26,20 +26,34 @@ def ngrams(tokens: DataFrame, n: int, behaviour: str = "exact", token: str = "to
 def ngram_counts(tokens: DataFrame, n: int = 1, behaviour: str = "exact", token_rules: V.Prune = V.NO_PRUNING, gram_rules: V.Prune | None = None, documents: int | None = None, mask: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(columns, matrix): columns (label, idx) and counts (row_id, col_id, value). The same rules
     prune tokens and then grams unless others are given."""
-    vocab = V.require_tokens(V.vocabulary(tokens, token_rules, documents))
-    known = V.encode(tokens, vocab, mask)
-    names = V.add_mask(vocab, mask) if mask else vocab
-    labelled = known.join(names.select("idx", "token"), "idx")
-    grams = ngrams(labelled, n, behaviour)
-    columns = V.vocabulary(grams, gram_rules or token_rules, documents, key="gram").withColumnRenamed("token", "label")
-    return columns, count_matrix(grams, columns)
+    if n == 1 and mask is None:
+        # known tokens and their counts are already in the document counts
+        per = V.document_counts(tokens)
+        stats = V.pruned(V.pruned(V.summed(per), token_rules, documents), gram_rules or token_rules, documents)
+        columns = V.indexed(stats).withColumn("label", F.array("token"))
+        cells = per.join(columns.select("token", F.col("idx").alias("col_id")), "token")
+        return columns.drop("token"), cells.select(F.col("doc_id").alias("row_id"), "col_id", F.col("k").cast("double").alias("value"))
+    per = V.document_counts(ngrams(known_tokens(tokens, V.vocabulary(tokens, token_rules, documents), mask), n, behaviour), "gram")
+    columns = V.indexed(V.pruned(V.summed(per), gram_rules or token_rules, documents)).withColumnRenamed("token", "label")
+    return columns, _cells(per, columns)
+
+
+def known_tokens(tokens: DataFrame, vocab: DataFrame, mask: str | None = None) -> DataFrame:
+    """Rows (doc_id, pos, token) of known tokens in their order, or with the mask in place of others."""
+    if mask is None:
+        return tokens.join(vocab.select("token"), "token", "left_semi").select("doc_id", "pos", "token")
+    known = tokens.join(vocab.select("token", "idx"), "token", "left")
+    return known.select("doc_id", "pos", F.when(F.col("idx").isNotNull(), F.col("token")).otherwise(mask).alias("token"))
 
 
 def count_matrix(grams: DataFrame, columns: DataFrame) -> DataFrame:
     """Counts of known grams; also the transform of new documents, whose unknown grams go."""
-    per = grams.groupBy("doc_id", "gram").agg(F.count("*").alias("value"))
-    out = per.join(columns.select(F.col("label").alias("gram"), F.col("idx").alias("col_id")), "gram")
-    return out.select(F.col("doc_id").alias("row_id"), "col_id", F.col("value").cast("double"))
+    return _cells(V.document_counts(grams, "gram"), columns)
+
+
+def _cells(per: DataFrame, columns: DataFrame) -> DataFrame:
+    out = per.join(columns.select(F.col("label").alias("token"), F.col("idx").alias("col_id")), "token")
+    return out.select(F.col("doc_id").alias("row_id"), "col_id", F.col("k").cast("double").alias("value"))
 
 
 def merge_counts(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -75,7 +89,7 @@ def corpus_skip_grams(encoded: DataFrame, radius: int = 5, kernel: Kernel = flat
 
 def skip_gram_matrix(tokens: DataFrame, vocab: DataFrame, radius: int = 5, kernel: Kernel = flat) -> tuple[DataFrame, DataFrame]:
     """(columns, matrix): columns (head, tail, idx) are the pairs that occur, in index order."""
-    cells = skip_grams(V.encode(tokens, vocab), radius, kernel)
+    cells = skip_grams(V.encode(tokens, vocab, close=False), radius, kernel)
     pairs = cells.select("head", "tail").distinct()
     columns = pairs.withColumn("idx", (F.row_number().over(Window.orderBy("head", "tail")) - 1).cast("long"))
     out = cells.join(columns, ["head", "tail"]).select(F.col("doc_id").alias("row_id"), F.col("idx").alias("col_id"), "value")

@@ -53,10 +53,20 @@ class Prune:
 NO_PRUNING = Prune()
 
 
+def document_counts(tokens: DataFrame, key: str = "token") -> DataFrame:
+    """(token, doc_id, k). Plans that use this table twice, for a vocabulary and for a matrix, share
+    its shuffle."""
+    return tokens.select(F.col(key).alias("token"), "doc_id").groupBy("token", "doc_id").agg(F.count("*").alias("k"))
+
+
+def summed(per: DataFrame) -> DataFrame:
+    """(token, n, df) of document counts."""
+    return per.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("df"))
+
+
 def counts(tokens: DataFrame, key: str = "token") -> DataFrame:
     """(token, n, df) of (doc_id, token) rows."""
-    per = tokens.groupBy(F.col(key).alias("token"), "doc_id").agg(F.count("*").alias("k"))
-    return per.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("df"))
+    return summed(document_counts(tokens, key))
 
 
 def indexed(df: DataFrame, by: str = "token", out: str = "idx") -> DataFrame:
@@ -86,9 +96,13 @@ def prune(stats: DataFrame, rules: Prune, documents: int | None = None) -> DataF
 def vocabulary(tokens: DataFrame, rules: Prune = NO_PRUNING, documents: int | None = None, key: str = "token") -> DataFrame:
     """(token, n, df, idx). documents is needed for document frequencies: the number of rows of
     the table of documents, since empty ones have no token row."""
+    return indexed(pruned(counts(tokens, key), rules, documents))
+
+
+def pruned(stats: DataFrame, rules: Prune, documents: int | None) -> DataFrame:
     if documents is None and (rules.min_document_frequency is not None or rules.max_document_frequency is not None):
         raise ValueError("document frequencies need the number of documents")
-    return indexed(prune(counts(tokens, key), rules, documents))
+    return prune(stats, rules, documents)
 
 
 def fixed_vocabulary(spark, tokens: list) -> DataFrame:
@@ -102,12 +116,15 @@ def require_tokens(vocab: DataFrame) -> DataFrame:
     return vocab
 
 
-def encode(tokens: DataFrame, vocab: DataFrame, mask: str | None = None) -> DataFrame:
+def encode(tokens: DataFrame, vocab: DataFrame, mask: str | None = None, close: bool = True) -> DataFrame:
     """Replace tokens by idx. Without a mask unknown tokens go and positions close up; with one
-    they get the index after the last, and positions stay."""
+    they get the index after the last, and positions stay. Operators that only need the order
+    of positions do without closing, which saves a sort."""
     lookup = vocab.select("token", "idx")
     if mask is None:
         found = tokens.join(lookup, "token").drop("token")
+        if not close:
+            return found
         close = Window.partitionBy("doc_id").orderBy("pos")
         return found.withColumn("pos", (F.row_number().over(close) - 1).cast("int"))
     size = F.broadcast(lookup.where(F.col("token") != mask).agg(F.count("*").alias("__mask")))  # one row

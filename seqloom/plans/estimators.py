@@ -84,9 +84,7 @@ class NgramModel(_Fitted):
     columns: DataFrame | None = None
 
     def grams(self, rows: DataFrame) -> DataFrame:
-        names = V.add_mask(self.vocab, self.how.mask) if self.how.mask else self.vocab
-        known = V.encode(rows, self.vocab, self.how.mask).join(names.select("idx", "token"), "idx")
-        return grams.ngrams(known, self.how.ngram_size, self.how.ngram_behaviour)
+        return grams.ngrams(grams.known_tokens(rows, self.vocab, self.how.mask), self.how.ngram_size, self.how.ngram_behaviour)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return grams.count_matrix(self.grams(_rows(df)), self.columns)
@@ -128,7 +126,7 @@ class SkipgramModel(_Fitted):
         return kernel_of(self.how.kernel, **self.how.kernel_args)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        cells = grams.skip_grams(V.encode(_rows(df), self.vocab), self.how.window_radius, self.kernel)
+        cells = grams.skip_grams(V.encode(_rows(df), self.vocab, close=False), self.how.window_radius, self.kernel)
         return cells.join(self.columns, ["head", "tail"]).select(F.col("doc_id").alias("row_id"), F.col("idx").alias("col_id"), "value")
 
 
@@ -176,7 +174,7 @@ class CooccurrenceModel(_Fitted):
     gram_vocab: DataFrame | None = None
 
     def _contexts(self, rows: DataFrame, normalize: bool) -> DataFrame:
-        how, known = self.how, V.encode(rows, self.vocab)
+        how, known = self.how, V.encode(rows, self.vocab, close=False)
         if how.variant == "timed":
             from ..operators.windows import timed_flat, timed_geometric
 

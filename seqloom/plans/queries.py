@@ -137,14 +137,14 @@ def ngram_merge(spark, d):
 @query
 def skipgram_pairs(spark, d):
     t = _tokens(spark, d)
-    out = grams.skip_grams(V.encode(t, V.vocabulary(t, KNOWN)), 2, harmonic)
+    out = grams.skip_grams(V.encode(t, V.vocabulary(t, KNOWN), close=False), 2, harmonic)
     return out.select("doc_id", "head", "tail", _r("value").alias("value"))
 
 
 @query
 def skipgram_corpus(spark, d):
     t = _tokens(spark, d)
-    return grams.corpus_skip_grams(V.encode(t, V.vocabulary(t, KNOWN)), 3, reverse=True)
+    return grams.corpus_skip_grams(V.encode(t, V.vocabulary(t, KNOWN), close=False), 3, reverse=True)
 
 
 def _cooc(spark, d, windows, **how):
