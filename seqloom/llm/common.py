@@ -59,6 +59,19 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Tables that are broadcast hold at most this many bytes, as JSON.
+MAX_BROADCAST = 16 << 20
+
+
+def small_or_whole(df: DataFrame, tag: str) -> DataFrame:
+    """The table, written, and marked for a broadcast only where its measured size allows. Beyond
+    it a join shuffles both sides, and as this one is read from files, Spark can split the
+    partitions of a hot key on the other."""
+    df = materialize(df, tag)
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= MAX_BROADCAST else df
+
+
 def number_before(totals: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Running sum of `value` before each `key`, for tables of one row a partition or shard."""
     from pyspark.sql import Window

@@ -4,7 +4,9 @@ A line's ratio is the number of a host's pages that contain it over all pages of
 Lines that exceed the ratio are dropped from all pages of that host. At most
 (lines per page) / ratio lines of a host can exceed it, so a host's boilerplate is a
 short list: pages are joined with it on the host alone and filtered in place, and the exploded
-lines are only ever counted (combined before the shuffle).
+lines are only ever counted (combined before the shuffle). The page totals and the lists are
+written and broadcast where they are small, so pages are not shuffled; where they are not,
+Spark splits the partition of a hot host.
 
 Defined cases: lines are trimmed of blanks for comparison, and empty lines are kept; a line
 repeated within a page counts once; hosts with fewer than `min_pages` pages, and pages without
@@ -16,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_or_whole
 from .urlfilter import split_url
 
 RATIO, MIN_PAGES = 0.5, 4
@@ -37,9 +40,9 @@ def drop_boilerplate(pages: DataFrame, url: str = "url", body: str = "html", rat
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("n"))
     # the smallest host that counts already rules out most lines
     often = counts.where(F.col("n") > ratio * min_pages)
-    common = often.join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
+    common = often.join(small_or_whole(totals, "totals"), "host").where(F.col("n") > ratio * F.col("pages"))
     lists = common.groupBy("host").agg(F.collect_list("line").alias("__common"))
-    out = rows.join(lists, "host", "left")
+    out = rows.join(small_or_whole(lists, "lists"), "host", "left")
     common_of = F.coalesce("__common", F.array().cast("array<string>"))
     out = out.withColumn("__kept", F.filter("__lines", lambda x: ~F.array_contains(common_of, line(x))))
     return out.withColumns(

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqloom.llm import editembed, encoder, lines, mixing, quality, sharding, simhash, tiling, tokencount, tokenout, urlfilter
+from seqloom.llm import common, editembed, encoder, lines, mixing, quality, sharding, simhash, tiling, tokencount, tokenout, urlfilter
 from seqloom.llm.queries import QUERIES, SQL, tokenizer_file
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -368,7 +368,9 @@ def test_decontamination_finds_reordered_items(spark, docs, empty, monkeypatch):
 # 10
 
 
-def test_site_lines(spark):
+@pytest.mark.parametrize("most", [common.MAX_BROADCAST, -1])
+def test_site_lines(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MAX_BROADCAST", most)
     rows = [(i, f"https://h.org/{i}", f"menu\nline {i}\nmenu\n{'often' if i < 3 else 'x'}\n") for i in range(6)]
     rows += [(10, "https://few.org/", "menu\nmenu"), (11, None, "menu"), (12, "https://h.org/z", None), (13, "https://h.org/e", "")]
     out = {r["page_id"]: r for r in lines.drop_boilerplate(spark.createDataFrame([(*r, "c") for r in rows], "page_id bigint, url string, html string, host string")).collect()}
