@@ -50,6 +50,8 @@ class SimHash:
     weighted: bool = False
     verify_words: int = 5
     verify_longs: int = 0
+    #: Fingerprints in a bucket beyond which it is compared in blocks (None: HOT).
+    hot: int | None = None
 
     @property
     def compared(self) -> slice:
@@ -199,7 +201,7 @@ def links(fps: DataFrame, how: SimHash) -> DataFrame:
     all links; outside hot buckets every link within reach of the index is itself an edge."""
     keys = materialize(_keys(fps, how), "segments")
     sizes = keys.where(~F.col("probe")).groupBy("seg", "v").agg(F.count("*").alias("n"))
-    hot = materialize(sizes.where(F.col("n") > HOT), "hot")
+    hot = materialize(sizes.where(F.col("n") > (HOT if how.hot is None else how.hot)), "hot")
     any_hot = not hot.isEmpty()
     cool = keys.join(hot, ["seg", "v"], "left_anti") if any_hot else keys
     met = cool.where(~F.col("probe")).select("seg", "v", F.col("id").alias("a")).join(
@@ -234,8 +236,9 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id: str = "doc_id
 #: alters one of them but five shingles: 8 tables of 24 bits with balls of radius 1 then find
 #: documents whose five-word shingles overlap by 0.8 with high recall. 512 further bits of
 #: five-word shingles decide: 92 differing bits stand for an overlap of 0.74, and those of an
-#: overlap of 0.8 are 78 on average with a deviation of 8.
-STAGE = SimHash(words=1, longs=4, segment_bits=(24,) * 8, radii=(1,) * 8, distance=92, weighted=True, verify_longs=8)
+#: overlap of 0.8 are 78 on average with a deviation of 8. A group of near copies meets in
+#: many buckets of the 8 tables, so buckets of more than 8 already give a spanning forest.
+STAGE = SimHash(words=1, longs=4, segment_bits=(24,) * 8, radii=(1,) * 8, distance=92, weighted=True, verify_longs=8, hot=8)
 
 
 def has_words(text: Column) -> Column:
