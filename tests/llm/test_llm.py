@@ -183,6 +183,18 @@ def test_simhash_odd_rows(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [6, 24, 40])
+def test_near_copies_that_differ_in_one_token_meet(spark, size):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    rows = []
+    for i in range(30):
+        words = [word(rng.integers(2, 10)) for _ in range(200)]
+        rows += [(2 * i + k, " ".join([*words[:-1], word(size)])) for k in range(2)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), simhash.STAGE).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 # 5 and 7
 
 
