@@ -18,7 +18,7 @@ gets component_id null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,7 @@ from .components import components
 
 HOT, BLOCK = 48, 1024
 _UNPACK_AT_ONCE, _MIN_AT_ONCE = 1 << 16, 1 << 12
+_EPS = 1e-6
 
 
 @dataclass(frozen=True)
@@ -39,9 +40,10 @@ class SimHash:
     """words: words a shingle; longs: 64-bit parts of a fingerprint; segment_bits and radii:
     the index; distance: the largest that links. With band_rows, the longs are not sums of bits
     but keys of that many min-hashes each over the distinct shingles: two texts share a key with
-    the power band_rows of the overlap of their shingles, however long a word is. With
-    verify_longs, that many further longs of plain shingles of verify_words words follow, which
-    the index does not use, and the distance is theirs."""
+    the power band_rows of the overlap of their shingles, however long a word is. Then a
+    digest of the set of shingles follows, which the index does not use, and a link is not a
+    distance but an overlap (shared shingles over all, of the two sets) of at least `overlap`,
+    counted for each pair that links."""
 
     words: int = 3
     longs: int = 1
@@ -49,15 +51,14 @@ class SimHash:
     radii: tuple[int, ...] = (1, 0)
     distance: int = 2
     band_rows: int = 0
-    verify_words: int = 5
-    verify_longs: int = 0
+    overlap: float = 0.8
     #: Fingerprints in a bucket beyond which it is compared in blocks (None: HOT).
     hot: int | None = None
 
     @property
-    def compared(self) -> slice:
-        """The longs that the distance counts."""
-        return slice(self.longs, self.longs + self.verify_longs) if self.verify_longs else slice(0, self.longs)
+    def exact(self) -> bool:
+        """Whether the shingles themselves decide, not the fingerprints."""
+        return self.band_rows > 0
 
 
 def _bit_sums(h: np.ndarray) -> np.ndarray:
@@ -79,12 +80,18 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, how: SimHash) -> list[int]:
     """Unsigned longs of a text; a bit is 1 if it is set in over half the hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = _words(text)
     if not words:
-        return [0] * (how.longs + how.verify_longs)
+        return [0] * (how.longs + how.exact)
     first = _hashes(words, how.words)
-    out = _bands(np.unique(first), how.longs, how.band_rows) if how.band_rows else _longs(first, how.longs)
-    return out + _longs(_hashes(words, how.verify_words), how.verify_longs) if how.verify_longs else out
+    if not how.exact:
+        return _longs(first, how.longs)
+    first = np.unique(first)
+    return [*_bands(first, how.longs, how.band_rows), xxhash.xxh64_intdigest(first.tobytes(), 42)]
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def _hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -120,6 +127,16 @@ def with_fingerprints(docs: DataFrame, how: SimHash, text: str = "text", out: st
     return docs.withColumn(out, of(F.col(text)))
 
 
+def _with_shingles(docs: DataFrame, how: SimHash) -> DataFrame:
+    """Add `shingles`, the distinct hashes of the shingles of `text` in ascending order."""
+
+    @F.pandas_udf("array<bigint>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_hashes(w, how.words).view(np.int64)) if (w := _words(t)) else [] for t in texts], dtype=object)
+
+    return docs.withColumn("shingles", of("text"))
+
+
 def _segments(how: SimHash) -> list[tuple[int, int, int, int]]:
     """(long, shift, bits, radius) of each segment, from the highest bits on."""
     out, at = [], 0
@@ -161,34 +178,64 @@ def _keys(fps: DataFrame, how: SimHash) -> DataFrame:
 
 
 def _distance(a: str, b: str, how: SimHash) -> Column:
-    parts = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(how.compared.start, how.compared.stop)]
+    parts = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(how.longs)]
     return sum(parts[1:], parts[0])
 
 
-def spanning_forest(ids_a: np.ndarray, fps_a: np.ndarray, ids_b: np.ndarray, fps_b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges, at most one fewer than the nodes, that connect whatever the links between the
-    two blocks connect. fps: (n, longs) of uint64."""
-    parent: dict[int, int] = {}
+def _linked(a: str, b: str, how: SimHash) -> Column:
+    """Whether two fingerprints, or with how.exact two sets of shingles, link."""
+    if not how.exact:
+        return _distance(a, b, how) <= how.distance
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(small >= how.overlap * large - _EPS, shared >= how.overlap * (small + large - shared) - _EPS).otherwise(False)
 
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p] if p in parent else p
-        return x
 
+def spanning_forest(ids_a: np.ndarray, ids_b: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges, at most one fewer than the nodes, that connect whatever the links between the
+    two blocks connect. linked(i, js): which rows js of b link with row i of a; rows that are
+    connected already are not asked for again."""
+    nodes, at = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+    at_a, at_b = at[: len(ids_a)], at[len(ids_a) :]
+    group = np.arange(len(nodes))
     edges = []
-    for i in range(len(ids_a)):
-        d = np.bitwise_count(fps_b ^ fps_a[i]).sum(axis=1, dtype=np.int64)
-        for j in np.flatnonzero(d <= distance):
-            x, y = root(int(ids_a[i])), root(int(ids_b[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
+    for i, x in enumerate(at_a):
+        js = np.flatnonzero(group[at_b] != group[x])
+        for j in js[linked(i, js)] if len(js) else ():
+            if group[at_b[j]] != group[x]:
+                group[group == group[at_b[j]]] = group[x]
                 edges.append((int(ids_a[i]), int(ids_b[j])))
     return edges
 
 
-def _hot_links(hot_keys: DataFrame, fps: DataFrame, how: SimHash) -> DataFrame:
-    """hot_keys(seg, v, id, probe, n): all rows of the hot buckets, n the bucket's table rows."""
-    rows = hot_keys.join(fps, "id")
+def _near(fps_a: np.ndarray, fps_b: np.ndarray, distance: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Links of fingerprints, (n, longs) of uint64."""
+    return lambda i, js: np.bitwise_count(fps_b[js] ^ fps_a[i]).sum(axis=1, dtype=np.int64) <= distance
+
+
+def _overlapping(sets_a: list[np.ndarray], sets_b: list[np.ndarray], overlap: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Links of sets of shingles, each ascending."""
+    size_a, size_b = (np.array([len(x) for x in sets]) for sets in (sets_a, sets_b))
+
+    def linked(i: int, js: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(size_a[i], size_b[js]), np.maximum(size_a[i], size_b[js])
+        out = small >= overlap * large - _EPS
+        kept = js[out]
+        if len(kept):
+            every = np.concatenate([sets_b[j] for j in kept])
+            mine = sets_a[i]
+            hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+            shared = np.add.reduceat(hit, np.cumsum(size_b[kept]) - size_b[kept], dtype=np.int64)
+            out[out] = shared >= overlap * (size_a[i] + size_b[kept] - shared) - _EPS
+        return out
+
+    return linked
+
+
+def _hot_links(hot_keys: DataFrame, nodes: DataFrame, how: SimHash) -> DataFrame:
+    """hot_keys(seg, v, id, probe, n): all rows of the hot buckets, n the bucket's table rows.
+    nodes(id, of): what decides a link."""
+    rows = hot_keys.join(nodes, "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     # table rows of a block meet the rows (table rows of blocks from their own on, or probes) of all
@@ -202,18 +249,24 @@ def _hot_links(hot_keys: DataFrame, fps: DataFrame, how: SimHash) -> DataFrame:
     def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        fp = lambda x: np.array(x["fp"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(x), -1)
-        edges = spanning_forest(a["id"].to_numpy(), fp(a)[:, how.compared], b["id"].to_numpy(), fp(b)[:, how.compared], how.distance)
+        if how.exact:
+            linked = _overlapping(a["of"].tolist(), b["of"].tolist(), how.overlap)
+        else:
+            fp = lambda x: np.array(x["of"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(x), -1)
+            linked = _near(fp(a), fp(b), how.distance)
+        edges = spanning_forest(a["id"].to_numpy(), b["id"].to_numpy(), linked)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     by = ["seg", "v", "i", "j"]
-    left, right = ({"l": left, "r": right}[k].select(*[F.col(c).alias(c) for c in (*by, "id", "fp")]) for k in "lr")
+    left, right = ({"l": left, "r": right}[k].select(*[F.col(c).alias(c) for c in (*by, "id", "of")]) for k in "lr")
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "a bigint, b bigint")
 
 
-def links(fps: DataFrame, how: SimHash) -> DataFrame:
+def links(fps: DataFrame, how: SimHash, texts: DataFrame | None = None) -> DataFrame:
     """fps(id BIGINT, fp), fingerprints distinct -> edges (a, b) whose components are those of
-    all links; outside hot buckets every link within reach of the index is itself an edge."""
+    all links; outside hot buckets every link within reach of the index is itself an edge.
+    With how.exact, fps has text_hash too, the xxhash64 of a row of texts(text), and only texts
+    that meet another are read again for their shingles."""
     keys = materialize(_keys(fps, how), "segments")
     sizes = keys.where(~F.col("probe")).groupBy("seg", "v").agg(F.count("*").alias("n"))
     hot = materialize(sizes.where(F.col("n") > (HOT if how.hot is None else how.hot)), "hot")
@@ -225,21 +278,31 @@ def links(fps: DataFrame, how: SimHash) -> DataFrame:
     pairs = met.where((F.col("a") != F.col("b")) & (F.col("probe") | (F.col("a") < F.col("b")))).select("a", "b")
     if len(how.segment_bits) > 2:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of = lambda end: fps.select(F.col("id").alias(end), F.col("fp").alias(f"fp_{end}"))
-    out = pairs.join(of("a"), "a").join(of("b"), "b").where(_distance("fp_a", "fp_b", how) <= how.distance).select("a", "b")
+    nodes = fps.select("id", F.col("fp").alias("of"))
+    hot_keys = keys.join(hot, ["seg", "v"]) if any_hot else None
+    if how.exact:
+        pairs = materialize(pairs, "pairs")
+        met_ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        met_ids = (met_ids.union(hot_keys.select("id")) if any_hot else met_ids).distinct()
+        wanted = fps.join(met_ids, "id").select("id", "text_hash")
+        sets = _with_shingles(texts.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash"), how)
+        nodes = materialize(sets.groupBy("id").agg(F.first("shingles").alias("of")), "shingles")
+    of = lambda end: nodes.select(F.col("id").alias(end), F.col("of").alias(f"of_{end}"))
+    out = pairs.join(of("a"), "a").join(of("b"), "b").where(_linked("of_a", "of_b", how)).select("a", "b")
     if any_hot:
-        out = out.union(_hot_links(keys.join(hot, ["seg", "v"]), fps, how))
+        out = out.union(_hot_links(hot_keys, nodes, how))
     return out
 
 
 def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component_id) for every row of docs: the fingerprint, and the smallest id
     reachable over links of at most how.distance differing bits, itself included."""
-    rows = materialize(with_fingerprints(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), how).select("id", "fp"), "fingerprints")
-    fps = materialize(rows.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    nodes = fps.select(F.xxhash64("fp").alias("id"), "fp") if how.longs > 1 else fps.select(F.col("fp")[0].alias("id"), "fp")
-    found = components(links(nodes, how))
-    label = fps.withColumn("node", F.xxhash64("fp") if how.longs > 1 else F.col("fp")[0]).join(found, "node", "left")
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = materialize(with_fingerprints(texts, how).select("id", "fp", F.xxhash64("text").alias("text_hash")), "fingerprints")
+    fps = materialize(rows.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("id"), F.min("text_hash").alias("text_hash")), "distinct")
+    node = F.xxhash64("fp") if how.longs > 1 else F.col("fp")[0]
+    found = components(links(fps.select(node.alias("id"), "fp", "text_hash"), how, texts))
+    label = fps.withColumn("node", node).join(found, "node", "left")
     label = label.withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("id").alias("component_id"))
     named = label.join(least, "component").select("fp", "component_id")
@@ -249,11 +312,10 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id: str = "doc_id
 
 #: The pipeline stage. The index is of 20 bands of 4 min-hashes of distinct five-word shingles,
 #: which a changed word alters alike whether it is short or long: of pairs with an overlap of 0.8
-#: one in 37,000 shares no band, and fewer of those above. 512 further bits of five-word shingles
-#: decide: 92 differing bits stand for an overlap of 0.74, and those of an overlap of 0.8 are 78
-#: on average with a deviation of 8. A group of near copies meets in many buckets of the 20
+#: one in 37,000 shares no band, and fewer of those above. Each link is an overlap of at least
+#: 0.8, counted over the shingles. A group of near copies meets in many buckets of the 20
 #: tables, so buckets of more than 8 already give a spanning forest.
-STAGE = SimHash(words=5, longs=20, segment_bits=(64,) * 20, radii=(0,) * 20, distance=92, band_rows=4, verify_longs=8, hot=8)
+STAGE = SimHash(words=5, longs=20, segment_bits=(64,) * 20, radii=(0,) * 20, band_rows=4, overlap=0.8, hot=8)
 
 
 def has_words(text: Column) -> Column:

@@ -1,5 +1,6 @@
 """Operators of the training-data subpackage against brute force, and on awkward rows."""
 
+import dataclasses
 import hashlib
 import json
 import re
@@ -195,6 +196,37 @@ def test_near_copies_that_differ_in_one_token_meet(spark, size):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize(("hot", "block"), [(8, 1024), (0, 5)])
+def test_stage_links_by_the_overlap_of_shingles(spark, monkeypatch, hot, block):
+    """Short texts whose last word differs, a line repeated 2 or 20 times, and a group of near
+    copies: components of the pairs whose distinct five-word shingles overlap by 0.8."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 10)))
+    texts = []
+    for n in [8, 10, 12, 14, 20] * 6:
+        words = [word() for _ in range(n)]
+        texts += [" ".join([*words[:-1], word()]) for _ in range(2)]
+    for _ in range(3):
+        words, line = [word() for _ in range(200)], [word() for _ in range(30)]
+        texts += [" ".join(words + line * k) for k in (2, 20)]
+    base = [word() for _ in range(90)]
+    for k in range(25):
+        near = list(base)
+        near[3 * k] = word()
+        texts.append(" ".join(near))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = simhash.near_duplicates(df, dataclasses.replace(simhash.STAGE, hot=hot)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(group))
+
+
 # 5 and 7
 
 
