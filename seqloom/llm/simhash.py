@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import components
 
-HOT, BLOCK = 48, 1024
+HOT, BLOCK, BLOCK_LONGS = 48, 1024, 1 << 20
 _UNPACK_AT_ONCE, _MIN_AT_ONCE = 1 << 16, 1 << 12
 _EPS = 1e-6
 
@@ -232,19 +232,36 @@ def _overlapping(sets_a: list[np.ndarray], sets_b: list[np.ndarray], overlap: fl
     return linked
 
 
-def _hot_links(hot_keys: DataFrame, nodes: DataFrame, how: SimHash) -> DataFrame:
-    """hot_keys(seg, v, id, probe, n): all rows of the hot buckets, n the bucket's table rows.
-    nodes(id, of): what decides a link."""
-    rows = hot_keys.join(nodes, "id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    # table rows of a block meet the rows (table rows of blocks from their own on, or probes) of all
-    left = rows.where(~F.col("probe")).withColumn("i", own)
-    right = rows.withColumn("side", F.when(F.col("probe"), F.pmod(F.xxhash64("id"), F.lit(1 << 16))).otherwise(own)).withColumn(
-        "i", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.sequence(F.lit(0), own)))
+def _cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(seg, v, id, probe, of) of hot buckets -> the two sides of their cells, (seg, v,
+    probes, i, j, id, of). Table rows and probes are dealt into blocks of their own, by their own
+    counts; a cell is two blocks of table rows, or one of table rows and one of probes. A block
+    has at most about BLOCK rows and BLOCK_LONGS longs, unless a single row has more."""
+    probe = F.col("probe")
+    count = lambda c: (F.sum(F.when(c, 1).otherwise(0)), F.sum(F.when(c, F.size("of")).otherwise(0)))
+    # hashing deals unevenly, so more than one block are planned three quarters full
+    part = lambda n, most: F.when(n <= most, F.lit(1)).otherwise(F.ceil(n * 4 / (3 * most)))
+    number = lambda c: F.greatest(part(count(c)[0], BLOCK), part(count(c)[1], BLOCK_LONGS)).cast("int")
+    blocks = rows.groupBy("seg", "v").agg(number(~probe).alias("own"), number(probe).alias("foreign"))
+    rows = rows.join(blocks, ["seg", "v"])
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda first, last: F.sequence(F.lit(first) if isinstance(first, int) else first, last)
+    cell = lambda probes, i, j: F.struct(F.lit(probes).alias("probes"), i.alias("i"), j.alias("j"))
+    left = F.concat(
+        F.transform(upto(at("own"), F.col("own") - 1), lambda j: cell(False, at("own"), j)),
+        F.transform(upto(0, F.col("foreign") - 1), lambda j: cell(True, at("own"), j)),
+    )
+    right = F.when(probe, F.transform(upto(0, F.col("own") - 1), lambda i: cell(True, i, at("foreign")))).otherwise(
+        F.transform(upto(0, at("own")), lambda i: cell(False, i, at("own")))
     )
-    left = left.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).where(F.col("j") >= F.col("i"))
-    right = right.withColumn("j", F.when(F.col("probe"), F.greatest(F.col("i"), F.pmod("side", blocks))).otherwise(own))
+    side = lambda df, cells: df.select("seg", "v", "id", "of", F.explode(cells).alias("c")).select("seg", "v", "c.*", "id", "of")
+    return side(rows.where(~probe), left), side(rows, right)
+
+
+def _hot_links(hot_keys: DataFrame, nodes: DataFrame, how: SimHash) -> DataFrame:
+    """hot_keys(seg, v, id, probe): all rows of the hot buckets. nodes(id, of): what decides a
+    link."""
+    left, right = _cells(hot_keys.join(nodes, "id").select("seg", "v", "id", "probe", "of"))
 
     def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -257,8 +274,8 @@ def _hot_links(hot_keys: DataFrame, nodes: DataFrame, how: SimHash) -> DataFrame
         edges = spanning_forest(a["id"].to_numpy(), b["id"].to_numpy(), linked)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    by = ["seg", "v", "i", "j"]
-    left, right = ({"l": left, "r": right}[k].select(*[F.col(c).alias(c) for c in (*by, "id", "of")]) for k in "lr")
+    by = ["seg", "v", "probes", "i", "j"]
+    left, right = (x.select(*[F.col(c).alias(c) for c in (*by, "id", "of")]) for x in (left, right))
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "a bigint, b bigint")
 
 

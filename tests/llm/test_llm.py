@@ -196,6 +196,22 @@ def test_near_copies_that_differ_in_one_token_meet(spark, size):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_hot_probes_split_into_blocks(spark, monkeypatch):
+    """A bucket of 9 table rows with 3,000 probes, and one of 700 with 1,000: no side of a cell
+    has over BLOCK rows, and each table row meets each probe and each other table row once."""
+    monkeypatch.setattr(simhash, "BLOCK", 256)
+    buckets = [(0, 9, 3000), (1, 700, 1000)]
+    rows = [(0, v, i, i >= n, [i]) for v, n, p in buckets for i in range(n + p)]
+    left, right = simhash._cells(spark.createDataFrame(rows, "seg int, v bigint, id bigint, probe boolean, of array<bigint>"))
+    by = ["seg", "v", "probes", "i", "j"]
+    for x in (left, right):
+        assert x.groupBy(*by).count().agg(F.max("count")).first()[0] <= 256
+    met = left.join(right.withColumnRenamed("id", "other"), by).select("v", "id", "other").where("id <> other")
+    want = sum(n * p + n * (n - 1) // 2 for _, n, p in buckets)
+    pairs = met.select("v", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    assert pairs.distinct().count() == want
+
+
 @pytest.mark.parametrize(("hot", "block"), [(8, 1024), (0, 5)])
 def test_stage_links_by_the_overlap_of_shingles(spark, monkeypatch, hot, block):
     """Short texts whose last word differs, a line repeated 2 or 20 times, and a group of near
