@@ -427,6 +427,27 @@ def test_wasserstein_vectors(spark, method):
         transport.metric_of("nothing")
 
 
+@pytest.mark.parametrize("method", ["exact", "sinkhorn"])
+def test_transport_queries_use_whole_embeddings(spark, tmp_path, monkeypatch, method):
+    """Vectors against single solutions, on embeddings of 64 numbers that agree in the first 8."""
+    from seqloom.plans.queries import QUERIES
+
+    rng = np.random.default_rng(13)
+    x = np.hstack([np.ones((96, 8)), rng.normal(size=(96, 56))])
+    spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(transport, "compressed", lambda rows, k: (None, rows))
+    got = {r["row_id"]: np.array(r["vec"]) for r in QUERIES[f"lot_{method}"](spark, str(tmp_path)).collect()}
+    groups = {}
+    for i, v in enumerate(x):
+        groups.setdefault(i % 2 * 16 + i % 16, []).append(v)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    centre = np.mean([np.mean(g, axis=0) for g in groups.values()], axis=0)
+    ref = unit(centre + np.random.default_rng(42).normal(scale=0.01, size=(8, 64)))
+    assert set(got) == set(groups)
+    for k, g in groups.items():
+        assert got[k] == pytest.approx(transport.lot_vector(np.ones(len(g)), unit(np.array(g)), ref, np.full(8, 1 / 8), "cosine", method), abs=1e-6)
+
+
 def test_signatures(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(12, 3))
