@@ -176,8 +176,9 @@ def cooc_offset(spark, d):
 def cooc_variable_radius(spark, d):
     t = _tokens(spark, d)
     vocab = V.vocabulary(t, KNOWN)
-    radii = variable_radii(vocab, 2).withColumn("radius", F.least("radius", F.lit(4)))
-    out = cooc.cooccurrence(t, [WindowSpec("after", 4, own_radii=True)], vocab=vocab, radii=radii, normalize=False)[1]
+    radii = variable_radii(vocab, 2)
+    largest = radii.agg(F.max("radius")).first()[0] or 1
+    out = cooc.cooccurrence(t, [WindowSpec("after", largest, own_radii=True)], vocab=vocab, radii=radii, normalize=False)[1]
     return out.select("row_id", "w", F.col("c").alias("col_id"), "value")
 
 

@@ -106,6 +106,24 @@ def test_radii_add_up(seqs):
     assert two == {k: round(one.get(k, 0) + shifted.get(k, 0), 6) for k in {*one, *shifted}}
 
 
+def test_variable_radii_are_not_capped(spark, tmp_path):
+    from seqloom.plans.queries import QUERIES
+
+    words = ["a"] * 100 + list("bcdefg") + ["a"] * 100
+    spark.createDataFrame([(i, " ".join(words)) for i in range(20)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    names = sorted(set(words))
+    f = {w: words.count(w) / len(words) for w in names}
+    norm = sum(x**0.75 for x in f.values())
+    radius = {w: max(1, round(x**-0.25 / norm * 2)) for w, x in f.items()}
+    want = {}
+    for i, w in enumerate(words):
+        for c in words[i + 1 : i + 1 + radius[w]]:
+            k = names.index(w), names.index(c)
+            want[k] = want.get(k, 0) + 20
+    got = QUERIES["cooc_variable_radius"](spark, str(tmp_path)).collect()
+    assert max(radius.values()) > 4 and {(r["row_id"], r["col_id"]): r["value"] for r in got} == want
+
+
 def test_before_is_the_transpose_of_after(seqs):
     rows = S.tokens_of_arrays(seqs(TEXTS))
     run = lambda o: cells(cooc.cooccurrence(rows, [WindowSpec(o, 3)], normalize=False)[1], "row_id", "c")
