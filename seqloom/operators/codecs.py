@@ -6,23 +6,22 @@ strings, distinct ones counted with multiplicity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialize, release
-from .vocab import indexed
+from ..plans.tables import materialize, numbered, release
 
 #: Largest code points of named character sets.
 LIMITS = {"ascii": 127, "common": 2047, "bmp": 65535, "unicode": 1114111}
 
 
-def lz_phrases(text: str, known: frozenset[str] = frozenset(), max_size: int = 1 << 20) -> dict[str, int]:
-    """Counts of the phrases that a growing dictionary parses a string into. The empty phrase
-    counts once and the last character is never part of one."""
+def lz_phrases(text: str, known: Iterable[str] = (), max_size: int = 1 << 20) -> dict[str, int]:
+    """Counts of the phrases that a growing dictionary parses a string into, from the phrases
+    `known` on. The empty phrase counts once and the last character is never part of one."""
     seen = dict.fromkeys(known, 0)
     start = 0
     for end in range(len(text)):
@@ -37,30 +36,35 @@ def lz_phrases(text: str, known: frozenset[str] = frozenset(), max_size: int = 1
     return {p: n for p, n in seen.items() if n}
 
 
-def lz_counts(strings: DataFrame, id: str = "id", text: str = "s", max_size: int = 1 << 16, known: frozenset[str] = frozenset()) -> DataFrame:
-    """(id, phrase, n); a null string has none."""
+def lz_counts(strings: DataFrame, id: str = "id", text: str = "s", max_size: int = 1 << 16, known: Iterable[str] = ()) -> DataFrame:
+    """(id, phrase, n); a null string has none. known: phrases that every string's dictionary begins
+    with."""
     if max_size <= 1:
         raise ValueError("a dictionary has at least 2 places")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            for row, s in zip(df["id"], df["s"], strict=True):
-                found = lz_phrases(s, known, max_size)
-                if found:
-                    yield pd.DataFrame({"id": row, "phrase": list(found), "n": list(found.values())})
+            found = [lz_phrases(s, known, max_size) for s in df["s"]]
+            yield df[["id"]].assign(phrases=[list(f) for f in found], n=[list(f.values()) for f in found])
 
-    rows = strings.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("s"))
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, phrase string, n bigint")
+    known = tuple(known)
+    rows = strings.where(F.col(text).isNotNull()).select(F.struct(F.col(id).alias("id")).alias("id"), F.col(text).alias("s"))
+    kind = dict(strings.select(F.col(id).alias("id")).dtypes)["id"]
+    # the id travels in a struct, so that a null among whole numbers makes none a floating number
+    out = rows.mapInPandas(run, f"id struct<id:{kind}>, phrases array<string>, n array<bigint>")
+    out = out.select("id.id", F.explode(F.arrays_zip("phrases", "n")).alias("x"))
+    return out.select("id", F.col("x.phrases").alias("phrase"), F.col("x.n").alias("n"))
 
 
-def lz_matrix(counts: DataFrame, max_columns: int | None = 1 << 16) -> tuple[DataFrame | None, DataFrame]:
-    """(columns, matrix): phrases hashed into max_columns columns, or each a column of its own."""
+def lz_matrix(counts: DataFrame, max_columns: int | None = 1 << 16, hash_function: Callable[[Column], Column] = F.hash) -> tuple[DataFrame | None, DataFrame]:
+    """(columns, matrix): phrases hashed into max_columns columns by a function from a column to a
+    column of whole numbers, or each a column of its own."""
     if max_columns is not None:
         if max_columns <= 1:
             raise ValueError("at least 2 columns")
-        rows = counts.withColumn("col_id", F.pmod(F.hash("phrase"), F.lit(max_columns)).cast("long"))
+        rows = counts.withColumn("col_id", F.pmod(hash_function(F.col("phrase")), F.lit(max_columns)).cast("long"))
         return None, rows.groupBy(F.col("id").alias("row_id"), "col_id").agg(F.sum("n").cast("double").alias("value"))
-    columns = indexed(counts.select(F.col("phrase").alias("label")).distinct(), "label")
+    columns = numbered(counts.select(F.col("phrase").alias("label")).distinct(), "label")
     out = counts.join(columns, counts["phrase"] == columns["label"]).select(F.col("id").alias("row_id"), F.col("idx").alias("col_id"), F.col("n").cast("double").alias("value"))
     return columns, out
 

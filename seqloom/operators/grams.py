@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import numbered
 from . import vocab as V
 from .windows import Kernel, flat
 
@@ -67,19 +68,24 @@ def merge_counts(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame])
     return columns, parts[0].unionByName(parts[1])
 
 
-def pairs_after(encoded: DataFrame, radius: int, kernel: Kernel = flat, reverse: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, head, tail, w): tokens and what follows them (or comes before) within the radius."""
+def pairs_after(encoded: DataFrame, radius: int, kernel: Kernel = flat, reverse: bool = False, carry: tuple[str, ...] = (), own_radii: str | None = None, mask: int | None = None) -> DataFrame:
+    """(doc_id, head, tail, w): tokens and what follows them (or comes before) within the radius, or
+    within the token's own radius in a column. Pairs with the mask's index are left out."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     step = F.lag if reverse else F.lead
-    near: list[Column] = [F.struct(step("idx", d).over(w).alias("tail"), kernel(d).alias("w")) for d in range(1, radius + 1)]
+    tail = lambda d: step("idx", d).over(w)
+    near: list[Column] = [F.struct((F.when(F.col(own_radii) >= d, tail(d)) if own_radii else tail(d)).alias("tail"), kernel(d).alias("w")) for d in range(1, radius + 1)]
     rows = encoded.select("doc_id", F.col("idx").alias("head"), *carry, F.array(*near).alias("near"))
     rows = rows.select("doc_id", "head", *carry, F.explode("near").alias("x"))
-    return rows.where(F.col("x.tail").isNotNull()).select("doc_id", "head", *carry, "x.tail", "x.w")
+    rows = rows.where(F.col("x.tail").isNotNull())
+    if mask is not None:
+        rows = rows.where((F.col("head") != mask) & (F.col("x.tail") != mask))
+    return rows.select("doc_id", "head", *carry, "x.tail", "x.w")
 
 
-def skip_grams(encoded: DataFrame, radius: int = 5, kernel: Kernel = flat, reverse: bool = False) -> DataFrame:
+def skip_grams(encoded: DataFrame, radius: int = 5, kernel: Kernel = flat, reverse: bool = False, **how) -> DataFrame:
     """(doc_id, head, tail, value): weighted pairs of each document, summed."""
-    return pairs_after(encoded, radius, kernel, reverse).groupBy("doc_id", "head", "tail").agg(F.sum("w").alias("value")).where(F.col("value") > 0)
+    return pairs_after(encoded, radius, kernel, reverse, **how).groupBy("doc_id", "head", "tail").agg(F.sum("w").alias("value")).where(F.col("value") > 0)
 
 
 def corpus_skip_grams(encoded: DataFrame, radius: int = 5, kernel: Kernel = flat, reverse: bool = False) -> DataFrame:
@@ -91,6 +97,6 @@ def skip_gram_matrix(tokens: DataFrame, vocab: DataFrame, radius: int = 5, kerne
     """(columns, matrix): columns (head, tail, idx) are the pairs that occur, in index order."""
     cells = skip_grams(V.encode(tokens, vocab, close=False), radius, kernel)
     pairs = cells.select("head", "tail").distinct()
-    columns = pairs.withColumn("idx", (F.row_number().over(Window.orderBy("head", "tail")) - 1).cast("long"))
+    columns = numbered(pairs, "head", "tail")
     out = cells.join(columns, ["head", "tail"]).select(F.col("doc_id").alias("row_id"), F.col("idx").alias("col_id"), "value")
     return columns, out

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialize
+from ..plans.tables import materialize, numbered
 from .windows import Kernel, flat
 
 
@@ -82,15 +82,13 @@ def tree_cooccurrence(nodes: DataFrame, edges: DataFrame, radius: int = 5, kerne
 def edge_matrix(edges: DataFrame, rows: DataFrame | None = None, columns: DataFrame | None = None, joint: bool = False) -> DataFrame:
     """(row_label, col_label, row_id, col_id, value) of an edge list, duplicates summed. Given
     dictionaries (label, idx) restrict rows and columns; joint numbers both in one space."""
-    from .vocab import indexed
-
     summed = edges.groupBy("row_label", "col_label").agg(F.sum("value").alias("value"))
     names = lambda c: summed.select(F.col(c).alias("label")).distinct()
     if joint:
         given = rows if rows is not None else columns
-        rows = columns = given if given is not None else indexed(names("row_label").union(names("col_label")).distinct(), "label")
-    rows = indexed(names("row_label"), "label") if rows is None else rows
-    columns = indexed(names("col_label"), "label") if columns is None else columns
+        rows = columns = given if given is not None else numbered(names("row_label").union(names("col_label")).distinct(), "label")
+    rows = numbered(names("row_label"), "label") if rows is None else rows
+    columns = numbered(names("col_label"), "label") if columns is None else columns
     out = summed.join(rows.select(F.col("label").alias("row_label"), F.col("idx").alias("row_id")), "row_label")
     out = out.join(columns.select(F.col("label").alias("col_label"), F.col("idx").alias("col_id")), "col_label")
     return out.select("row_label", "col_label", "row_id", "col_id", "value")

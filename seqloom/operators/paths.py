@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialize
 
-def signature(path: np.ndarray, level: int = 2) -> list[np.ndarray]:
-    """Levels 1 to `level` of a piecewise linear path, flat, by the product of the exponentials of
-    its increments."""
-    d = path.shape[1]
-    now = [np.zeros(d**k) for k in range(1, level + 1)]
-    for step in np.diff(path, axis=0):
+
+def multiply(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """The signature of a path followed by another: the tensor product of theirs."""
+    out = []
+    for k in range(len(a)):
+        level = a[k] + b[k]
+        for i in range(k):
+            level = level + np.multiply.outer(a[i], b[k - 1 - i]).ravel()
+        out.append(level)
+    return out
+
+
+def of_steps(steps: np.ndarray, level: int = 2) -> list[np.ndarray]:
+    """Levels 1 to `level`, flat, of the path that makes the steps: the product of the exponentials
+    of its increments."""
+    now = [np.zeros(steps.shape[1] ** k) for k in range(1, level + 1)]
+    for step in steps:
         e = [step]
         for k in range(2, level + 1):
             e.append(np.multiply.outer(e[-1], step).ravel() / k)
-        # highest level first, since each needs the lower ones as they were
-        for k in range(level - 1, -1, -1):
-            more = now[k] + e[k]
-            for i in range(k):
-                more = more + np.multiply.outer(now[i], e[k - 1 - i]).ravel()
-            now[k] = more
+        now = multiply(now, e)
     return now
 
 
+def signature(path: np.ndarray, level: int = 2) -> list[np.ndarray]:
+    """Signature of a piecewise linear path."""
+    return of_steps(np.diff(path, axis=0), level)
+
+
 def log_signature(sig: list[np.ndarray]) -> list[np.ndarray]:
     """The tensor logarithm: sum over n of (-1)^(n+1) / n times powers of the signature less 1."""
     level = len(sig)
@@ -71,7 +86,7 @@ def signatures(paths: DataFrame, level: int = 2, log: bool = False, basepoint: b
             if log:
                 d, sig = x.shape[1], log_signature(sig)
                 words = lyndon_words(d, level)
-                out.append(np.array([sig[len(w) - 1][sum(c * d ** (len(w) - 1 - k) for k, c in enumerate(w))] for w in words]))
+                out.append(np.array([sig[len(w) - 1][_place(w, d)] for w in words]))
             else:
                 out.append(np.concatenate(sig))
         return pd.Series(out, dtype=object)
@@ -79,6 +94,54 @@ def signatures(paths: DataFrame, level: int = 2, log: bool = False, basepoint: b
     return paths.select("path_id", run("points").alias("signature"))
 
 
+def signatures_of_rows(rows: DataFrame, coordinates: list[str], level: int = 2, log: bool = False, block: int = 1000, fan: int = 64) -> DataFrame:
+    """(path_id, signature ARRAY) of long-form paths (path_id, pos, coordinates..), as signatures()
+    gives them, of paths of any length: steps are numbered along the path, a task holds the
+    signature of a block of steps at a time, and blocks are multiplied in order, `fan` at a
+    time. Paths of one point have none."""
+    d = len(coordinates)
+    w = Window.partitionBy("path_id").orderBy("pos")
+    step = F.array(*[(F.lead(c).over(w) - F.col(c)).cast("double") for c in coordinates])
+    last = F.lead(F.lit(True)).over(w).isNull()
+    steps = rows.select("path_id", (F.row_number().over(w) - 1).cast("long").alias("n"), last.alias("last"), step.alias("step")).where(~F.col("last"))
+    sizes = np.cumsum([d**k for k in range(1, level + 1)])
+
+    def ordered(frames: pd.Series) -> Iterator[np.ndarray]:
+        for x in frames:
+            yield np.stack(list(x))
+
+    @F.pandas_udf("array<double>")
+    def blocks(x: pd.Series) -> pd.Series:
+        return pd.Series([np.concatenate(of_steps(s, level)) for s in ordered(x)], dtype=object)
+
+    @F.pandas_udf("array<double>")
+    def product(x: pd.Series) -> pd.Series:
+        return pd.Series([np.concatenate(reduce(multiply, [np.split(s, sizes[:-1]) for s in m])) for m in ordered(x)], dtype=object)
+
+    def packed(df: DataFrame, size: int, value: str) -> DataFrame:
+        groups = df.groupBy("path_id", F.floor(F.col("n") / size).alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("at"), value))).alias("e"))
+        return groups.select("path_id", "n", F.transform("e", lambda e: e[value]).alias("e"))
+
+    now = packed(steps, block, "step").select("path_id", "n", blocks("e").alias("s"))
+    now = materialize(now, "signatures")
+    while (now.agg(F.max("n")).first()[0] or 0) > 0:
+        now = materialize(packed(now, fan, "s").select("path_id", "n", product("e").alias("s")), "signatures")
+    if not log:
+        return now.select("path_id", F.col("s").alias("signature"))
+    words = lyndon_words(d, level)
+
+    @F.pandas_udf("array<double>")
+    def logarithm(x: pd.Series) -> pd.Series:
+        found = [log_signature(np.split(np.asarray(s), sizes[:-1])) for s in x]
+        return pd.Series([np.array([f[len(w) - 1][_place(w, d)] for w in words]) for f in found], dtype=object)
+
+    return now.select("path_id", logarithm("s").alias("signature"))
+
+
+def _place(word: tuple[int, ...], d: int) -> int:
+    return sum(c * d ** (len(word) - 1 - k) for k, c in enumerate(word))
+
+
 def signature_level2(rows: DataFrame, coordinates: list[str]) -> DataFrame:
     """(path_id, i, j, value) of the level 2 terms, and level 1 as j null, for long-form paths
     (path_id, pos, coordinates..), by window functions alone."""

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import before_parts, ranged
+
 
 def _w() -> Window:
     return Window.partitionBy("series_id").orderBy("pos")
@@ -42,29 +44,21 @@ def averaging(n: int) -> list[list[float]]:
     return [[1.0 / n] * n]
 
 
+def _steps(n: int, pairs: list[tuple[int, int]]) -> list[list[float]]:
+    """A row for each pair (from, to) of places: the value at `to` less that at `from`."""
+    return [(np.eye(n)[to] - np.eye(n)[at]).tolist() for at, to in pairs]
+
+
 def differences(n: int, start: int = 0, step: int = 1, stride: int = 1) -> list[list[float]]:
-    out = []
-    for i in range((n - start - step) // stride):
-        row = [0.0] * n
-        row[start + i * stride], row[start + i * stride + step] = -1.0, 1.0
-        out.append(row)
-    return out
+    places = range(start, start + stride * ((n - start - step) // stride), stride)
+    return _steps(n, [(at, at + step) for at in places])
 
 
 def position_velocity(n: int, position: int = 0, step: int = 1, stride: int = 1) -> list[list[float]]:
     """The value at a place, then differences going back from it and forward from it."""
-    pick = [0.0] * n
-    pick[position] = 1.0
-    out = [pick]
-    for i in range((position - step) // stride if position >= step else 0):
-        row = [0.0] * n
-        row[position - i * stride], row[position - i * stride - step] = 1.0, -1.0
-        out.append(row)
-    for i in range((n - position - step) // stride):
-        row = [0.0] * n
-        row[position + i * stride], row[position + i * stride + step] = -1.0, 1.0
-        out.append(row)
-    return out
+    back = range(0, stride * max(0, (position - step) // stride), stride)
+    ahead = range(0, stride * max(0, (n - position - step) // stride), stride)
+    return [np.eye(n)[position].tolist()] + _steps(n, [(position - k - step, position - k) for k in back] + [(position + k, position + k + step) for k in ahead])
 
 
 def weighted(weights: list[float], n: int) -> list[list[float]]:
@@ -105,16 +99,30 @@ def apply_function(windows: DataFrame, f: Callable[[np.ndarray], np.ndarray]) ->
     return windows.withColumn("values", run("points"))
 
 
+def of_values(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """Mark a function of a window's values as one, for lists of kernels."""
+    f.of_values = True
+    return f
+
+
 def sequential_differences(series: DataFrame, stride: int = 1) -> DataFrame:
     """(series_id, pos, x): x[i + stride] - x[i]."""
     return series.select("series_id", "pos", (F.lead("x", stride).over(_w()) - F.col("x")).alias("x")).where(F.col("x").isNotNull())
 
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function of x > 0, by Stirling's series after eight steps up."""
+    steps = F.ln(x)
+    for i in range(1, 8):
+        steps = steps + F.ln(x + i)
+    y = x + 8.0
+    series_ = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0))) - 1 / (1680 * F.pow(y, F.lit(7.0)))
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series_ - steps
+
+
 def log_binomial(n: Column, k: Column) -> Column:
-    """ln C(n, k) for whole k, as a sum of k logarithms."""
-    terms = F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1)))
-    total = F.aggregate(terms, F.lit(0.0), lambda a, i: a + F.ln((n - k + i) / i))
-    return F.when(k < 1, F.lit(0.0)).otherwise(total)
+    """ln C(n, k), whatever their size."""
+    return F.when(k < 1, F.lit(0.0)).otherwise(log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0))
 
 
 def count_changepoints(series: DataFrame, width: int = 10, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
@@ -163,10 +171,12 @@ def outlier_bins(bins: DataFrame, n: int, low: float = float("-inf"), high: floa
 
 def mass_bins(series: DataFrame, n: int = 20) -> DataFrame:
     """Bins that hold about equal sums of values: a border where the running sum of the sorted
-    values first passes k / n of the total. Values are summed by value first, so the running sum
-    goes over distinct values."""
-    by_value = series.groupBy(F.col("x").cast("double").alias("x")).agg(F.sum(F.col("x").cast("double")).alias("m"))
-    running = by_value.select("x", F.sum("m").over(Window.orderBy("x")).alias("cum")).crossJoin(F.broadcast(by_value.agg(F.sum("m").alias("total"))))
+    values first passes k / n of the total. Values are summed by value first, and the running sum
+    goes over ranges of distinct values, each in a task of its own."""
+    by_value = ranged(series.groupBy(F.col("x").cast("double").alias("x")).agg(F.sum(F.col("x").cast("double")).alias("m")), "x")
+    inside = F.sum("m").over(Window.partitionBy("part").orderBy("x"))
+    running = by_value.withColumn("inside", inside).join(before_parts(by_value, F.col("m")), "part").select("x", (F.col("inside") + F.col("before")).alias("cum"))
+    running = running.crossJoin(F.broadcast(by_value.agg(F.sum("m").alias("total"))))  # one row
     step = running.withColumn("k", F.least(F.lit(n - 1), F.floor(F.col("cum") * n / F.col("total"))))
     borders = step.groupBy("k").agg(F.min("x").alias("hi")).where(F.col("k") >= 1)
     w = Window.orderBy("hi")
@@ -215,20 +225,40 @@ def grid_of(series: DataFrame, n: int = 50, strategy: str = "uniform") -> DataFr
     raise ValueError("the grid is uniform or density")
 
 
-def kde(series: DataFrame, grid: DataFrame, bandwidth: float) -> DataFrame:
-    """(series_id, g, density): Gaussian density of each series at the places of a grid, a few
-    rows that every task gets."""
-    z = (F.col("at") - F.col("x")) / bandwidth
+def _sphere(u: Column) -> Column:
+    return F.when(F.abs(u) <= 1, F.lit(1.0)).otherwise(0.0)
+
+
+#: Densities by name: the kernel at distance u, in bandwidths, and its integral.
+DENSITIES: dict[str, tuple[Callable[[Column], Column], float]] = {
+    "gaussian": (lambda u: F.exp(-0.5 * u * u), math.sqrt(2 * math.pi)),
+    "tophat": (_sphere, 2.0),
+    "epanechnikov": (lambda u: (1 - u * u) * _sphere(u), 4 / 3),
+    "exponential": (lambda u: F.exp(-F.abs(u)), 2.0),
+    "linear": (lambda u: (1 - F.abs(u)) * _sphere(u), 1.0),
+    "cosine": (lambda u: F.cos(u * (math.pi / 2)) * _sphere(u), 4 / math.pi),
+}
+
+
+def kde(series: DataFrame, grid: DataFrame, bandwidth: float, kernel: str = "gaussian") -> DataFrame:
+    """(series_id, g, density): density of each series at the places of a grid, a few rows that
+    every task gets. kernel: a name in DENSITIES."""
+    if kernel not in DENSITIES:
+        raise ValueError(f"unknown kernel {kernel!r}: {sorted(DENSITIES)}")
+    value, whole = DENSITIES[kernel]
     rows = series.crossJoin(F.broadcast(grid))
-    return rows.groupBy("series_id", "g").agg((F.avg(F.exp(-0.5 * z * z)) / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+    u = (F.col("at") - F.col("x")) / bandwidth
+    return rows.groupBy("series_id", "g").agg((F.avg(value(u)) / (bandwidth * whole)).alias("density"))
 
 
 def jackknife_bandwidth(series: DataFrame, n: int = 50) -> float:
     """The bandwidth, of n log-spaced ones, under which the other values of a series make each
     value likeliest. Values meet within their series, in blocks of a task's memory."""
-    w = Window.orderBy("x")
-    gaps = series.select(F.col("x").cast("double").alias("x")).distinct().select((F.col("x") - F.lag("x").over(w)).alias("g"))
-    least = gaps.where(F.col("g") > 0).agg(F.min("g")).first()[0]
+    values = ranged(series.select(F.col("x").cast("double").alias("x")).distinct(), "x")
+    gap = F.col("x") - F.lag("x").over(Window.partitionBy("part").orderBy("x"))
+    ends = values.groupBy("part").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # a row a range
+    border = ends.select((F.col("lo") - F.lag("hi").over(Window.orderBy("part"))).alias("g"))
+    least = values.select(gap.alias("g")).unionByName(border).where(F.col("g") > 0).agg(F.min("g")).first()[0]
     lo, hi, rows, ids = series.agg(F.min("x"), F.max("x"), F.count("*"), F.count_distinct("series_id")).first()
     if not least:
         return 1.0

@@ -49,10 +49,23 @@ def timed_flat(gap: Column, delta: Column) -> Column:
     return F.lit(1.0)
 
 
+def timed_kernel_of(kernel: str | Callable, **args) -> Callable[[Column, Column], Column]:
+    """A named kernel of time gaps, or any callable from a gap and the mean gap to a column."""
+    if isinstance(kernel, str):
+        if kernel not in TIMED_KERNELS:
+            raise ValueError(f"unknown kernel {kernel!r}: {sorted(TIMED_KERNELS)}")
+        return TIMED_KERNELS[kernel](**args)
+    return kernel
+
+
 def timed_geometric(power: float = 0.9) -> Callable[[Column, Column], Column]:
     return lambda gap, delta: F.pow(F.lit(power), F.abs(gap) / delta)
 
 
+#: Kernels of time gaps by name.
+TIMED_KERNELS: dict[str, Callable[..., Callable]] = {"flat": lambda: timed_flat, "geometric": timed_geometric}
+
+
 def variable_radii(vocab: DataFrame, size: int, power: float = 0.75) -> DataFrame:
     """(idx, radius): rarer tokens look further. r = f^(power-1) / sum f^power, times size; below
     one is one, else rounded half to even."""
@@ -64,16 +77,31 @@ def variable_radii(vocab: DataFrame, size: int, power: float = 0.75) -> DataFram
     return f.crossJoin(norm).select("idx", r.cast("int").alias("radius"))
 
 
+WindowFunction = Callable[[DataFrame, int], DataFrame]
+
+#: Window functions by name: from a vocabulary (token, idx, n) and a size to (idx, radius); none
+#: is the same radius for all.
+WINDOWS: dict[str, WindowFunction | None] = {"fixed": None, "variable": variable_radii}
+
+
+def window_function(window: str | WindowFunction) -> WindowFunction | None:
+    """A named window function, or any callable from a vocabulary and a size to (idx, radius)."""
+    if isinstance(window, str) and window not in WINDOWS:
+        raise ValueError(f"unknown window function {window!r}: {sorted(WINDOWS)}")
+    return WINDOWS[window] if isinstance(window, str) else window
+
+
 @dataclass(frozen=True)
 class WindowSpec:
     """One window: what lies before or after, up to a radius (the same for all tokens, or the
-    token's own up to that), with a kernel and a weight among the windows."""
+    token's own up to that), with a kernel and a weight among the windows. own_radii: the
+    column of the tokens' radii."""
 
     orientation: str = "after"
     radius: int = 5
     kernel: Kernel = flat
     mix: float = 1.0
-    own_radii: bool = False
+    own_radii: str | None = None
 
     def __post_init__(self):
         if self.orientation not in ("before", "after"):
@@ -84,7 +112,7 @@ class WindowSpec:
         return "pre" if self.orientation == "before" else "post"
 
 
-def expand(orientation: str, radius: int = 5, kernel: Kernel = flat, mix: float = 1.0, own_radii: bool = False) -> list[WindowSpec]:
+def expand(orientation: str, radius: int = 5, kernel: Kernel = flat, mix: float = 1.0, own_radii: str | None = None) -> list[WindowSpec]:
     """Windows of an orientation: "directional" is before and after side by side, "symmetric" is
     both in one block of columns."""
     if orientation in ("before", "after"):

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..operators import codecs, cooc, frames, grams, graph, linalg, mixture, paths, series, transport, weight
 from ..operators import vocab as V
-from ..operators.windows import WindowSpec, expand, kernel_of
+from ..operators.windows import WindowSpec, expand, kernel_of, timed_kernel_of, window_function
 from ..sources import sequences as S
+from .tables import numbered
 
 
 class _Params:
@@ -58,22 +59,39 @@ def _documents(df: DataFrame) -> int:
     return df.count() if "token" not in df.columns else df.select("doc_id").distinct().count()
 
 
+def _vocabulary(rows: DataFrame, given: list | None, rules: V.Prune, documents: int | None) -> DataFrame:
+    """(token, idx, n, df): a given list of tokens in its order, with their counts, or what the
+    rules leave."""
+    if given is None:
+        return V.require_tokens(V.vocabulary(rows, rules, documents))
+    fixed = V.fixed_vocabulary(rows.sparkSession, list(given)).join(V.counts(rows), "token", "left")
+    return fixed.select("token", F.col("idx").cast("long").alias("idx"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("df", F.lit(0)).alias("df"))
+
+
 @dataclass(eq=False)
 class NgramVectorizer(_Fit):
-    """Documents by n-grams, counted. Rules prune tokens and then grams."""
+    """Documents by n-grams, counted. Rules prune tokens and then grams, unless dictionaries are
+    given. A mask stands for other tokens; with nullify_mask grams that hold it do not count."""
 
     ngram_size: int = 1
     ngram_behaviour: str = "exact"
     rules: V.Prune = V.NO_PRUNING
     mask: str | None = None
+    token_dictionary: list | None = None
+    ngram_dictionary: list | None = None
+    nullify_mask: bool = False
     metric_ = "hellinger"
 
     def _fit(self, df: DataFrame) -> NgramModel:
         needs = self.rules.min_document_frequency is not None or self.rules.max_document_frequency is not None
         documents, rows = _documents(df) if needs else None, _rows(df)
-        vocab = V.require_tokens(V.vocabulary(rows, self.rules, documents))
-        model = NgramModel(self, vocab)
-        model.columns = V.vocabulary(model.grams(rows), self.rules, documents, key="gram").withColumnRenamed("token", "label")
+        model = NgramModel(self, _vocabulary(rows, self.token_dictionary, self.rules, documents))
+        if self.ngram_dictionary is None:
+            model.columns = V.vocabulary(model.grams(rows), self.rules, documents, key="gram").withColumnRenamed("token", "label")
+        else:
+            kind = dict(rows.dtypes)["token"]
+            grams_ = [([g] if isinstance(g, str) or not hasattr(g, "__iter__") else list(g), i) for i, g in enumerate(self.ngram_dictionary)]
+            model.columns = rows.sparkSession.createDataFrame(grams_, f"label array<{kind}>, idx bigint")
         return model
 
 
@@ -84,7 +102,8 @@ class NgramModel(_Fitted):
     columns: DataFrame | None = None
 
     def grams(self, rows: DataFrame) -> DataFrame:
-        return grams.ngrams(grams.known_tokens(rows, self.vocab, self.how.mask), self.how.ngram_size, self.how.ngram_behaviour)
+        out = grams.ngrams(grams.known_tokens(rows, self.vocab, self.how.mask), self.how.ngram_size, self.how.ngram_behaviour)
+        return out.where(~F.array_contains("gram", self.how.mask)) if self.how.nullify_mask and self.how.mask is not None else out
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return grams.count_matrix(self.grams(_rows(df)), self.columns)
@@ -99,19 +118,34 @@ class NgramModel(_Fitted):
         return NgramModel(self.how, V.merged_vocabulary(self.vocab, other.vocab), columns)
 
 
+def _encoded(rows: DataFrame, vocab: DataFrame, mask: str | None, radii: DataFrame | None) -> DataFrame:
+    """Token rows by index in their order; unknown tokens go, or have the mask's index."""
+    out = V.encode(rows, vocab, mask, close=False)
+    return out if radii is None else out.join(radii, "idx", "left")
+
+
 @dataclass(eq=False)
 class SkipgramVectorizer(_Fit):
-    """Documents by ordered token pairs within a window."""
+    """Documents by ordered token pairs within a window, of one radius or of each token's own
+    (window_function "variable" or a callable). Masked tokens keep their places, and their
+    pairs do not count."""
 
     window_radius: int = 5
     kernel: str = "flat"
     kernel_args: dict = field(default_factory=dict)
     rules: V.Prune = V.NO_PRUNING
+    window_function: Any = "fixed"
+    token_dictionary: list | None = None
+    mask: str | None = None
 
     def _fit(self, df: DataFrame) -> SkipgramModel:
-        vocab = V.require_tokens(V.vocabulary(_rows(df), self.rules, _documents(df)))
-        model = SkipgramModel(self, vocab)
-        model.columns = grams.skip_gram_matrix(_rows(df), vocab, self.window_radius, model.kernel)[0]
+        rows = _rows(df)
+        model = SkipgramModel(self, _vocabulary(rows, self.token_dictionary, self.rules, _documents(df)), self.window_radius)
+        f = window_function(self.window_function)
+        if f is not None:
+            model.radii = f(model.vocab, self.window_radius).select("idx", "radius")
+            model.radius = model.radii.agg(F.max("radius")).first()[0] or 1
+        model.columns = numbered(model.pairs(rows).select("head", "tail").distinct(), "head", "tail")
         return model
 
 
@@ -119,25 +153,35 @@ class SkipgramVectorizer(_Fit):
 class SkipgramModel(_Fitted):
     how: SkipgramVectorizer
     vocab: DataFrame
+    radius: int
+    radii: DataFrame | None = None
     columns: DataFrame | None = None
 
     @property
     def kernel(self):
         return kernel_of(self.how.kernel, **self.how.kernel_args)
 
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        mask = self.vocab.where(F.col("token") != self.how.mask).count() if self.how.mask is not None else None
+        return grams.skip_grams(_encoded(rows, self.vocab, self.how.mask, self.radii), self.radius, self.kernel, own_radii=None if self.radii is None else "radius", mask=mask)
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        cells = grams.skip_grams(V.encode(_rows(df), self.vocab, close=False), self.how.window_radius, self.kernel)
-        return cells.join(self.columns, ["head", "tail"]).select(F.col("doc_id").alias("row_id"), F.col("idx").alias("col_id"), "value")
+        return self.pairs(_rows(df)).join(self.columns, ["head", "tail"]).select(F.col("doc_id").alias("row_id"), F.col("idx").alias("col_id"), "value")
 
 
 @dataclass(eq=False)
 class CooccurrenceVectorizer(_Fit):
-    """Tokens by the tokens around them. variant: token, timed (rows with t) or ngram."""
+    """Tokens by the tokens around them. variant: token, timed (rows with t) or ngram.
+
+    Windows are lists of equal lengths, or one value for all: radii, orientations, kernels with
+    their arguments, weights, and functions, "fixed", "variable" or a callable from the
+    vocabulary and a size to each token's radius. A mask stands for tokens outside the
+    vocabulary; with nullify_mask it neither counts nor is counted."""
 
     window_radii: tuple[int, ...] = (5,)
     orientations: tuple[str, ...] = ("directional",)
-    kernel: str = "flat"
-    kernel_args: dict = field(default_factory=dict)
+    kernel: Any = "flat"
+    kernel_args: Any = field(default_factory=dict)
     mix_weights: tuple[float, ...] | None = None
     normalize_windows: bool = True
     n_iter: int = 0
@@ -145,23 +189,46 @@ class CooccurrenceVectorizer(_Fit):
     rules: V.Prune = V.NO_PRUNING
     variant: str = "token"
     ngram_size: int = 2
+    window_functions: Any = ("fixed",)
+    token_dictionary: list | None = None
+    mask: str | None = None
+    nullify_mask: bool = False
 
-    def windows(self) -> list[WindowSpec]:
-        mixes = self.mix_weights or (1.0,) * len(self.window_radii)
-        if len(self.orientations) not in (1, len(self.window_radii)) or len(mixes) != len(self.window_radii):
+    def _each(self, value: Any, name: str) -> list:
+        out = list(value) if isinstance(value, tuple | list) else [value]
+        if len(out) not in (1, len(self.window_radii)):
+            raise ValueError(f"{name}: one value, or as many as radii")
+        return out * len(self.window_radii) if len(out) == 1 else out
+
+    def functions(self) -> list:
+        return [window_function(f) for f in self._each(self.window_functions, "window_functions")]
+
+    def kernels(self) -> list:
+        make = timed_kernel_of if self.variant == "timed" else kernel_of
+        return [make(k, **a) for k, a in zip(self._each(self.kernel, "kernel"), self._each(self.kernel_args, "kernel_args"), strict=True)]
+
+    def windows(self, largest: dict[int, int] | None = None) -> list[WindowSpec]:
+        """largest: the largest radius of each window with a function."""
+        if self.mix_weights is not None and len(self.mix_weights) != len(self.window_radii):
             raise ValueError("radii, orientations and weights are of one length")
-        turns = self.orientations * len(self.window_radii) if len(self.orientations) == 1 else self.orientations
-        kernel = kernel_of(self.kernel, **self.kernel_args) if self.variant != "timed" else kernel_of("flat")
-        return [w for r, o, m in zip(self.window_radii, turns, mixes, strict=True) for w in expand(o, r, kernel, m)]
+        mixes = self.mix_weights or (1.0,) * len(self.window_radii)
+        kernels = [kernel_of("flat")] * len(self.window_radii) if self.variant == "timed" else self.kernels()
+        own = [f"radius{i}" if f is not None and largest else None for i, f in enumerate(self.functions())]
+        parts = zip(self.window_radii, self._each(self.orientations, "orientations"), kernels, mixes, own, strict=True)
+        return [w for i, (r, o, k, m, c) in enumerate(parts) for w in expand(o, (largest or {}).get(i, r), k, m, c)]
 
     def _fit(self, df: DataFrame) -> CooccurrenceModel:
         rows = _rows(df)
-        vocab = V.require_tokens(V.vocabulary(rows, self.rules, _documents(df)))
-        model = CooccurrenceModel(self, vocab)
+        model = CooccurrenceModel(self, _vocabulary(rows, self.token_dictionary, self.rules, _documents(df)))
+        for i, f in enumerate(self.functions()):
+            if f is not None:
+                own = f(model.vocab, self.window_radii[i]).select("idx", F.col("radius").alias(f"radius{i}"))
+                model.largest[i] = own.agg(F.max(f"radius{i}")).first()[0] or 1
+                model.radii = own if model.radii is None else model.radii.join(own, "idx")
         if self.variant == "timed":
-            model.delta = cooc.mean_gap(V.encode(rows, vocab))
+            model.delta = cooc.mean_gap(V.encode(rows, model.vocab))
         if self.variant == "ngram":
-            named = V.encode(rows, vocab).join(vocab.select("idx", "token"), "idx")
+            named = V.encode(rows, model.vocab).join(model.vocab.select("idx", "token"), "idx")
             model.gram_vocab = V.vocabulary(grams.ngrams(named, self.ngram_size), key="gram")
         return model
 
@@ -172,18 +239,25 @@ class CooccurrenceModel(_Fitted):
     vocab: DataFrame
     delta: DataFrame | None = None
     gram_vocab: DataFrame | None = None
+    radii: DataFrame | None = None
+    largest: dict[int, int] = field(default_factory=dict)
+
+    def windows(self) -> list[WindowSpec]:
+        return self.how.windows(self.largest)
 
     def _contexts(self, rows: DataFrame, normalize: bool) -> DataFrame:
-        how, known = self.how, V.encode(rows, self.vocab, close=False)
+        how, windows = self.how, self.windows()
+        known = V.encode(rows, self.vocab, how.mask, close=False)
+        mask = self.vocab.where(F.col("token") != how.mask).count() if how.mask is not None and how.nullify_mask else None
         if how.variant == "timed":
-            from ..operators.windows import timed_flat, timed_geometric
-
-            w = timed_geometric(**how.kernel_args) if how.kernel == "geometric" else timed_flat
-            return cooc.timed_contexts(known, how.windows(), w, self.delta, normalize)
+            # a window in one orientation or in two; each has its own kernel
+            kernels = [k for k, o in zip(how.kernels(), how._each(how.orientations, "orientations"), strict=True) for _ in expand(o)]
+            known = known if self.radii is None else known.join(self.radii, "idx", "left")
+            return cooc.timed_contexts(known, windows, kernels, self.delta, normalize, mask)
         if how.variant == "ngram":
             named = known.join(self.vocab.select("idx", "token"), "idx")
-            return cooc.ngram_contexts(named, known, how.ngram_size, how.windows(), self.gram_vocab, normalize)
-        return cooc.contexts(known, how.windows(), normalize)
+            return cooc.ngram_contexts(named, known, how.ngram_size, windows, self.gram_vocab, normalize)
+        return cooc.contexts(known, windows, normalize, self.radii, mask)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         """(row_id, w, c, value)."""
@@ -194,13 +268,14 @@ class CooccurrenceModel(_Fitted):
         return out
 
     def labelled(self, df: DataFrame) -> DataFrame:
-        rows = self.vocab if self.gram_vocab is None else self.gram_vocab.select("idx", F.array_join("token", "_").alias("token"))
-        return cooc.labelled(self.transform(df), self.how.windows(), rows, self.vocab)
+        names = self.vocab if self.how.mask is None else V.add_mask(self.vocab, self.how.mask)
+        rows = names if self.gram_vocab is None else self.gram_vocab.select("idx", F.array_join("token", "_").alias("token"))
+        return cooc.labelled(self.transform(df), self.windows(), rows, names)
 
-    def reduce_dimension(self, df: DataFrame, dimension: int = 150, power: float = 0.25) -> DataFrame:
-        n = self.vocab.count()
+    def reduce_dimension(self, df: DataFrame, dimension: int = 150, power: float = 0.25, n_iter: int = 7, seed: int = 0) -> DataFrame:
+        n = self.vocab.count() + (self.how.mask is not None)
         coo = self.transform(df).select("row_id", (F.col("c") + F.col("w") * n).alias("col_id"), "value")
-        return linalg.reduce_cooccurrence(coo, n * len(self.how.windows()), dimension, power, self.how.n_iter > 0)
+        return linalg.reduce_cooccurrence(coo, n * len(self.windows()), dimension, power, self.how.n_iter > 0, n_iter, seed)
 
 
 @dataclass(eq=False)
@@ -320,19 +395,21 @@ class KDEVectorizer(_Fit):
     bandwidth: float | None = None
     n_components: int = 50
     evaluation_grid_strategy: str = "uniform"
+    kernel: str = "gaussian"
 
     def _fit(self, df: DataFrame) -> KDEModel:
         h = self.bandwidth if self.bandwidth is not None else series.jackknife_bandwidth(df)
-        return KDEModel(series.grid_of(df, self.n_components, self.evaluation_grid_strategy), h)
+        return KDEModel(series.grid_of(df, self.n_components, self.evaluation_grid_strategy), h, self.kernel)
 
 
 @dataclass(eq=False)
 class KDEModel(_Fitted):
     grid: DataFrame
     bandwidth: float
+    kernel: str = "gaussian"
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return series.kde(df, self.grid, self.bandwidth)
+        return series.kde(df, self.grid, self.bandwidth, self.kernel)
 
 
 @dataclass(eq=False)
@@ -371,7 +448,9 @@ class CategoricalColumnTransformer(_Plain):
 
 @dataclass(eq=False)
 class SlidingWindowTransformer(_Plain):
-    """Windows of series, through kernels if there are any."""
+    """Windows of series, through kernels if there are any: functions from a width to a matrix, which
+    fold into one, or, from the first that is a function of a window's values on (`of_values`),
+    functions applied to the values in turn."""
 
     window_width: int = 10
     window_stride: int = 1
@@ -385,7 +464,11 @@ class SlidingWindowTransformer(_Plain):
         if not self.kernels:
             return out
         n = len(self.window_sample) if self.window_sample else self.window_width
-        return series.apply_kernel(out, series.fold(self.kernels, n))
+        at = next((i for i, k in enumerate(self.kernels) if getattr(k, "of_values", False)), len(self.kernels))
+        out = series.apply_kernel(out, series.fold(self.kernels[:at], n)) if at else out
+        for k in self.kernels[at:]:
+            out = series.apply_function(out.withColumn("points", F.col("values")) if "values" in out.columns else out, k)
+        return out
 
 
 @dataclass(eq=False)
@@ -410,10 +493,15 @@ class SignatureVectorizer(_Plain):
 class LZCompressionVectorizer(_Fit):
     max_dict_size: int = 1 << 16
     max_columns: int | None = 1 << 16
+    base_dictionary: tuple[str, ...] = ()
+    hash_function: Any = F.hash
     metric_ = "jaccard"
 
+    def counts(self, df: DataFrame) -> DataFrame:
+        return codecs.lz_counts(df, max_size=self.max_dict_size, known=self.base_dictionary)
+
     def _fit(self, df: DataFrame) -> LZModel:
-        return LZModel(self, codecs.lz_matrix(codecs.lz_counts(df, max_size=self.max_dict_size), self.max_columns)[0])
+        return LZModel(self, codecs.lz_matrix(self.counts(df), self.max_columns, self.hash_function)[0])
 
 
 @dataclass(eq=False)
@@ -422,9 +510,9 @@ class LZModel(_Fitted):
     columns: DataFrame | None
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        counts = codecs.lz_counts(df, max_size=self.how.max_dict_size)
+        counts = self.how.counts(df)
         if self.columns is None:
-            return codecs.lz_matrix(counts, self.how.max_columns)[1]
+            return codecs.lz_matrix(counts, self.how.max_columns, self.how.hash_function)[1]
         met = counts.join(self.columns, counts["phrase"] == self.columns["label"])
         return met.select(F.col("id").alias("row_id"), F.col("idx").alias("col_id"), F.col("n").cast("double").alias("value"))
 
@@ -507,11 +595,13 @@ class RowDenoisingModel(_Fitted):
 class CountFeatureCompressionTransformer(_Fit):
     n_components: int = 128
     rescaling_power: float = 0.5
+    n_iter: int = 7
+    seed: int = 0
     metric_ = "cosine"
 
     def _fit(self, df: DataFrame) -> CountFeatureCompressionModel:
         n = (df.agg(F.max("col_id")).first()[0] or 0) + 1
-        return CountFeatureCompressionModel(self, linalg.compress_counts(df, n, self.n_components, self.rescaling_power)[0])
+        return CountFeatureCompressionModel(self, linalg.compress_counts(df, n, self.n_components, self.rescaling_power, self.n_iter, self.seed)[0])
 
 
 @dataclass(eq=False)

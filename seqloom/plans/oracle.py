@@ -77,8 +77,8 @@ SQL: dict[str, str] = {
       s AS (SELECT row_id, col_id, k / sum(k) OVER (PARTITION BY doc_id, pos) AS k FROM c) SELECT row_id, 0 AS w, col_id, round(sum(k), 6) AS value FROM s GROUP BY 1, 3""",
     "cooc_offset": ENC + " SELECT a.idx AS row_id, 0 AS w, b.idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM enc a JOIN enc b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 2 AND 3 GROUP BY 1, 3",
     "cooc_variable_radius": ENC + """, f AS (SELECT idx, n / sum(n) OVER () AS f FROM vocab), r AS (SELECT idx, pow(f, -0.25) / sum(pow(f, 0.75)) OVER () * 2 AS r FROM f),
-      rr AS (SELECT idx, least(4, CASE WHEN r > 0 AND r < 1 THEN 1 ELSE round_even(r, 0) END) AS radius FROM r)
-      SELECT a.idx AS row_id, 0 AS w, b.idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM enc a JOIN rr ON rr.idx = a.idx JOIN enc b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 1 AND 4 AND b.pos - a.pos <= radius GROUP BY 1, 3""",
+      rr AS (SELECT idx, CASE WHEN r > 0 AND r < 1 THEN 1 ELSE round_even(r, 0) END AS radius FROM r)
+      SELECT a.idx AS row_id, 0 AS w, b.idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM enc a JOIN rr ON rr.idx = a.idx JOIN enc b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos - a.pos <= radius GROUP BY 1, 3""",
     "cooc_mask": KNOWN + ", mk AS (SELECT doc_id, pos, idx FROM tok JOIN vocab USING (token)) SELECT a.idx AS row_id, b.idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM mk a JOIN mk b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 1 AND 3 GROUP BY 1, 2",
     "cooc_colnorm_eps": ENC + f", c AS ({_cooc(2)}), s AS (SELECT row_id, w, col_id, value / sum(value) OVER (PARTITION BY col_id) AS value FROM c) SELECT row_id, w, col_id, round(value, 6) AS value FROM s WHERE value >= 0.05",
     "cooc_em1": f"""WITH {EV}, c AS (SELECT a.doc_id, a.pos, a.idx AS row_id, b.idx AS col_id, pow(0.8::DOUBLE, b.pos - a.pos) AS k FROM enc a JOIN enc b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 1 AND 3),

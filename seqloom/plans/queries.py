@@ -178,7 +178,7 @@ def cooc_variable_radius(spark, d):
     vocab = V.vocabulary(t, KNOWN)
     radii = variable_radii(vocab, 2)
     largest = radii.agg(F.max("radius")).first()[0] or 1
-    out = cooc.cooccurrence(t, [WindowSpec("after", largest, own_radii=True)], vocab=vocab, radii=radii, normalize=False)[1]
+    out = cooc.cooccurrence(t, [WindowSpec("after", largest, own_radii="radius")], vocab=vocab, radii=radii, normalize=False)[1]
     return out.select("row_id", "w", F.col("c").alias("col_id"), "value")
 
 
@@ -434,9 +434,8 @@ def signature_level2(spark, d):
 @query
 def signatures_log3(spark, d):
     e = _t(spark, d, "events").where(F.col("value").isNotNull())
-    pts = F.transform(F.array_sort(F.collect_list(F.struct(_micros("ts").alias("t"), "event_id", "value"))), lambda x: F.array(x["t"] / 8.64e10 - 19000, x["value"]))
-    rows = e.groupBy(F.col("user_id").alias("path_id")).agg(pts.alias("points")).where(F.size("points") > 1)
-    return paths.signatures(rows, 3, log=True)
+    rows = e.select(F.col("user_id").alias("path_id"), F.struct(_micros("ts").alias("t"), "event_id").alias("pos"), (_micros("ts") / 8.64e10 - 19000).alias("t"), F.col("value").alias("v"))
+    return paths.signatures_of_rows(rows, ["t", "v"], 3, log=True)
 
 
 @query
@@ -473,8 +472,7 @@ def gmm_clouds(spark, d):
 
 
 def _distributions(spark, d):
-    """Customers' market segments by nation as points: nations are distributions over suppliers'
-    embeddings in (balance, nation) space."""
+    """Groups of embeddings, by label and remainder of the id, as distributions over their vectors."""
     e = _t(spark, d, "embeddings").where(F.col("embedding").isNotNull() & F.col("label").isNotNull())
     vectors = e.select(F.col("vec_id").alias("col_id"), F.col("embedding").cast("array<double>").alias("vec"))
     coo = e.select((F.col("label") * 16 + F.pmod("vec_id", F.lit(16))).alias("row_id"), F.col("vec_id").alias("col_id"), F.lit(1.0).alias("value"))

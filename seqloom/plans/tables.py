@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or (only where that
-    is unset, as in local tests) a new temporary folder that then becomes the setting."""
+    is unset and Spark runs in one process, as in tests) a new temporary folder that then
+    becomes the setting. On a cluster the setting is needed."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -43,3 +48,25 @@ def release(*frames: DataFrame) -> None:
             sc = df.sparkSession.sparkContext
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows dealt out by ranges of `order`, written, with `part`, the number of the range."""
+    return materialize(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def before_parts(parts: DataFrame, value: Column) -> DataFrame:
+    """(part, before): the sum of `value` over all parts before. A row a part is all that the
+    window meets in one task."""
+    sums = parts.groupBy("part").agg(F.sum(value).alias("v"))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sums.select("part", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("before")))
+
+
+def numbered(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
+    """Number rows from 0 in an order, for tables of any length: ranges are numbered each in a task
+    of its own, and the numbers of rows before them are added."""
+    rows = ranged(df, *order)
+    at = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    found = rows.withColumn("at", at).join(before_parts(rows, F.lit(1)), "part")
+    return found.withColumn(out, (F.col("before") + F.col("at") - 1).cast("long")).drop("part", "at", "before")
