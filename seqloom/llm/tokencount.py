@@ -8,7 +8,9 @@ both; the counts are spliced there. (The place must also be far enough before th
 chunk's end for no look-ahead to have met the end.) Where an overlap holds no such place, the
 document is done again with a wider overlap, in the end as one chunk.
 
-Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated rows.
+Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated rows;
+a null id stays null and crosses to Python as a flag, so that no id becomes a floating number;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from .common import materialize
 from .encoder import batches_of, encoder
 
 CHUNK, OVERLAP, GUARD = 1 << 15, 512, 32
-#: A document's key: its id and two hashes of its text, so that equal ids do no harm.
-KEY = ["id", "a", "b"]
-_PART = "id bigint, a bigint, b bigint, n_bytes bigint, k int, chunks int, n int, head array<struct<p:bigint,n:bigint>>, tail array<struct<p:bigint,n:bigint>>"
+#: A document's key: whether it has no id, its id or 0, and two hashes of its text, so that equal
+#: ids do no harm.
+KEY = ["no_id", "id", "a", "b"]
+_KEY = "no_id boolean, id bigint, a bigint, b bigint"
+_PART = f"{_KEY}, n_bytes bigint, k int, chunks int, n int, head array<struct<p:bigint,n:bigint>>, tail array<struct<p:bigint,n:bigint>>"
 
 
 def _pairs(p: np.ndarray, n: np.ndarray) -> list[dict]:
@@ -34,7 +38,7 @@ def _pairs(p: np.ndarray, n: np.ndarray) -> list[dict]:
 
 
 def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """docs(id, text) -> (key, k, chunks, start, piece); a text no longer than a chunk is one."""
+    """docs(no_id, id, text) -> (key, k, chunks, start, piece); a text no longer than a chunk is one."""
     text = F.col("text")
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - overlap) / chunk) - 1).cast("int")
     rows = _keyed(docs).select(*KEY, "text", F.octet_length(text).cast("long").alias("n_bytes"), (last + 1).alias("chunks"), F.explode(F.sequence(F.lit(0), last)).alias("k"))
@@ -90,21 +94,22 @@ def splice(parts: list[tuple[int, int, list, list]]) -> int | None:
 def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id, n_bytes, n_tokens) for every row of docs. Files without word boundaries that chunks
     could share (all but byte-level BPE .json) are encoded a text at a time."""
-    base = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    key = F.col(id).cast("long")
+    base = docs.select(key.isNull().alias("no_id"), F.coalesce(key, F.lit(0)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if not encoder(path).pieces:
         chunk = (1 << 31) - 1 - overlap
     parts = materialize(_count_parts(_chunks(base, chunk, overlap), path, overlap), "parts")
-    single = lambda df: df.where(F.col("chunks") == 1).select("id", "n_bytes", F.col("n").cast("long").alias("n_tokens"))
+    own = F.when(~F.col("no_id"), F.col("id")).alias(id)
+    single = lambda df: df.where(F.col("chunks") == 1).select(own, "n_bytes", F.col("n").cast("long").alias("n_tokens"))
     out, seam = single(parts), overlap
     while True:
         done = materialize(_spliced(parts.where(F.col("chunks") > 1)), "spliced")
-        out = out.union(done.where(F.col("n_tokens").isNotNull()).select("id", "n_bytes", "n_tokens"))
-        failed = done.where(F.col("n_tokens").isNull())
+        out = out.union(done.where(~F.col("failed")).select(own, "n_bytes", "n_tokens"))
+        failed = done.where("failed")
         if failed.isEmpty():
-            return out.withColumnRenamed("id", id)
+            return out
         seam, chunk = seam * 8, max(chunk, seam * 16)
-        match = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in KEY]
-        again = _keyed(base).alias("d").join(failed.select(*KEY).distinct().alias("f"), match, "left_semi").select("id", "text")
+        again = _keyed(base).join(failed.select(*KEY).distinct(), KEY, "left_semi").select("no_id", "id", "text")
         parts = materialize(_count_parts(_chunks(again, chunk, seam), path, seam), "parts")
         out = out.union(single(parts))
 
@@ -114,13 +119,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _spliced(parts: DataFrame) -> DataFrame:
-    """One row for each repetition of a document; its chunks' overlaps are all that a group holds."""
+    """One row for each repetition of a document. Repetitions are counted before the exchange, so
+    a group holds the overlaps of one text's chunks."""
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        times = int((df["k"] == 0).sum())
-        first = df[[*KEY, "n_bytes"]].iloc[[0] * times]
-        df = df.drop_duplicates("k").sort_values("k")
+        df = df.sort_values("k")
         n = splice(list(zip(df["k"], df["n"], df["head"], df["tail"], strict=True)))
-        return first.assign(n_tokens=pd.array([n] * times, dtype="Int64"))
+        return df[[*KEY, "n_bytes", "times"]].iloc[:1].assign(n_tokens=n or 0, failed=n is None)
 
-    return parts.groupBy(*KEY).applyInPandas(one, "id bigint, a bigint, b bigint, n_bytes bigint, n_tokens bigint")
+    once = parts.groupBy(*KEY, "n_bytes", "k").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "head", "tail")])
+    found = once.groupBy(*KEY).applyInPandas(one, f"{_KEY}, n_bytes bigint, times bigint, n_tokens bigint, failed boolean")
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
