@@ -16,13 +16,15 @@ and the full likeness verifies them.
 The walks of many texts advance together as numpy lanes, a step of the loop a character.
 
 Defined cases: null and empty texts have the fingerprint of no samples and likeness 1 with each
-other, 0 with any other text; the order of rows with equal ids is that of their texts; a table
-of one row is its own next document.
+other, 0 with any other text; rows with equal ids stand in descending order of their texts'
+xxhash64; a null id is the lowest and stays null; a table of one row is its own next document;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .simhash import spanning_forest
 
 SAMPLES, PERIOD, SEED = 128, 4096, 11
 _LANE_CHARS = 3_000_000
@@ -112,22 +115,30 @@ def sample(chars: np.ndarray, steps: np.ndarray) -> str:
     return f"{level:x}:{end:x}:{body}"
 
 
-def likeness(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    (la, ea, xa), (lb, eb, xb) = ((int(p), int(q, 16), np.frombuffer(bytes.fromhex(r), np.uint8)) for p, q, r in ((str(int(s.split(":")[0], 16)), *s.split(":")[1:]) for s in (a, b)))
-    level = max(la, lb)
-
-    def on(x: np.ndarray, own: int, end: int) -> np.ndarray:
-        if own == level:
-            return x
-        upto = 1 << max(8, int(np.ceil(np.log2(end + 1))))
-        fine = _sampled(own, upto)[: len(x)]
-        return x[np.isin(fine, _sampled(level, upto), assume_unique=True)]
-
-    xa, xb = on(xa, la, ea), on(xb, lb, eb)
+def parsed(fingerprint: str) -> tuple[int, int, np.ndarray]:
+    """Level, end and sampled characters."""
+    level, end, body = fingerprint.split(":")
+    return int(level, 16), int(end, 16), np.frombuffer(bytes.fromhex(body), np.uint8)
+
+
+def _on(print_: tuple[int, int, np.ndarray], level: int) -> np.ndarray:
+    """The samples that a coarser level shares."""
+    own, end, x = print_
+    if own == level:
+        return x
+    upto = 1 << max(8, int(np.ceil(np.log2(end + 1))))
+    return x[np.isin(_sampled(own, upto)[: len(x)], _sampled(level, upto), assume_unique=True)]
+
+
+def likeness_of(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) -> float:
+    level = max(a[0], b[0])
+    xa, xb = _on(a, level), _on(b, level)
     n, most = min(len(xa), len(xb)), max(len(xa), len(xb))
-    return round(float((xa[:n] == xb[:n]).sum()) / most, 9) if most else 0.0
+    return round(float(np.count_nonzero(xa[:n] == xb[:n])) / most, 9) if most else 0.0
+
+
+def likeness(a: str, b: str) -> float:
+    return 1.0 if a == b else likeness_of(parsed(a), parsed(b))
 
 
 def fingerprints(texts: list[str], seed: int = SEED) -> list[str]:
@@ -152,47 +163,70 @@ def _some(texts: list[str], limit: int = 1_500_000):
     return batches_of(texts, limit)
 
 
-def with_neighbours(docs: DataFrame, id: str, rows_a_bucket: int = 2000) -> DataFrame:
-    """Rows (bucket, id, text, guest) such that each bucket, in descending id, holds a run of
-    documents and, as guests after them, the documents of the id that follows. One exchange of
-    the texts; only the bucket borders, a few longs each, reach the driver."""
-    n, lo, hi = docs.agg(F.count("*"), F.min(id), F.max(id)).first()
-    if not n:
-        return docs.select(F.lit(0).alias("bucket"), id, "text", F.lit(False).alias("guest"))
-    count = max(1, n // rows_a_bucket)
-    cuts = docs.stat.approxQuantile(id, [i / count for i in range(1, count)], 0.1 / count) if count > 1 else []
-    cuts = sorted({int(c) for c in cuts})
+#: Characters of a bucket, and ids that are sampled to place the borders of buckets.
+BUCKET_CHARS, BORDER_SAMPLE = 8_000_000, 200_000
+_KEY = ["no_id", "id", "h"]
+
+
+def with_neighbours(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    """docs(no_id, id, text): add h, bucket and guest. In descending order of (id, h), h a hash of
+    the text, each bucket holds a run of documents, and as guests the documents that follow
+    its last. One exchange of the texts. Buckets are about as many as tasks; what the driver
+    holds is one border and one top key a bucket, and at most BORDER_SAMPLE sampled keys,
+    which place the borders and do not change results."""
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    keys = materialize(docs.select(*_KEY, F.length("text").alias("n")), "keys")
+    rows, chars = keys.agg(F.count("*"), F.sum("n")).first()
+    if not rows:
+        return docs.withColumns({"bucket": F.lit(0), "guest": F.lit(False)})
+    count = max(1, -(-chars // bucket_chars))
+    some = keys if rows <= BORDER_SAMPLE else keys.sample(min(1.0, min(20 * count, BORDER_SAMPLE) / rows), 3)
+    points = sorted((not r[0], r[1], r[2]) for r in some.select(*_KEY).collect()) if count > 1 else []
+    cuts = sorted({points[len(points) * i // count] for i in range(1, count)}) if points else []
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.array(cuts, dtype=np.int64))
+    shared = spark.sparkContext.broadcast(cuts)
+    place = lambda no_id, id, h: [bisect_left(shared.value, key) for key in zip((~no_id).tolist(), id.tolist(), h.tolist(), strict=True)]
 
     @F.pandas_udf("int")
-    def bucket_of(x: pd.Series) -> pd.Series:
-        # a null id sorts first, so in descending order last
-        lowest = x.isna().to_numpy()
-        found = np.searchsorted(shared.value, x.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(lowest, 0, found).astype(np.int32))
-
-    placed = docs.select(bucket_of(F.col(id)).alias("bucket"), F.col(id), "text")
-    tops = {r["bucket"]: r["top"] for r in docs.select(bucket_of(F.col(id)).alias("bucket"), id).groupBy("bucket").agg(F.max(id).alias("top")).collect()}
+    def bucket_of(no_id: pd.Series, id: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(place(no_id, id, h), dtype="int32")
+
+    order = F.struct((~F.col("no_id")).alias("has"), "id", "h")
+    tops = {r["bucket"]: r["top"] for r in keys.groupBy(bucket_of(*_KEY).alias("bucket")).agg(F.max(order).alias("top")).collect()}
     used = sorted(tops)
-    # the documents with a bucket's largest id follow the bucket above; the largest of all follow the lowest
-    above = {b: used[(k + 1) % len(used)] for k, b in enumerate(used)}
-    small = spark.createDataFrame([(b, above[b], tops[b]) for b in used], "bucket int, above int, top bigint")
-    guests = F.when(F.col(id).eqNullSafe(F.col("top")), F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("above").alias("bucket"), F.lit(True).alias("guest"))))
-    guests = F.explode(F.coalesce(guests, F.array(F.struct("bucket", F.lit(False).alias("guest")))))
-    out = placed.join(F.broadcast(small), "bucket").select(F.col(id), "text", guests.alias("g"))
-    return out.select("g.bucket", id, "text", "g.guest")
+    # the documents with a bucket's top key follow the bucket above; the topmost follow the lowest
+    above = {(b, tuple(tops[b])): used[(k + 1) % len(used)] for k, b in enumerate(used)}
+    sent = spark.sparkContext.broadcast(above)
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One guest of each bucket is enough from a task: those with a top key have one text."""
+        done = set()
+        for df in frames:
+            at = place(df["no_id"], df["id"], df["h"])
+            yield df.assign(bucket=np.array(at, dtype=np.int32), guest=False)
+            for i, key in enumerate(zip(at, zip((~df["no_id"]).tolist(), df["id"].tolist(), df["h"].tolist(), strict=True), strict=True)):
+                if key in sent.value and key not in done:
+                    done.add(key)
+                    yield df.iloc[[i]].assign(bucket=np.int32(sent.value[key]), guest=True)
+
+    return docs.select("no_id", "id", "text", "h").mapInPandas(deal, "no_id boolean, id bigint, text string, h bigint, bucket int, guest boolean")
 
 
-_OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "banded_edited", "banded_next"]
+_OUT = "no_id boolean, id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, banded_edited boolean, banded_next boolean"
 
 
-def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """Each document and its edited text: the last floor(n/2) characters replaced by the first as
-    many (or all) of the next document in descending id; after the last comes the first."""
-    base = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_neighbours(base, "doc_id").repartition("bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.mapInPandas(_edited, _OUT)
+    many (or all) of the next document in descending id; after the last comes the first.
+    near_* are likenesses, banded_* whether the two fingerprints share a band and so would
+    be a candidate pair of near_duplicates()."""
+    key = F.col(id).cast("long")
+    base = docs.select(key.isNull().alias("no_id"), F.coalesce(key, F.lit(0)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    order = ["bucket", "guest", "no_id", F.desc("id"), F.desc("h"), "text"]
+    rows = with_neighbours(base, bucket_chars).repartition("bucket").sortWithinPartitions(*order)
+    out = rows.select("bucket", "guest", "no_id", "id", "text").mapInPandas(_edited, _OUT)
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias(id), *_COLUMNS)
 
 
 def _edited(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,22 +234,23 @@ def _edited(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[tuple] = []
     size = 0
     for df in frames:
-        for row in zip(df["bucket"].tolist(), df["doc_id"].tolist(), df["text"].tolist(), df["guest"].tolist(), strict=True):
+        for row in zip(df["bucket"].tolist(), df["text"].tolist(), df["guest"].tolist(), df["no_id"].tolist(), df["id"].tolist(), strict=True):
             held.append(row)
-            size += len(row[2])
+            size += len(row[1])
             if size > 1_500_000:
                 yield _pairs(held)
-                held, size = held[-1:], len(row[2])
+                held, size = held[-1:], len(row[1])
     if held:
         yield _pairs(held)
 
 
 def _pairs(rows: list[tuple]) -> pd.DataFrame:
     """Results of all rows but the last (whose result comes with what follows it) and guests."""
-    chars = [_classes(r[2]) for r in rows]
+    chars = [_classes(r[1]) for r in rows]
     steps = walk(chars)
     prints = [sample(c, s) for c, s in zip(chars, steps, strict=True)]
-    todo = [i for i in range(len(rows) - 1) if not rows[i][3] and rows[i + 1][0] == rows[i][0]]
+    bands = [set(_bands(p)) for p in prints]
+    todo = [i for i in range(len(rows) - 1) if not rows[i][2] and rows[i + 1][0] == rows[i][0]]
     tails, starts = [], []
     for i in todo:
         half = len(chars[i]) // 2
@@ -224,13 +259,15 @@ def _pairs(rows: list[tuple]) -> pd.DataFrame:
     ends = walk(tails, np.array(starts, dtype=np.int64))
     out = []
     for i, tail, end in zip(todo, tails, ends, strict=True):
-        text, n = rows[i][2], len(chars[i])
+        text, n = rows[i][1], len(chars[i])
         half = n // 2
-        edited = text[: n - half] + rows[i + 1][2][:half]
+        edited = text[: n - half] + rows[i + 1][1][:half]
         fp = sample(np.concatenate([chars[i][: n - half], tail]), np.concatenate([steps[i][: n - half], end]))
         sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        out.append((rows[i][1], n, sha, prints[i], fp, likeness(prints[i], fp), likeness(prints[i], prints[i + 1])))
-    return pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+        near = likeness(prints[i], fp), likeness(prints[i], prints[i + 1])
+        met = not bands[i].isdisjoint(_bands(fp)), not bands[i].isdisjoint(bands[i + 1])
+        out.append((*rows[i][3:], n, sha, prints[i], fp, *near, *met))
+    return pd.DataFrame(out, columns=["no_id", "id", *_COLUMNS])
 
 
 #: Walks that an edit throws off for long are the embedding's rare failures; independent ones
@@ -262,7 +299,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
 def _linked(prints: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) of prints(node, fingerprint)."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<bigint>")
     def bands(prints: pd.Series) -> pd.Series:
         return pd.Series([_bands(p) for p in prints], dtype=object)
 
@@ -288,38 +325,32 @@ def _hot_links(rows: DataFrame, least: float) -> DataFrame:
     left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))
 
     def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        edges = []
-        for x, fx in zip(a["node"].tolist(), a["fingerprint"].tolist(), strict=True):
-            for y, fy in zip(b["node"].tolist(), b["fingerprint"].tolist(), strict=True):
-                p, q = root(x), root(y)
-                if p != q and likeness(fx, fy) >= least:
-                    parent[max(p, q)] = min(p, q)
-                    edges.append((x, y))
+        pa, pb = ([parsed(p) for p in x["fingerprint"]] for x in (a, b))
+        linked = lambda i, js: np.array([likeness_of(pa[i], pb[j]) >= least for j in js], dtype=bool)
+        edges = spanning_forest(a["node"].to_numpy(), b["node"].to_numpy(), linked)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     by = ["v", "i", "j"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "a bigint, b bigint")
 
 
-def _bands(fingerprint: str) -> list[str]:
-    level, end, body = fingerprint.split(":")
-    if not body:
-        return ["empty"]
-    x, lv = np.frombuffer(bytes.fromhex(body), np.uint8), int(level, 16)
-    upto = 1 << max(8, int(np.ceil(np.log2(int(end, 16) + 1))))
+@lru_cache(maxsize=64)
+def _places(level: int) -> np.ndarray:
+    """The samples that each band of a level reads."""
+    return np.random.default_rng(level).integers(0, SAMPLES // 2, (BANDS, BAND_SAMPLES))
+
+
+def _bands(fingerprint: str) -> list[int]:
+    """Keys of level, band and sampled bits. A text also shows the bands of the next coarser level,
+    to meet those just above a border; a text without samples has the key -1."""
+    found = parsed(fingerprint)
+    if not len(found[2]):
+        return [-1]
     out = []
-    # a text also shows the bands of the next coarser level, to meet those just above a border
-    for own in (lv, lv + 1):
-        y = x if own == lv else x[np.isin(_sampled(lv, upto)[: len(x)], _sampled(own, upto), assume_unique=True)]
-        y = np.pad(y[: SAMPLES // 2], (0, max(0, SAMPLES // 2 - len(y))))
-        rng = np.random.default_rng(own)
-        for k in range(BANDS):
-            out.append(f"{own}:{k}:{y[rng.integers(0, SAMPLES // 2, BAND_SAMPLES)].tobytes().hex()}")
+    for level in (found[0], found[0] + 1):
+        y = np.zeros(SAMPLES // 2, dtype=np.uint8)
+        x = _on(found, level)[: SAMPLES // 2]
+        y[: len(x)] = x
+        bits = y[_places(level)].view("<u4").ravel().astype(np.int64)
+        out += (bits + ((level * BANDS + np.arange(BANDS)) << 32)).tolist()
     return out
