@@ -6,9 +6,14 @@ table, and narrows each interval to the grid cell that holds its target. When ev
 meets the tolerance the rows are exchanged once, into cells of their shard; slots number the
 rows in sorted order through exact cell counts, so no task ever holds a whole shard.
 
+The place hashes the key with the text's length and crc32, so null and repeated keys spread over
+all shards. Equal texts of different keys do not share a shard: the law promises equal bytes,
+and a group of copies may be heavier than a shard.
+
 Defined cases: a null text counts as empty (size 1, crc32 0); rows that are equal in key and
-text have equal places and stay together; an empty table gives no rows; a key as heavy as
-several shards leaves the shards beside it short, since a row is never divided.
+text have equal places, unless together they weigh more than 1 / SPREAD of a shard, when they
+are dealt over all places; an empty table gives no rows; a row as heavy as several shards
+leaves the shards beside it short, since a row is never divided.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from .common import materialize
 
 SPAN = 1 << 53
 GRID = 64
+#: Equal rows heavier than this part of a shard are dealt out.
+SPREAD = 64
 
 
 def place(*cols: Column) -> Column:
@@ -91,28 +98,52 @@ def shard_rows(rows: DataFrame, cuts: list[int], rows_a_cell: int = 50_000) -> D
     return out.withColumn("slot", (F.col("__before") + F.col("__at") - 1).cast("long")).drop("__cell", "__at", "__before")
 
 
+def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Add p, size and text_crc32: the place follows from key and text, null keys included."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    crc = F.crc32(body.cast("binary"))
+    return docs.withColumns({"p": place(F.col(key), F.length(body), crc), "size": F.octet_length(body).cast("long") + 1, "text_crc32": crc})
+
+
+def _spread(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """rows(p, size, ..) with equal rows that weigh too much for one place dealt over all places,
+    and these heavy places; there are at most SPREAD a shard. Rows of a place are alike, so which
+    of them goes where does not matter."""
+    most = (rows.agg(F.sum("size")).first()[0] or 0) / (shards * SPREAD)
+    by_place = rows.groupBy("p").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
+    heavy = materialize(by_place.where((F.col("w") > most) & (F.col("n") > 1)).select("p"), "heavy")
+    return (rows, heavy) if heavy.isEmpty() else (materialize(_dealt(rows, heavy), "sizes"), heavy)
+
+
+def _dealt(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    marked = rows.join(F.broadcast(heavy.select("p", F.lit(True).alias("__heavy"))), "p", "left")
+    own = F.when(F.col("__heavy"), place(F.col("p"), F.monotonically_increasing_id())).otherwise(F.col("p"))
+    return marked.withColumn("p", own).select(*rows.columns)
+
+
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, tolerance: float = 0.002) -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
     The law is `bytes`: a further shard moves the splitters, so grown_shard is null."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    narrow = docs.select(
-        F.col(key), place(F.col(key), F.length(body)).alias("p"),
-        (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-    )
-    narrow = materialize(narrow, "sizes")
+    narrow = materialize(_placed(docs.select(key, text), key, text).select(key, "p", "size", "text_crc32"), "sizes")
+    narrow, _ = _spread(narrow, shards)
     out = shard_rows(narrow, splitters(narrow, shards, tolerance))
     return out.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", shards: int = 8, files_a_shard: int = 1) -> None:
-    """Write whole documents under path/shard=N, exchanging the texts once."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    p = place(F.col(key), F.length(body))
-    narrow = materialize(docs.select(p.alias("p"), (F.octet_length(body).cast("long") + 1).alias("size")), "sizes")
+    """Write whole documents under path/shard=N, exchanging the texts once. An input column named
+    shard is written as __shard."""
+    docs = docs.withColumnRenamed("shard", "__shard")
+    narrow, heavy = _spread(materialize(_placed(docs.select(key, text), key, text).select("p", "size"), "sizes"), shards)
+    clash = {c: f"__own_{c}" for c in ("p", "size", "text_crc32") if c in docs.columns}
+    names = {v: k for k, v in clash.items()}
+    key, text = clash.get(key, key), clash.get(text, text)
+    out = _dealt(_placed(docs.withColumnsRenamed(clash) if clash else docs, key, text), heavy)
     shard = F.lit(0)
     for i, cut in enumerate(splitters(narrow, shards), 1):
-        shard = F.when(p >= cut, F.lit(i)).otherwise(shard)
-    out = docs.withColumn("shard", shard).withColumn("__p", p).withColumn("__file", F.pmod(F.col("__p"), F.lit(files_a_shard)))
-    out = out.repartition(shards * files_a_shard, "shard", "__file").sortWithinPartitions("shard", "__p").drop("__p", "__file")
-    out.write.partitionBy("shard").parquet(path)
+        shard = F.when(F.col("p") >= cut, F.lit(i)).otherwise(shard)
+    out = out.withColumns({"__to": shard, "__p": F.col("p"), "__file": F.pmod(F.col("p"), F.lit(files_a_shard))}).drop("p", "size", "text_crc32")
+    out = out.repartition(shards * files_a_shard, "__to", "__file").sortWithinPartitions("__to", "__p").drop("__p", "__file")
+    out = out.withColumnsRenamed(names) if names else out
+    out.withColumnRenamed("__to", "shard").write.partitionBy("shard").parquet(path)
