@@ -48,8 +48,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan(table(spark, sf_dir, "documents"))
-    taken = (F.size("shards") * F.col("size")).cast("long").alias("taken")
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
+    taken = (F.size("draws") * F.col("size")).cast("long").alias("taken")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken, F.col("draws.shard").alias("shards"), F.col("draws.block").alias("blocks"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
