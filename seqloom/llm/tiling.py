@@ -1,19 +1,24 @@
 """Benchmark decontamination by greedy string tiling.
 
 Seeds, the windows of MATCH words that a document shares with a benchmark item, are found by
-rolling hashes. On each (item, document) pair with seeds the longest match of unmarked words is
+rolling hashes: each task joins its documents' windows with the sorted windows of a block of
+items. On each (item, document) pair with enough seeds the longest match of unmarked words is
 marked on both sides again and again, until none of MATCH words is left (running Karp-Rabin
 greedy string tiling). Tiles may lie in any order, so an item whose sentences were reordered is
 still covered. A document is contaminated by an item if the tiles cover at least COVERAGE of
 the item's words.
 
 The benchmark is a query set against all documents: its items go to every task in blocks of at
-most BLOCK_WORDS words, one pass a block, so its size is unbounded and no broadcast is. Documents
-are never exploded, joined or shuffled, and each is tiled within its own row.
+most BLOCK_WORDS words, one pass a block, and the table is written between passes, so that
+driver and workers hold one block at a time. Documents are never exploded, joined or shuffled,
+and each is tiled within its own row. Only matches that no earlier word extends are listed, with
+lengths by names of doubled windows, so repetitive texts do not expand into all pairs of
+their words.
 
 Defined cases: case and punctuation do not count (words are runs of letters and digits, lower
-case); null or empty texts are never contaminated and null or shorter items than MATCH words
-contaminate nothing; repeated items count once, under the least item_id.
+case; in scripts that are written without blanks each character is a word); null or empty
+texts are never contaminated and null or shorter items than MATCH words contaminate nothing;
+repeated items count once, under the least item_id; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -28,14 +33,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, release
 
 MATCH, COVERAGE, BLOCK_WORDS = 5, 0.5, 1_000_000
-_WORDS = re.compile(r"\w+").findall
+#: Scripts written without blanks: Thai and Lao, Myanmar, Khmer, kana, Han.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS, _MIXED = re.compile(r"\w+").findall, re.compile(f"[^\\W{_DENSE}]+|[{_DENSE}]").findall
+_HAS_DENSE = re.compile(f"[{_DENSE}]").search
 _BASE = 0x9E3779B97F4A7C15
 
 
+def words(text: str | None) -> list[str]:
+    text = (text or "").lower()
+    return _WORDS(text) if text.isascii() or not _HAS_DENSE(text) else _MIXED(text)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in _WORDS((text or "").lower())], dtype=np.uint64)
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words(text)], dtype=np.uint64)
 
 
 def windows(h: np.ndarray, n: int = MATCH) -> np.ndarray:
@@ -67,77 +81,118 @@ class Block:
         self.item = np.concatenate([np.full(len(s), k) for k, s in enumerate(seeds)])[order] if seeds else np.zeros(0, int)
         self.at = np.concatenate([np.arange(len(s)) for s in seeds])[order] if seeds else np.zeros(0, int)
 
-    def matches(self, h: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Seed pairs (place in the item, place in the document) of each item that shares any."""
-        w = windows(h)
-        lo, hi = np.searchsorted(self.seeds, w, "left"), np.searchsorted(self.seeds, w, "right")
-        j = np.flatnonzero(hi > lo)
-        if not len(j):
+    def seeded(self, h: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """The items that share windows with a document: places of these in the item, and the
+        windows' hashes. Each window of the block is listed once, however often it occurs."""
+        found = np.unique(windows(h))
+        lo, hi = np.searchsorted(self.seeds, found, "left"), np.searchsorted(self.seeds, found, "right")
+        counts = hi - lo
+        if not counts.any():
             return {}
-        counts = hi[j] - lo[j]
-        at = np.repeat(lo[j] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        items, i, j = self.item[at], self.at[at], np.repeat(j, counts)
-        same = self._verified(h, items, i, j)
-        items, i, j = items[same], i[same], j[same]
-        return {int(k): (i[items == k], j[items == k]) for k in np.unique(items)}
-
-    def _verified(self, h: np.ndarray, items: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the words of a seed pair are equal, not only their window hash."""
-        base = np.concatenate([[0], np.cumsum([len(x) for x in self.words])[:-1]])
-        flat = np.concatenate(self.words)
-        ok = np.ones(len(i), dtype=bool)
-        for k in range(MATCH):
-            ok &= flat[base[items] + i + k] == h[j + k]
-        return ok
-
-
-def tile(i: np.ndarray, j: np.ndarray, n_item: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in the item, place in the document, words) from all seed pairs: the
-    longest first, ties by place in the item, then in the document."""
-    diagonal = j - i
-    order = np.lexsort((i, diagonal))
-    i, diagonal = i[order], diagonal[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(diagonal) != 0)]))
-    sizes = np.diff([*new, len(i)]) + MATCH - 1
-    heap = [(-int(n), int(i[k]), int(i[k] + diagonal[k])) for k, n in zip(new, sizes, strict=True)]
-    heapq.heapify(heap)
-    item_marks, doc_marks, tiles = np.zeros(n_item, dtype=bool), set(), []
-    while heap:
-        n, a, b = heapq.heappop(heap)
+        at = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        at = at[np.argsort(self.item[at], kind="stable")]
+        items, starts = np.unique(self.item[at], return_index=True)
+        return {int(k): (self.at[x], self.seeds[x]) for k, x in zip(items, np.split(at, starts[1:]), strict=True)}
+
+
+def _marked(starts: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in windows that begin at the starts."""
+    edge = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + MATCH, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def runs(item: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the item, place in the document, words) of the matches of at least MATCH words
+    that can be extended to neither side. Windows of doubled lengths get names, equal for equal
+    words, and a match grows by the longest windows that still agree."""
+    n, m = len(item), len(doc)
+    names = [np.unique(np.concatenate([item, doc]), return_inverse=True)[1].astype(np.int64)]
+    while 2 << (len(names) - 1) <= min(n, m):
+        x, size = names[-1], 1 << (len(names) - 1)
+        names.append(np.unique(x[:-size] * (n + m) + x[size:], return_inverse=True)[1].astype(np.int64))
+    k = MATCH.bit_length() - 1
+    x, shift = names[k], MATCH - (1 << k)
+    window = np.unique(x[: len(x) - shift] * (n + m) + x[shift:], return_inverse=True)[1].astype(np.int64)
+    i, j = np.arange(n - MATCH + 1), np.arange(m - MATCH + 1)
+    # the word before: none matches the beginning of an item or of a document
+    before_i, before_j = np.concatenate([[n + m], names[0][: n - 1]]), np.concatenate([[n + m + 1], names[0][n : n + m - 1]])
+    key_i, key_j = window[i] * (n + m + 2) + before_i[i], window[n + j] * (n + m + 2) + before_j[j]
+    order = np.argsort(key_i, kind="stable")
+    key_i, by_window = key_i[order], window[i][order]
+    edges = [np.searchsorted(by_window, window[n + j], "left"), np.searchsorted(key_i, key_j, "left"), np.searchsorted(key_i, key_j, "right"), np.searchsorted(by_window, window[n + j], "right")]
+    a, b = [], []
+    for lo, hi in ((edges[0], edges[1]), (edges[2], edges[3])):
+        counts = hi - lo
+        b.append(np.repeat(j, counts))
+        a.append(order[np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())])
+    a, b = np.concatenate(a), np.concatenate(b)
+    length = np.zeros(len(a), dtype=np.int64)
+    for k in range(len(names) - 1, -1, -1):
+        size = 1 << k
+        for _ in range(2 if k == len(names) - 1 else 1):
+            fits = (a + length + size <= n) & (b + length + size <= m)
+            at = np.flatnonzero(fits)
+            at = at[names[k][a[at] + length[at]] == names[k][n + b[at] + length[at]]]
+            length[at] += size
+    return a, b, length
+
+
+def tile(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in the item, place in the document, words): the longest first, ties by
+    place in the item, then in the document."""
+    a, b, length = runs(item, doc)
+    order = np.lexsort((b, a, -length))
+    a, b, length = a[order], b[order], length[order]
+    item_marks, doc_marks, tiles, at, left = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool), [], 0, len(item)
+    parts: list[tuple[int, int, int]] = []  # what is still free of longer matches competes again
+    while left >= MATCH and (at < len(a) or parts):
+        first = (-int(length[at]), int(a[at]), int(b[at])) if at < len(a) else None
+        if first is None or parts and parts[0] < first:
+            n, i, j = heapq.heappop(parts)
+        else:
+            (n, i, j), at = first, at + 1
         n = -n
-        free = [not item_marks[a + k] and b + k not in doc_marks for k in range(n)]
-        if all(free):
-            tiles.append((a, b, n))
-            item_marks[a : a + n] = True
-            doc_marks.update(range(b, b + n))
-            if item_marks.sum() > n_item - MATCH:
-                break
+        taken = item_marks[i : i + n] | doc_marks[j : j + n]
+        if not taken.any():
+            tiles.append((i, j, n))
+            item_marks[i : i + n] = doc_marks[j : j + n] = True
+            left -= n
             continue
-        start = None
-        for k in range(n + 1):  # what is still free of the match competes again
-            if k < n and free[k]:
-                start = k if start is None else start
-            elif start is not None:
-                if k - start >= MATCH:
-                    heapq.heappush(heap, (start - k, a + start, b + start))
-                start = None
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+        for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if end - start >= MATCH:
+                heapq.heappush(parts, (start - end, i + start, j + start))
     return tiles
 
 
 def covered(text: str | None, block: Block, least: float) -> list[tuple[int, float]]:
     """(item id, coverage) of the items that a text contains to the least share or more."""
     h = word_hashes(text)
-    out = []
-    for k, (i, j) in block.matches(h).items():
-        n = len(block.words[k])
+    own, out = None, []
+    for k, (i, seeds) in block.seeded(h).items():
+        item = block.words[k]
         # no tiling covers more of the item than its seeds do
-        if len(np.unique((i[:, None] + np.arange(MATCH)).ravel())) >= least * n:
-            share = sum(t[2] for t in tile(i, j, n)) / n
-            if share >= least:
-                out.append((block.ids[k], round(share, 9)))
+        if _marked(i, len(item)).sum() < least * len(item):
+            continue
+        own = windows(h) if own is None else own
+        near = _marked(np.flatnonzero(np.isin(own, seeds)), len(h))
+        # words outside all seeds are left out; one that equals no other stands for each gap
+        kept = np.flatnonzero(near | np.concatenate([[False], near[:-1]]))
+        doc = np.where(near[kept], h[kept], _gap(np.concatenate([item, h[kept]]), len(kept)))
+        share = sum(t[2] for t in tile(item, doc)) / len(item)
+        if share >= least and share > 0:
+            out.append((block.ids[k], round(share, 9)))
     return out
 
 
+def _gap(known: np.ndarray, n: int) -> np.ndarray:
+    """n distinct values that are not known."""
+    new = np.setdiff1d(np.arange(n + len(known), dtype=np.uint64), known)
+    return new[:n]
+
+
 def _blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks, one in the driver's memory at a time."""
     held, size = [], 0
@@ -159,17 +214,27 @@ def _finder(shared, least: float):
     return found
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = COVERAGE) -> DataFrame:
-    """Add `leaks`, an array of (item_id, coverage), the best first, to every row of docs."""
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = COVERAGE, out: str = "leaks") -> DataFrame:
+    """Add `out`, an array of (item_id, coverage), the best first, to every row of docs. A column
+    of that name in docs becomes `__` and the name."""
     kind = "array<struct<item_id:bigint,coverage:double>>"
-    out = docs.withColumn("leaks", F.array().cast(kind))
+    rows = docs.withColumnRenamed(out, f"__{out}").withColumn(out, F.array().cast(kind))
+    text = f"__{out}" if text == out else text
+    shared, held = None, None
     for items in _blocks(benchmark, item_id, item_text):
+        if shared is not None:
+            # the pass of the block before ends here
+            written = materialize(rows, "leaks")
+            shared.destroy()
+            if held is not None:
+                release(held)
+            rows = held = written
         shared = docs.sparkSession.sparkContext.broadcast(Block(items))
-        out = out.withColumn("leaks", F.concat("leaks", F.pandas_udf(_finder(shared, least), kind)(F.col(text))))
-    best = F.transform("leaks", lambda x: F.struct((-x["coverage"]).alias("c"), x["item_id"].alias("i")))
-    return out.withColumn("leaks", F.transform(F.array_sort(best), lambda x: F.struct(x["i"].alias("item_id"), (-x["c"]).alias("coverage"))))
+        rows = rows.withColumn(out, F.concat(out, F.pandas_udf(_finder(shared, least), kind)(F.col(text))))
+    best = F.transform(out, lambda x: F.struct((-x["coverage"]).alias("c"), x["item_id"].alias("i")))
+    return rows.withColumn(out, F.transform(F.array_sort(best), lambda x: F.struct(x["i"].alias("item_id"), (-x["c"]).alias("coverage"))))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that contain no benchmark item."""
-    return with_leaks(docs, benchmark, **how).where(F.size("leaks") == 0).drop("leaks")
+    """The rows of docs that contain no benchmark item, with the columns of docs."""
+    return with_leaks(docs, benchmark, out="__tiling_leaks", **how).where(F.size("__tiling_leaks") == 0).drop("__tiling_leaks")
