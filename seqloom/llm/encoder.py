@@ -1,10 +1,14 @@
 """Exact fast encoding with a byte-level BPE file of the tokenizers library.
 
 The GPT-2 style pre-tokeniser scans left to right without looking back, and between a blank and
-the non-blank character after it a word always begins. So a text is cut at its blanks, each
-distinct piece is encoded by the library once, many joined pieces a call, and the ids of the
-pieces are joined. Texts where that argument could fail (runs of blanks, unusual characters,
-strings of special tokens) go to the library whole. Other kinds of files always do.
+the non-blank character after it a word always begins, as it does at a line feed and after it. So
+a text is cut there, each piece (a blank or a line feed and what follows it) is encoded by the
+library's model when it is first met, and the ids of the pieces are joined. Texts where that
+argument could fail (runs of blanks or line feeds, unusual characters, strings of special
+tokens) go to the library whole. Other kinds of files always do.
+
+Defined cases: no texts give no ids, an empty text gives none, and a text that is not valid
+Unicode (a lone surrogate) is the library's affair, which refuses it.
 """
 
 from __future__ import annotations
@@ -12,12 +16,64 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
+#: Texts with characters other than these are not cut: line feed, ASCII from the blank on, and a
+#: range of letters and signs.
+_LEAST, _MOST = "¡", "ɏ"
+#: Marks that are one word of the pre-tokeniser after letters; an apostrophe is not, since it may
+#: begin a word of letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SAFE = bytes([10, *range(32, 127)])
-#: Pieces a call of the library, and pieces kept, which take about 160 bytes each.
-_JOIN, _CACHE = 2000, 200_000
+#: Pieces kept in each of two generations, about 160 bytes each.
+_CACHE = 200_000
+
+
+class _Pieces(dict):
+    """Ids of pieces, learnt when first looked up: of letters by one call of the model, of letters
+    and closing marks from both, of others by words of the pre-tokeniser. Two generations: when
+    the newer is full it becomes the older, from which pieces in use come back and the rest
+    are dropped."""
+
+    def __init__(self, tok, before: str, first: _Pieces | None = None):
+        super().__init__()
+        self.older, self.before, self.first = {}, before, first
+        self.tokenize, self.split = tok.model.tokenize, tok.pre_tokenizer.pre_tokenize_str
+        # what the pre-tokeniser writes for a blank and for letters beyond ASCII
+        self.blank = before and self.split(f"a{before}b")[1][0][0]
+        self.letters = {c: self.split(chr(c))[0][0] for c in range(ord(_LEAST), ord(_MOST) + 1)}
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(1 + max(tok.get_vocab().values()))]
+        self.marks: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            if piece.isalpha():
+                word = self.blank + (piece if piece.isascii() else piece.translate(self.letters))
+                found = b"".join([self.bytes_of[t.id] for t in self.tokenize(word)])
+            else:
+                found = self._mixed(piece)
+        if len(self) >= _CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+    def _mixed(self, piece: str) -> bytes:
+        if piece[:1] == "\n" and self.first is not None:
+            return self.first["\n"] + self.first[piece[1:]] if piece[1:] else self.first["\n"]
+        body = piece.rstrip(_MARKS)
+        if body.isalpha():
+            marks = piece[len(body) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._words(marks)
+            return self[body] + self.marks[marks]
+        return self._words(self.before + piece)
+
+    def _words(self, text: str) -> bytes:
+        return b"".join([self.bytes_of[t.id] for w, _ in self.split(text) for t in self.tokenize(w)])
 
 
 class Encoder:
@@ -25,8 +81,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.pieces = False
         if path.endswith(".model"):
             import sentencepiece
@@ -46,9 +100,8 @@ class Encoder:
         self.pieces = (pre.get("type"), pre.get("use_regex", True), pre.get("add_prefix_space")) == ("ByteLevel", True, False) and not conf.get("normalizer")
         self.special = [t["content"] for t in conf.get("added_tokens", [])]
         if self.pieces:
-            vocab = tok.get_vocab()
-            self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)  # tokens that begin with a blank
-            self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+            self.first = _Pieces(tok, "")
+            self.rest = _Pieces(tok, " ", self.first)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -63,47 +116,42 @@ class Encoder:
                 left = left.decode("utf-8")
             except UnicodeDecodeError:
                 return False
-            if min(left) < "¡" or max(left) > "ɏ":
+            if min(left) < _LEAST or max(left) > _MOST:
                 return False
-        return bool(text) and text[0] not in " \n" and text[-1] != " " and "  " not in text and " \n" not in text and not any(s in text for s in self.special)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode blank + piece for each new piece, from one text of many of them. Pieces hold no
-        blanks, so a token that begins with one begins a piece."""
-        for i in range(0, len(pieces), _JOIN):
-            some = pieces[i : i + _JOIN]
-            ids = np.array(self.library([" " + " ".join(some)])[0], dtype="<u4")
-            ends = [*np.flatnonzero(self.opens[ids])[1:].tolist(), len(ids)]
-            if len(ends) != len(some):
-                raise ValueError("the file's tokens do not keep blanks at the start of words")
-            body, at = ids.tobytes(), 0
-            for p, end in zip(some, ends, strict=True):
-                self.cache[p] = body[4 * at : 4 * end]
-                at = end
-
-    def _know(self, pieces: set[str]) -> None:
-        """Two generations of pieces: those in use move to the newer, the rest are dropped in time."""
-        new = pieces.difference(self.cache)
-        if len(self.cache) + len(new) > _CACHE:
-            self.older, self.cache, new = self.cache, {}, pieces
-        kept = new.intersection(self.older)
-        self.cache.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
-        self._learn(list(new.difference(kept)))
+        # two blank characters that a third or the end follows are one word with it
+        runs = ("  ", " \n", "\n\n\n", "\n\n ")
+        return not any(r in text for r in runs) and not text[-2:].isspace() and not any(s in text for s in self.special)
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The first word, and pieces: what follows a blank, or a line feed and what follows it."""
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return self.whole(texts)
-        cut = [t.split(" ") if self._can_cut(t) else None for t in texts]
-        self._know(set().union(*[c[1:] for c in cut if c]))
-        odd = [i for i, c in enumerate(cut) if c is None]
-        firsts = list({c[0] for c in cut if c})
-        first_ids = dict(zip(firsts, self.whole(firsts), strict=True))
-        whole = dict(zip(odd, self.whole([texts[i] for i in odd]), strict=True))
-        get = self.cache.__getitem__
-        return [whole[i] if c is None else first_ids[c[0]] + b"".join(map(get, c[1:])) for i, c in enumerate(cut)]
+        out: list[bytes | None] = []
+        rest, first, odd = self.rest.__getitem__, self.first.__getitem__, []
+        for i, text in enumerate(texts):
+            if self._can_cut(text):
+                cut = self._cut(text)
+                out.append(first(cut[0]) + b"".join(map(rest, islice(cut, 1, None))))
+            else:
+                odd.append(i)
+                out.append(None)
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
 
     def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """Where words of the pre-tokeniser begin, the number of tokens before each, and of all."""
+        """Where words of the pre-tokeniser begin, without a leading blank, the number of tokens
+        before each, and of all. Where a text can be cut, words at blanks and line feeds only."""
+        if self._can_cut(text):
+            cut = self._cut(text)
+            sizes = np.array([len(self.first[cut[0]]), *map(len, map(self.rest.__getitem__, cut[1:]))], dtype=np.int64) // 4
+            blank = np.array([0, *[p[:1] != "\n" for p in cut[1:]]], dtype=np.int64)
+            ends = np.cumsum(np.array(list(map(len, cut))) + blank)
+            return np.concatenate([[0], ends[:-1]]) + blank, np.cumsum(sizes) - sizes, int(sizes.sum())
         (e,) = self.tokenizer.encode_batch([text], add_special_tokens=False)
         # tokens of special strings have a word id of their own or none
         word = np.array([-1 - i if w is None else w for i, w in enumerate(e.word_ids)], dtype=np.int64)
