@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialize, release, scratch_path
+
+__all__ = ["ascii_lower", "materialize", "number_before", "release", "scratch_path", "small_or_whole", "table"]
+
 #: White space of the word contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,43 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or (only where that
-    is unset, as in local tests) a new temporary folder that then becomes the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/seqloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    Cuts lineage once, without the second computation that an eager checkpoint costs, and
-    survives the loss of any executor because the files are in shared storage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._seqloom_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete tables made by materialize() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_seqloom_path", None)
-        if path:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 #: Tables that are broadcast hold at most this many bytes, as JSON.
 MAX_BROADCAST = 16 << 20
 

@@ -6,14 +6,17 @@ closed by the end id; `first` is the number of ids of the shard before it. Shard
 keys, one a task, and a chunk has about CHUNK_BYTES. Parquet is what any executor can write to
 and read from any store that Spark reaches.
 
-Index: keys are dealt by hash into buckets of about BUCKET_KEYS. A bucket's minimal perfect hash
+Index: entries, a key and an occurrence number each, are dealt by hash into buckets of about
+BUCKET_KEYS. A bucket's minimal perfect hash
 is a cascade of bit arrays: a key takes its slot at the first level where no other key of the
 bucket hits its bit, and its rank there is its slot. Slots hold a 32-bit fingerprint, which
 tells keys that were never indexed, and (shard, chunk, offset, length). A look-up is a
 bounded number of probes, whatever the size of the data.
 
 Defined cases: a null text encodes to the end id alone; a null key is a key of its own that
-sorts first; repeated keys are told apart by their occurrence number in the files.
+sorts first (as -2^63, which it is read as, so that no other key may be that number); rows of
+one key stand in the order of their texts' xxhash64, may span shards, and are told apart by
+their occurrence number; an empty table gives empty files and no rows.
 """
 
 from __future__ import annotations
@@ -31,15 +34,15 @@ from .common import number_before, scratch_path
 from .encoder import batches_of, encoder
 
 CHUNK_BYTES, CHUNK_DOCS, BUCKET_KEYS, GAMMA, LEVELS = 4 << 20, 8192, 20_000, 2.0, 40
-_CHUNK = "shard int, chunk int, first bigint, payload binary, keys array<bigint>, times array<int>, lengths array<bigint>"
+_CHUNK = "shard int, chunk int, first bigint, payload binary, keys array<bigint>, times array<bigint>, lengths array<bigint>"
 _NULL_KEY = -(1 << 63)
 
 
 def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text") -> None:
     """Write the files of docs under `out`."""
     key = F.coalesce(F.col(id).cast("long"), F.lit(_NULL_KEY)).alias("key")
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key")
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").drop("h")
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
@@ -123,8 +126,17 @@ def _check(codes: np.ndarray) -> np.ndarray:
     return (_mix(codes, 7) >> np.uint64(32)).astype(np.int64)
 
 
-def _bucket(key, n: int):
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def _bucket(n: int):
+    return F.pmod(F.xxhash64("key", "times"), F.lit(n)).cast("int")
+
+
+def _earlier(chunks: DataFrame) -> DataFrame:
+    """(shard, key, earlier): how often a shard's first key occurs in the shards before it. Only
+    first keys can continue, so this is a row a shard at most."""
+    first = chunks.groupBy("shard").agg(F.min(F.get("keys", F.lit(0))).alias("key"))
+    counts = chunks.select("shard", F.explode("keys").alias("key")).join(F.broadcast(first.select("key").distinct()), "key", "left_semi").groupBy("key", "shard").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("shard", "key", F.sum("n").over(w).alias("earlier")).where(F.col("earlier") > 0)
 
 
 _INDEX = "bucket int, buckets int, sizes array<int>, bits binary, checks array<bigint>, shards array<int>, chunks array<int>, offsets array<bigint>, lengths array<bigint>"
@@ -142,7 +154,8 @@ def write_index(spark: SparkSession, path: str, out: str) -> None:
                 size = np.asarray(r.lengths, dtype=np.int64)
                 yield pd.DataFrame({"key": r.keys, "times": r.times, "shard": r.shard, "chunk": r.chunk, "at": np.cumsum(size) - size, "n": size})
 
-    rows = chunks.select("shard", "chunk", "keys", "times", "lengths").mapInPandas(entries, "key bigint, times int, shard int, chunk int, at bigint, n bigint")
+    rows = chunks.select("shard", "chunk", "keys", "times", "lengths").mapInPandas(entries, "key bigint, times bigint, shard int, chunk int, at bigint, n bigint")
+    rows = rows.join(F.broadcast(_earlier(chunks)), ["shard", "key"], "left").withColumn("times", F.col("times") + F.coalesce("earlier", F.lit(0))).drop("earlier")
 
     def build(df: pd.DataFrame) -> pd.DataFrame:
         codes = key_code(df["key"].to_numpy(), df["times"].to_numpy())
@@ -156,14 +169,14 @@ def write_index(spark: SparkSession, path: str, out: str) -> None:
             "chunks": [df["chunk"].to_numpy()], "offsets": [df["at"].to_numpy()], "lengths": [df["n"].to_numpy()],
         })
 
-    rows.withColumn("bucket", _bucket("key", buckets)).groupBy("bucket").applyInPandas(build, _INDEX).write.parquet(out)
+    rows.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(build, _INDEX).write.parquet(out)
 
 
 def find(keys: DataFrame, index: DataFrame) -> DataFrame:
     """keys(key, times) -> (key, times, shard, chunk, offset, n); keys that are not in the files
     give no row. A bucket's keys meet its index row in one task."""
     head = index.select("buckets").first()
-    schema = "key bigint, times int, shard int, chunk int, offset bigint, n bigint"
+    schema = "key bigint, times bigint, shard int, chunk int, offset bigint, n bigint"
     if head is None:
         return keys.sparkSession.createDataFrame([], schema)
 
@@ -180,7 +193,7 @@ def find(keys: DataFrame, index: DataFrame) -> DataFrame:
         take = lambda c: np.asarray(r[c])[at]
         return df.assign(shard=take("shards"), chunk=take("chunks"), offset=take("offsets"), n=take("lengths"))
 
-    keyed = keys.withColumn("bucket", _bucket("key", head["buckets"]))
+    keyed = keys.withColumn("bucket", _bucket(head["buckets"]))
     return keyed.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(look_up, schema)
 
 
@@ -210,8 +223,8 @@ def get(spark: SparkSession, path: str, keys: list[int], most: int = 10_000) ->
     head = index.select("buckets").first()
     if head is None or not keys:
         return {}
-    wanted = spark.createDataFrame([(k, 0) for k in keys], "key bigint, times int")
-    buckets = [r[0] for r in wanted.select(_bucket("key", head["buckets"])).distinct().collect()]
+    wanted = spark.createDataFrame([(k, 0) for k in keys], "key bigint, times bigint")
+    buckets = [r[0] for r in wanted.select(_bucket(head["buckets"])).distinct().collect()]
     found = find(wanted, index.where(F.col("bucket").isin(buckets))).collect()
     chunks = spark.read.schema(_CHUNK).parquet(f"{path}/files")
     out = {}
@@ -232,7 +245,8 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id: str = "doc_
     write_ids(docs, f"{out}/files", tokenizer, end_id, id, text)
     write_index(spark, f"{out}/files", f"{out}/index")
     key = F.coalesce(F.col(id).cast("long"), F.lit(_NULL_KEY)).alias("key")
-    times = (F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1).cast("int").alias("times")
-    found = find(docs.select(key).select("key", times), spark.read.schema(_INDEX).parquet(f"{out}/index"))
+    # every occurrence of every key, numbered without gathering the rows of a key
+    entries = docs.select(key).groupBy("key").agg(F.count("*").alias("n"))
+    found = find(entries.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("times")), spark.read.schema(_INDEX).parquet(f"{out}/index"))
     rows = fetch(found, read_ids(spark, f"{out}/files"))
     return rows.select(F.when(F.col("key") != _NULL_KEY, F.col("key")).alias(id), "start", "n_tokens", "ids_crc32")
