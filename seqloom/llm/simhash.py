@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .components import components
 
 HOT, BLOCK, BLOCK_LONGS = 48, 1024, 1 << 20
@@ -285,10 +285,14 @@ def links(fps: DataFrame, how: SimHash, texts: DataFrame | None = None) -> DataF
     With how.exact, fps has text_hash too, the xxhash64 of a row of texts(text), and only texts
     that meet another are read again for their shingles."""
     keys = materialize(_keys(fps, how), "segments")
-    sizes = keys.where(~F.col("probe")).groupBy("seg", "v").agg(F.count("*").alias("n"))
-    hot = materialize(sizes.where(F.col("n") > (HOT if how.hot is None else how.hot)), "hot")
-    any_hot = not hot.isEmpty()
-    cool = keys.join(hot, ["seg", "v"], "left_anti") if any_hot else keys
+    # a bucket of one row has no pair: only rows of the others are exchanged again
+    sizes = keys.groupBy("seg", "v").agg(F.count("*").alias("rows"), F.count_if(~F.col("probe")).alias("n"))
+    sizes = materialize(sizes.where((F.col("rows") > 1) & (F.col("n") > 0)).select("seg", "v", "n"), "buckets")
+    shared = materialize(keys.join(sizes, ["seg", "v"]), "shared")
+    release(keys, sizes)
+    hot = F.col("n") > (HOT if how.hot is None else how.hot)
+    hot_keys, cool = shared.where(hot).drop("n"), shared.where(~hot).drop("n")
+    any_hot = not hot_keys.isEmpty()
     met = cool.where(~F.col("probe")).select("seg", "v", F.col("id").alias("a")).join(
         cool.select("seg", "v", F.col("id").alias("b"), "probe"), ["seg", "v"]
     )
@@ -296,7 +300,6 @@ def links(fps: DataFrame, how: SimHash, texts: DataFrame | None = None) -> DataF
     if len(how.segment_bits) > 2:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     nodes = fps.select("id", F.col("fp").alias("of"))
-    hot_keys = keys.join(hot, ["seg", "v"]) if any_hot else None
     if how.exact:
         pairs = materialize(pairs, "pairs")
         met_ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
