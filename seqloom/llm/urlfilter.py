@@ -27,13 +27,20 @@ from .common import ascii_lower, materialize, release
 
 #: Filters larger than this (all levels, in bits) are not broadcast; rules are then joined.
 MAX_FILTER_BITS = 1 << 29
-#: Positions are (a * multiplier + b) modulo this prime, then modulo the filter's bits.
+#: Positions are (a * multiplier + b) modulo this prime, then modulo the filter's bits; a and b are
+#: two of a key's three hashes, another two for each level, so that keys which a level can
+#: never tell apart are told apart by the next.
 PRIME = (1 << 31) - 1
+HASHES = ["a", "b", "c"]
 
 
 def key_hashes(key: Column) -> list[Column]:
-    """Two hashes of a key below the prime, so that a * multiplier + b stays in 63 bits."""
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(PRIME)).alias("ab"[i]) for i in (0, 1)]
+    """Three hashes of a key below the prime, so that a * multiplier + b stays in 63 bits."""
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(PRIME)).alias(HASHES[i]) for i in range(3)]
+
+
+def _two(hashes: list, level: int) -> tuple:
+    return hashes[level % 3], hashes[(level + 1) % 3]
 
 
 def _salt(level: int, probe: int) -> int:
@@ -48,7 +55,8 @@ class Level:
     probes: int
     words: np.ndarray
 
-    def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def has(self, hashes: list[np.ndarray]) -> np.ndarray:
+        a, b = _two(hashes, self.number)
         ok = np.ones(len(a), dtype=bool)
         for j in range(self.probes):
             pos = (a * _salt(self.number, j) + b) % PRIME % self.bits
@@ -64,14 +72,15 @@ class Cascade:
     def bits(self) -> int:
         return sum(x.bits for x in self.levels)
 
-    def member(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def member(self, hashes: list[np.ndarray]) -> np.ndarray:
         """Exact for every key of the universe that the cascade was built over."""
+        n = len(hashes[0])
         if not self.levels:
-            return np.zeros(len(a), dtype=bool)
-        out = np.full(len(a), len(self.levels) % 2 == 1)
-        alive = np.ones(len(a), dtype=bool)
+            return np.zeros(n, dtype=bool)
+        out = np.full(n, len(self.levels) % 2 == 1)
+        alive = np.ones(n, dtype=bool)
         for i, level in enumerate(self.levels):
-            hit = level.has(a, b)
+            hit = level.has(hashes)
             out[alive & ~hit] = i % 2 == 1
             alive &= hit
         return out
@@ -81,7 +90,8 @@ def _level(number: int, keys: DataFrame, n: int, bits_per_key: float) -> Level:
     """The bits are set by a grouped bit_or, so at most bits / 64 rows reach the driver."""
     bits = max(64, math.ceil(n * bits_per_key))
     probes = max(1, round(bits_per_key * math.log(2)))
-    pos = F.explode(F.array(*[(F.col("a") * F.lit(_salt(number, j)) + F.col("b")) % F.lit(PRIME) % F.lit(bits) for j in range(probes)])).alias("pos")
+    a, b = _two([F.col(c) for c in HASHES], number)
+    pos = F.explode(F.array(*[(a * F.lit(_salt(number, j)) + b) % F.lit(PRIME) % F.lit(bits) for j in range(probes)])).alias("pos")
     rows = (
         keys.select(pos)
         .groupBy(F.shiftright("pos", 6).alias("word"))
@@ -98,10 +108,10 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
     shared = keys.sparkSession.sparkContext.broadcast(level)
 
     @F.pandas_udf("boolean")
-    def has(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.has(a.to_numpy(), b.to_numpy()))
+    def has(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has([a.to_numpy(), b.to_numpy(), c.to_numpy()]))
 
-    return keys.where(has("a", "b"))
+    return keys.where(has(*HASHES))
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, first_bits: float = 10.0, later_bits: float = 2.0, max_bits: int = MAX_FILTER_BITS) -> Cascade | None:
@@ -172,16 +182,16 @@ def _look_up(pages: DataFrame, cascades: list[Cascade], default: str) -> DataFra
     shared = pages.sparkSession.sparkContext.broadcast(cascades)
 
     @F.pandas_udf("array<int>")
-    def found(a: pd.Series, b: pd.Series) -> pd.Series:
+    def found(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         sizes = [0 if x is None else len(x) for x in a]
         join = lambda s: np.concatenate([np.zeros(0, np.int64), *[x for x in s if x is not None]]).astype(np.int64)
-        aa, bb = join(a), join(b)
-        block, allow = (c.member(aa, bb) for c in shared.value)
+        hashes = [join(x) for x in (a, b, c)]
+        block, allow = (cascade.member(hashes) for cascade in shared.value)
         code = np.where(block, 1, np.where(allow, 2, 0)).astype(np.int32)
         return pd.Series(np.split(code, np.cumsum(sizes)[:-1]) if sizes else [], dtype=object)
 
     hashes = lambda i: F.transform("__keys", lambda k: key_hashes(k)[i])
-    out = pages.withColumn("__code", found(hashes(0), hashes(1)))
+    out = pages.withColumn("__code", found(*map(hashes, range(3))))
     hit = F.filter(F.arrays_zip("__keys", "__code"), lambda x: x["__code"] > 0)
     out = out.withColumn("__hit", F.get(hit, F.lit(0)))
     verdict = F.when(F.col("__hit.__code") == 1, "block").when(F.col("__hit.__code") == 2, "allow").otherwise(default)
