@@ -70,13 +70,37 @@ def test_cascade_is_exact_over_its_universe(spark):
     cascade = urlfilter.build_cascade(listed, universe, first_bits=3.0, later_bits=1.5)
     assert len(cascade.levels) > 2
     rows = universe.select("key", *urlfilter.key_hashes(F.col("key"))).toPandas()
-    got = cascade.member(rows["a"].to_numpy(), rows["b"].to_numpy())
+    got = cascade.member([rows[c].to_numpy() for c in urlfilter.HASHES])
     assert (got == np.array([int(k[1:]) % 7 == 0 for k in rows["key"]])).all()
 
 
+def test_keys_that_share_two_hashes_are_told_apart(spark, monkeypatch):
+    real = urlfilter.key_hashes
+    monkeypatch.setattr(urlfilter, "key_hashes", lambda key: [F.lit(5).cast("long").alias("a"), F.lit(9).cast("long").alias("b"), real(key)[2]])
+    keys = spark.range(12).select(F.col("id").cast("string").alias("key"))
+    cascade = urlfilter.build_cascade(keys.where("key in ('3', '8')"), keys)
+    rows = keys.select("key", *urlfilter.key_hashes(F.col("key"))).toPandas()
+    assert {k for k, m in zip(rows["key"], cascade.member([rows[c].to_numpy() for c in urlfilter.HASHES]), strict=True) if m} == {"3", "8"}
+
+
 # 2
 
 
+def test_ridge_against_dense_numpy(spark):
+    """The model's equations, fold by fold, from the features of all rows at once."""
+    rng = np.random.default_rng(2)
+    stats = rng.normal(size=(120, len(quality.STATS)))
+    label = (stats[:, 0] + 0.3 * rng.normal(size=120) > 0).astype(int)
+    rows = [(s.tolist(), int(y), i % quality.FOLDS) for i, (s, y) in enumerate(zip(stats, label, strict=True))]
+    model = quality.fit(spark.createDataFrame(rows, "stats array<double>, label int, fold int").repartition(3))
+    assert model.mean == pytest.approx(stats.mean(0)) and model.scale == pytest.approx(stats.std(0))
+    x, fold, d = model.features(stats), np.arange(120) % quality.FOLDS, quality.FEATURES + 1
+    for k in range(quality.FOLDS + 1):
+        at = fold != k
+        want = np.linalg.solve(x[at].T @ x[at] + quality.RIDGE * at.sum() * np.eye(d) / d, x[at].T @ label[at])
+        assert model.weights[k] == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
 def test_quality_learns_and_handles_odd_rows(spark, docs, empty):
     rng = np.random.default_rng(1)
     word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
@@ -105,37 +129,87 @@ def test_isotonic_is_the_least_squares_fit():
 # 3
 
 
-def test_targets_stop_and_reshare():
-    out = mixing.targets([100, 10, 90], [5, 2, 1], 3)
-    assert np.isclose(out[1], 30) and np.isclose(sum(out), 200) and np.isclose(out[0] / out[2], 5)
-    assert mixing.targets([], [], 3) == []
+def brute_targets(sizes, weights, most=3):
+    """Shares by weight; what is above most * size stops and the rest is shared again."""
+    out, full = {}, set()
+    while True:
+        left = sum(sizes) - sum(most * sizes[i] for i in full)
+        weight = sum(w for i, w in enumerate(weights) if i not in full)
+        share = {i: left * weights[i] / weight for i in range(len(sizes)) if i not in full}
+        over = {i for i, x in share.items() if x > most * sizes[i]}
+        if not over:
+            return [most * sizes[i] if i in full else share[i] for i in range(len(sizes))]
+        full |= over
+
+
+def test_targets_stop_and_reshare(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        sizes = [int(x) for x in rng.integers(0, 1000, n) ** 2 // 100 + 1]
+        names = [f"s{i:03}" for i in range(n - 1)] + [None]
+        rows = [(s, x // 2) for s, x in zip(names, sizes, strict=True)] + [(s, x - x // 2) for s, x in zip(names, sizes, strict=True)]
+        got = mixing.sources_of(spark.createDataFrame(rows, "source string, size bigint").repartition(3)).orderBy("rank").collect()
+        assert [(r["source"], r["rank"], r["source_size"]) for r in got] == list(zip(names, range(n), sizes, strict=True))
+        assert [r["target"] for r in got] == pytest.approx(brute_targets(sizes, [(5, 2, 1)[i % 3] for i in range(n)]))
 
 
 def test_splitting_tree_is_exact():
-    quotas = np.array([1000, 3, 0, 517])
-    out = mixing.split_quotas(quotas, 7, 1)
-    assert (out.sum(axis=1) == quotas).all() and (out >= 0).all() and out.sum(axis=0).max() - out.sum(axis=0).min() <= 3
+    quotas, totals = np.array([1000, 3, 0, 517]), mixing.balanced(1520, 7)
+    out = mixing.split_quotas(quotas, totals, np.random.default_rng(1))
+    assert (out.sum(axis=1) == quotas).all() and (out >= 0).all() and (out.sum(axis=0) == totals).all()
+    draws = np.array([mixing.split_quotas(np.array([6, 4]), mixing.balanced(10, 2), np.random.default_rng(k))[0, 0] for k in range(4000)])
+    # a hypergeometric law: 5 of 10 blocks, 6 of them of the source
+    assert draws.mean() == pytest.approx(3.0, abs=0.05) and draws.var() == pytest.approx(2 / 3, abs=0.06)
+
+
+def _draws(df, **how):
+    out = mixing.plan(df, **how).toPandas()
+    out["draws"] = out["draws"].map(lambda x: tuple((d["shard"], d["block"]) for d in x))
+    return out
 
 
-def test_mixture_meets_targets(spark, docs, empty):
+def test_mixture_meets_targets(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 64)
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), None if i % 9 == 0 else f"s{i % 5}", i) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra int")
-    out = mixing.plan(df).toPandas()
-    again = mixing.plan(df.repartition(5)).toPandas()
-    key = lambda p: sorted((r.id, tuple(r.shards)) for r in p.itertuples())
+    out, again = _draws(df), _draws(df.repartition(5))
+    key = lambda p: sorted((r.id, r.draws) for r in p.itertuples())
     assert key(out) == key(again) and len(out) == 900
-    out["taken"] = out["shards"].map(len) * out["size"]
+    out["copies"] = out["draws"].map(len)
+    out["taken"] = out["copies"] * out["size"]
     sums = out.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"), known=("source_size", "first"))
     assert (sums["size"] == sums["known"]).all() and (sums["taken"] - sums["target"]).abs().max() < 25
-    assert (out["shards"].map(len) <= 3).all()
+    assert sums["target"].tolist() == pytest.approx(brute_targets(sums["size"].tolist(), [5, 2, 1, 5, 2, 1]))
+    assert (out["copies"] <= 3).all() and (out["copies"][out["size"] == 0] == 0).all()
+    # a block of a source lies in one shard, a document in a block once, and shards are near equal
+    homes, blocks = {}, Counter()
+    for r in out.itertuples():
+        assert len({b for _, b in r.draws}) == len(r.draws)
+        for shard, block in r.draws:
+            assert homes.setdefault((str(r.source), block), shard) == shard
+    blocks.update(homes.values())
+    assert set(blocks) == set(range(8)) and max(blocks.values()) - min(blocks.values()) <= 3
     mixed = mixing.mix(df)
-    assert mixed.count() == int(out["shards"].map(len).sum()) and "extra" in mixed.columns
+    assert mixed.count() == int(out["copies"].sum()) and "extra" in mixed.columns
     odd = mixing.plan(docs)
-    assert odd.count() == len(ROWS) and mixing.mix(docs).count() == odd.agg(F.sum(F.size("shards"))).first()[0]
+    assert odd.count() == len(ROWS) and mixing.mix(docs).count() == odd.agg(F.sum(F.size("draws"))).first()[0]
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_many_sources_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 1000)
+    df = spark.range(50_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.format_string("host%05d", F.col("id")).alias("source"))
+    out = mixing.plan(df).agg(F.count("*").alias("n"), F.sum("target").alias("t"), F.sum("size").alias("s"), F.sum(F.size("draws") * F.col("size")).alias("taken")).first()
+    assert out["n"] == 50_000 and out["t"] == pytest.approx(out["s"]) and out["taken"] == pytest.approx(out["s"], rel=0.35)
+    monkeypatch.setattr(mixing, "ROWS_A_BUCKET", 50)
+    same = spark.createDataFrame([(None, "one two three", "a")] * 600 + [(1, "b " * 50, "b")], "doc_id bigint, text string, source string")
+    got = mixing.mix(same).groupBy("source").count().collect()
+    want = mixing.plan(same).groupBy("source").agg(F.sum(F.size("draws")).alias("n"), F.first("target").alias("t")).collect()
+    assert {r["source"]: r["count"] for r in got} == {r["source"]: r["n"] for r in want if r["n"]}
+    assert all(abs(r["n"] * (3 if r["source"] == "a" else 50) - r["t"]) <= 25 for r in want)
+
+
 # 4
 
 
@@ -256,6 +330,7 @@ def library():
 def test_encoder_is_the_library(library, spark, small):
     texts = [t or "" for _, t, *_ in ROWS] + [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     texts += ["a  b", " a", "a ", "a\n b", "a \nb", "\n\n a\n", "don't we'll I'm", "tab\tx y", "é à", "a\u00a0b c", "x\u2003y z", "\x1c a \x85 b", "a <|endoftext|> b"]
+    texts += ["a\n\nb", "a\n\n\nb", "x.\nY z", "\n", "\nfoo bar", "foo\n", "foo \nb", "foo\n bar", "don't.\n'tis it's", "é*** ç!!", "a''b word' word's.", "###", "don't!! 'S", "x\n\n y", " ", "a9 9a ½ ª º²", "_a a_b __ A's 'll", "ab'ab. '", "(a) [b]! a.b"]
     got = encoder.encoder(tokenizer_file()).encode(texts)
     for t, g in zip(texts, got, strict=True):
         assert np.frombuffer(g, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:50]
@@ -285,6 +360,22 @@ def test_token_files_round_trip(docs, empty, library, monkeypatch):
     assert tokenout.round_trip(empty, tokenizer_file()).count() == 0
 
 
+def test_a_hot_key_spans_shards(spark, library):
+    """A third of the rows has no id; its rows fill several shards in the order of their texts."""
+    rows = [(None, f"text number {i}") for i in range(400)] + [(i, f"other {i}") for i in range(800)] + [(3, "again"), (3, "again")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted((r["start"], r["n_tokens"], r["ids_crc32"], r["doc_id"]) for r in tokenout.round_trip(df, tokenizer_file()).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    encoded = lambda t: np.array([*library.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+    assert Counter((r[3], r[2]) for r in got) == Counter((i, zlib.crc32(encoded(t).tobytes())) for i, t in rows)
+    assert [r[0] for r in got] == np.concatenate([[0], np.cumsum([r[1] for r in got])[:-1]]).tolist()
+    order = [(i is not None, i or 0) for *_, i in got]
+    assert order == sorted(order)
+
+
 def test_keyed_access(spark, docs, library, tmp_path):
     tokenout.round_trip(docs, tokenizer_file(), out=str(tmp_path))
     got = tokenout.get(spark, str(tmp_path), [1, 9, 11, 10, 999])
@@ -334,6 +425,35 @@ def test_walk_is_the_defined_one():
     assert editembed.walk([editembed._classes(text)])[0].tolist() == [*steps, j]
 
 
+def brute_print(text):
+    """Characters on which the walk stands at the sampled steps, step by step."""
+    moves, chars = editembed._moves(), editembed._classes(text)
+    j, at = 0, []
+    for c in chars:
+        wait = int(moves[c * editembed.PERIOD + j % editembed.PERIOD])
+        at += [int(c)] * wait
+        j += wait
+    level = max(0, int(np.ceil(np.log2(max(1, 2 * len(chars)) / editembed.SAMPLES))))
+    return level, at
+
+
+def brute_likeness(a, b):
+    (la, xa), (lb, xb) = brute_print(a), brute_print(b)
+    steps = [k for k in editembed._sampled(max(la, lb), 1 << 20).tolist() if k < max(len(xa), len(xb))]
+    return sum(k < min(len(xa), len(xb)) and xa[k] == xb[k] for k in steps) / len(steps) if steps else 0.0
+
+
+def test_likeness_by_its_definition():
+    rng = np.random.default_rng(7)
+    base = "".join(rng.choice(list("abcdefgh ij"), 700))
+    texts = [base, base[:350] + "z" + base[351:], base[:500], base * 3, base[::-1], "abc", "abd", base[100:]]
+    for a in texts:
+        for b in texts:
+            if a != b:
+                got = editembed.likeness(*editembed.fingerprints([a, b]))
+                assert got == pytest.approx(brute_likeness(a, b), abs=1e-6)
+
+
 @pytest.mark.parametrize("hot", [48, 0])
 def test_edit_near_duplicates(spark, monkeypatch, hot):
     monkeypatch.setattr(editembed, "HOT", hot)
@@ -350,9 +470,50 @@ def test_edit_near_duplicates(spark, monkeypatch, hot):
     assert all(r["class_id"] == r["doc_id"] % 8 for r in got) and len(got) == 40
 
 
+BIG = [(2**60 + 1, "one text of some words"), (2**60 + 3, "another text, of other words"), (None, "a third"), (-(2**60) - 1, "fourth")]
+
+
+def test_large_ids_beside_nulls(spark):
+    """No id passes through a floating number."""
+    df = spark.createDataFrame(BIG, "doc_id bigint, text string").coalesce(1)
+    ids = lambda out: sorted((r[0] for r in out.select("doc_id").collect()), key=str)
+    want = sorted((i for i, _ in BIG), key=str)
+    labels = spark.createDataFrame([(2**60 + 1, 1, 0), (-(2**60) - 1, 0, 0)], "doc_id bigint, quality int, toxic int")
+    path = tokenizer_file()
+    for out in (
+        editembed.edited_fingerprints(df), tokencount.count_tokens(df, path), tokencount.count_tokens(df, path, chunk=8, overlap=6), tokenout.round_trip(df, path),
+        quality.score_documents(df, labels), simhash.near_duplicates(df), sharding.shard_documents(df), mixing.plan(df.withColumn("source", F.lit("s"))).withColumnRenamed("id", "doc_id"),
+    ):
+        assert ids(out) == want
+    order = ["another text, of other words", "one text of some words", "fourth", "a third"]
+    got = {r["doc_id"]: r["edited_sha256"] for r in editembed.edited_fingerprints(df, bucket_chars=20).collect()}
+    for (i, t), nxt in zip([BIG[1], BIG[0], BIG[3], BIG[2]], [*order[1:], order[0]], strict=True):
+        assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()
+
+
 # 8
 
 
+def test_null_and_equal_keys_spread_over_shards(spark):
+    rows = [(None, f"{i:020}") for i in range(4000)] + [(1, "the same text")] * 2000
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).toPandas()
+    sums = out.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and abs(sums - sums.mean()).max() <= 0.01 * sums.mean() + 21
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+
+
+def test_splitters_against_a_full_sort(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(p), int(w)) for p, w in zip(rng.integers(0, sharding.SPAN, 3000), rng.integers(1, 500, 3000), strict=True)]
+    cuts = sharding.splitters(spark.createDataFrame(rows, "p bigint, size bigint"), 5, tolerance=0.0)
+    order = sorted(rows)
+    below = np.cumsum([w for _, w in order])
+    for i, cut in enumerate(cuts, 1):
+        got = sum(w for p, w in rows if p < cut)
+        assert abs(got - below[-1] * i // 5) == min(abs(int(x) - below[-1] * i // 5) for x in [0, *below])
+
+
 def test_shards_of_equal_bytes(spark, docs, empty):
     rng = np.random.default_rng(4)
     rows = [(i, "x" * int(rng.pareto(1.2) * 20)) for i in range(5000)]
@@ -412,6 +573,39 @@ def test_tiling_against_brute_force():
         assert (got[0][1] if got else 0.0) == pytest.approx(share, abs=1e-6)
 
 
+def test_repetitive_texts_stay_small():
+    import tracemalloc
+
+    for words in (["w"], ["a", "b"]):
+        item, text = " ".join(words * (20_000 // len(words))), " ".join(["x", *words * (20_000 // len(words))])
+        block = tiling.Block([(1, item)])
+        tracemalloc.start()
+        got = tiling.covered(text, block, 0.5)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == [(1, 1.0)] and peak < 300e6
+
+
+def test_scripts_without_blanks():
+    item = "吾輩は猫である。名前はまだ無い。どこで生れたか頓と見当がつかぬ。"
+    block = tiling.Block([(1, item)])
+    assert tiling.covered("前置き。" + item[16:] + "間に" + item[:16] + "終わり", block, 0.5)[0][1] > 0.9
+    assert tiling.covered("全く別の話をここに書くことにする。", block, 0.5) == []
+
+
+def test_clashing_columns_pass(spark, docs):
+    bench = spark.createDataFrame([(1, "w " * 9)], "item_id bigint, text string")
+    clash = docs.select("*", *[F.lit(7).alias(c) for c in ("leaks", "__leaks", "shard", "p", "size", "fp", "h", "id", "stats", "no_id", "bucket")])
+    assert tiling.decontaminate(clash, bench).columns == clash.columns and tiling.decontaminate(clash, bench).where("leaks = 7").count() == len(ROWS)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for out in (
+        quality.score_documents(clash, labels), mixing.plan(clash), simhash.near_duplicates(clash), tokencount.count_tokens(clash, tokenizer_file()),
+        tokenout.round_trip(clash, tokenizer_file()), editembed.edited_fingerprints(clash), sharding.shard_documents(clash),
+    ):
+        assert out.count() == len(ROWS)
+    assert mixing.mix(clash).where("leaks = 7").count() == mixing.mix(docs).count()
+
+
 def test_decontamination_finds_reordered_items(spark, docs, empty, monkeypatch):
     item = [f"q{i}" for i in range(40)]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "too short"), (4, ""), (None, "x " * 9), (5, " ".join(item))], "item_id bigint, text string")
@@ -439,6 +633,13 @@ def test_site_lines(spark, monkeypatch, most):
     assert len(out) == len(rows)
 
 
+def test_empty_pages(spark):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert lines.drop_boilerplate(pages).count() == 0
+    assert urlfilter.apply_rules(pages, urlfilter.rules_table(spark)).count() == 0
+    assert editembed.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
 # queries and pipeline
 
 
@@ -486,7 +687,7 @@ def test_pipeline_against_brute_force(spark, tmp_path, small):
         assert kept.columns == corpus_pipeline.COLUMNS
         assert {r[0] for r in kept.select("doc_id").collect()} == ids and kept.count() == len(ids), name
     mixed = corpus_pipeline.mix_sources(spark, kept, str(tmp_path))
-    plan = mixing.plan(kept).select("id", F.size("shards").alias("n")).where("n > 0").collect()
+    plan = mixing.plan(kept).select("id", F.size("draws").alias("n")).where("n > 0").collect()
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["id"]: r["n"] for r in plan})
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == mixed.count()
