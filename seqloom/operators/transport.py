@@ -41,6 +41,18 @@ def metric_of(metric: str | Callable) -> Callable:
     return METRICS[metric]
 
 
+def pairwise(rows: DataFrame, points: np.ndarray, metric: str | Callable = "cosine", vec: str = "vec", block: int = 256) -> DataFrame:
+    """Add `distances`, those of each row's vector to a bounded set of points, in blocks of rows."""
+    shared, f = rows.sparkSession.sparkContext.broadcast(np.asarray(points, dtype=float)), metric_of(metric)
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        parts = [f(np.stack(x.iloc[i : i + block].to_list()).astype(float), shared.value) for i in range(0, len(x), block)]
+        return pd.Series([d for p in parts for d in p], dtype=object)
+
+    return rows.withColumn("distances", run(vec))
+
+
 def transport_plan(p: np.ndarray, q: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """An optimal plan between masses p and q, by shortest augmenting paths with potentials."""
     n, m = len(p), len(q)

@@ -10,11 +10,12 @@ from seqloom.functions import distances as D
 from seqloom.functions import tokens as T
 from seqloom.operators import codecs, cooc, frames, grams, graph, linalg, mixture, paths, series, transport, weight
 from seqloom.operators import vocab as V
-from seqloom.operators.windows import WindowSpec, expand, geometric, harmonic, kernel_of
+from seqloom.operators.windows import WindowSpec, expand, geometric, harmonic, kernel_of, variable_radii
 from seqloom.plans import estimators as E
+from seqloom.plans.tables import numbered
 from seqloom.sources import sequences as S
 
-# The sequences for which results are published.
+# Fixed values, down to BPE: sequences for which results are published, and the results.
 NUMBERS = [[1, 3, 1, 4, 2], [2, 1, 2, 3, 4, 1, 2, 1, 3, 2, 4], [4, 1, 1, 3, 2, 4, 2], [1, 2, 2, 1, 2, 1, 3, 4, 3, 2, 4], [3, 4, 2, 1, 3, 1, 4, 4, 1, 3, 2], [2, 1, 3, 1, 4, 4, 1, 4, 1, 3, 2, 4]]
 TEXTS = [
     "foo pok foo wer bar", "", "bar foo bar pok wer foo bar foo pok bar wer", "wer foo foo pok bar wer bar",
@@ -366,6 +367,129 @@ def test_svd_and_compression(spark):
         linalg.compress_counts(coo(spark, -m), 6, 3)
 
 
+@pytest.mark.parametrize("bound", [linalg.BROADCAST_BYTES, 0])
+def test_svd_against_numpy(spark, monkeypatch, bound):
+    """Vectors in a broadcast array and in tables."""
+    monkeypatch.setattr(linalg, "BROADCAST_BYTES", bound)
+    rng = np.random.default_rng(4)
+    m = rng.random((40, 12)) * (rng.random((40, 12)) < 0.4) * np.arange(1, 13) ** 2
+    f = linalg.svd(coo(spark, m), 12, 4, n_iter=8, oversample=4)
+    u, s, vt = np.linalg.svd(m)
+    assert f.s == pytest.approx(s[:4], rel=1e-6)
+    rows = linalg.project(coo(spark, m), f).toPandas()
+    got = np.zeros((40, 4))
+    got[rows["row_id"]] = np.stack(rows["embedding"])
+    want = u[:, :4] * np.sqrt(s[:4])
+    assert got @ got.T == pytest.approx(want @ want.T, abs=1e-5)
+
+
+def test_options_of_windows_and_masks(seqs, spark):
+    rows = S.tokens_of_arrays(seqs(TEXTS))
+    vocab = V.vocabulary(rows)
+    # variable radii of two windows, one of them a callable
+    twice = lambda v, size: v.select("idx", F.when(F.col("idx") == 0, 2 * size).otherwise(size).alias("radius"))
+    model = E.CooccurrenceVectorizer((2, 1), ("after", "before"), ("flat", "harmonic"), window_functions=("variable", twice), normalize_windows=False).fit(seqs(TEXTS))
+    radii = {r["idx"]: r["radius"] for r in variable_radii(vocab, 2).collect()}
+    idx = {r["token"]: r["idx"] for r in vocab.collect()}
+    want: dict = {}
+    for text in TEXTS:
+        t = [idx[w] for w in text.split()]
+        for i, a in enumerate(t):
+            for j, b in enumerate(t):
+                if 0 < j - i <= radii[a]:
+                    want[a, 0, b] = want.get((a, 0, b), 0) + 1
+                if 0 < i - j <= (2 if a == 0 else 1):
+                    want[a, 1, b] = want.get((a, 1, b), 0) + 1 / (i - j)
+    assert cells(model.transform(seqs(TEXTS)), "row_id", "w", "c") == pytest.approx(want)
+    with pytest.raises(ValueError):
+        E.CooccurrenceVectorizer(window_functions=("odd",)).fit(seqs(TEXTS))
+    # a dictionary fixes the order, a mask keeps places, and its own cells count unless nullified
+    given = {"token_dictionary": ["wer", "foo"], "normalize_windows": False, "orientations": ("after",), "window_radii": (1,)}
+    plain = E.CooccurrenceVectorizer(**given, mask="<m>", nullify_mask=True).fit(seqs(PERMUTED)).transform(seqs(PERMUTED))
+    assert cells(plain, "row_id", "c") == {}
+    masked = E.CooccurrenceVectorizer(**given, mask="<m>").fit(seqs(PERMUTED))
+    assert {(r["row_label"], r["col_label"]) for r in masked.labelled(seqs(PERMUTED)).collect()} == {("wer", "post_0_<m>"), ("foo", "post_0_<m>"), ("<m>", "post_0_<m>"), ("<m>", "post_0_wer")}
+    skips = E.SkipgramVectorizer(window_radius=2, token_dictionary=["foo", "wer"], mask="<m>").fit(seqs(PERMUTED))
+    assert [(r["head"], r["tail"]) for r in skips.columns.collect()] == [(0, 1)] and skips.transform(seqs(PERMUTED)).count() == 1
+    own = E.SkipgramVectorizer(window_radius=1, window_function="variable").fit(seqs(TEXTS))
+    assert own.radius == max(r["radius"] for r in variable_radii(vocab, 1).collect())
+    grams_ = E.NgramVectorizer(2, token_dictionary=["pok", "wer"], ngram_dictionary=[("wer", "pok"), ("<m>", "pok")], mask="<m>").fit(seqs(PERMUTED))
+    assert cells(grams_.transform(seqs(PERMUTED)), "row_id", "col_id") == {(0, 0): 1, (1, 1): 1, (2, 1): 1}
+    none = E.NgramVectorizer(2, mask="<m>", nullify_mask=True, token_dictionary=["pok", "wer"]).fit(seqs(PERMUTED))
+    assert sorted(tuple(r["label"]) for r in none.columns.collect()) == [("pok", "wer"), ("wer", "pok")]
+
+
+def test_timed_windows_with_kernels_of_their_own(spark):
+    rows = spark.createDataFrame([(0, p, t, float(x)) for p, (t, x) in enumerate([("a", 0), ("b", 1), ("a", 3), ("c", 4)])], "doc_id int, pos int, token string, t double")
+    model = E.CooccurrenceVectorizer((1, 2), ("after",), ("flat", "geometric"), ({}, {"power": 0.5}), variant="timed", normalize_windows=False).fit(rows)
+    got = cells(model.transform(rows), "row_id", "w", "c")
+    gap = 4 / 3
+    assert got == pytest.approx({(0, 0, 1): 1, (1, 0, 0): 1, (0, 0, 2): 1, (0, 1, 1): 0.5 ** (1 / gap), (0, 1, 0): 0.5 ** (3 / gap), (1, 1, 0): 0.5 ** (2 / gap), (1, 1, 2): 0.5 ** (3 / gap), (0, 1, 2): 0.5 ** (1 / gap)}, abs=1e-5)
+
+
+def test_numbering_by_ranges(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 501).alias("a"), (F.col("id") % 3).alias("b")).repartition(5)
+    rows = sorted((r["a"], r["b"], r["idx"]) for r in numbered(df, "a", "b").collect())
+    assert [r[2] for r in rows] == list(range(500))
+    assert numbered(df.limit(0), "a").count() == 0
+
+
+def test_pairwise_distances(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(9, 3)), rng.normal(size=(4, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vec array<double>")
+    got = np.stack(transport.pairwise(df, y, "euclidean", block=2).orderBy("id").toPandas()["distances"])
+    assert got == pytest.approx(np.linalg.norm(x[:, None] - y[None], axis=2))
+
+
+def test_kernels_of_densities_and_bandwidth(spark):
+    values = [[0.0, 0.4, 1.1, 3.0], [2.0, 2.2]]
+    df = long(spark, values)
+    grid = spark.createDataFrame([(i, float(x)) for i, x in enumerate(np.linspace(-8, 12, 4001))], "g int, at double")
+    for name in series.DENSITIES:
+        sums = series.kde(df, grid, 0.5, name).groupBy("series_id").agg(F.sum("density").alias("s")).collect()
+        assert [r["s"] * 0.005 for r in sums] == pytest.approx([1.0, 1.0], abs=2e-3), name
+    with pytest.raises(ValueError):
+        series.kde(df, grid, 0.5, "odd")
+    every = sorted({x for v in values for x in v})
+    widths = np.geomspace(min(np.diff(every)), 3.0 / 3, 50)
+    phi = lambda d, h: math.exp(-0.5 * (d / h) ** 2) / (h * math.sqrt(2 * math.pi))
+    score = [sum(sum(phi(a - b, h) for j, b in enumerate(v) if j != i) / (len(v) - 1) for v in values for i, a in enumerate(v)) for h in widths]
+    assert series.jackknife_bandwidth(df) == pytest.approx(widths[int(np.argmax(score))])
+
+
+def test_log_gamma(spark):
+    xs = [1e-3, 0.5, 1.0, 2.0, 7.5, 1e3, 1e9, 1e15]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(series.log_gamma(F.col("x")).alias("g")).toPandas()["g"]
+    assert got.tolist() == pytest.approx([math.lgamma(x) for x in xs], rel=1e-10, abs=1e-10)
+
+
+def test_signatures_by_blocks(spark):
+    rng = np.random.default_rng(6)
+    paths_ = {i: rng.normal(size=(n, 2)) for i, n in enumerate([2, 5, 40, 137])}
+    flat = [(i, k, *map(float, p)) for i, x in paths_.items() for k, p in enumerate(x)] + [(9, 0, 1.0, 1.0)]
+    df = spark.createDataFrame(flat, "path_id int, pos int, x double, y double").repartition(3)
+    whole = spark.createDataFrame([(i, x.tolist()) for i, x in paths_.items()], "path_id int, points array<array<double>>")
+    for log in (False, True):
+        got = {r["path_id"]: r["signature"] for r in paths.signatures_of_rows(df, ["x", "y"], 3, log, block=7, fan=3).collect()}
+        want = {r["path_id"]: r["signature"] for r in paths.signatures(whole, 3, log).collect()}
+        assert set(got) == set(want)
+        assert all(got[i] == pytest.approx(want[i], rel=1e-8, abs=1e-8) for i in want)
+
+
+def test_options_of_codecs_and_sliding_kernels(spark):
+    # by hand: "", a, b, a known, ab known, aba
+    assert codecs.lz_phrases("ababab", ("ab",)) == {"": 1, "a": 2, "b": 1, "ab": 1, "aba": 1}
+    df = spark.createDataFrame([(0, "ababab"), (2**60 + 1, "aab"), (None, "ab")], "id bigint, s string")
+    assert {r["id"] for r in codecs.lz_counts(df).select("id").distinct().collect()} == {0, 2**60 + 1, None}
+    zero = E.LZCompressionVectorizer(max_columns=8, base_dictionary=("ab",), hash_function=lambda c: F.length(c)).fit_transform(df)
+    assert {r["col_id"] for r in zero.select("col_id").collect()} <= {0, 1, 2, 3}
+    rows = long(spark, [[1.0, 2.0, 4.0, 8.0]])
+    out = E.SlidingWindowTransformer(3, kernels=[series.differences, series.of_values(lambda v: v**2), series.of_values(np.sum)]).transform(rows).orderBy("start").collect()
+    want = [float((np.array(series.differences(3)) @ w) @ (np.array(series.differences(3)) @ w)) for w in (np.array([1, 2, 4.0]), np.array([2, 4, 8.0]))]
+    assert [r["values"][0] for r in out] == pytest.approx(want)
+
+
 def test_procrustes(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(40, 4))
