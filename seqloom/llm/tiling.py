@@ -49,7 +49,7 @@ def words(text: str | None) -> list[str]:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words(text)], dtype=np.uint64)
+    return np.array([xxhash.xxh64_intdigest(w) for w in words(text)], dtype=np.uint64)
 
 
 def windows(h: np.ndarray, n: int = MATCH) -> np.ndarray:
@@ -78,13 +78,24 @@ class Block:
         flat = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.seeds = flat[order]
+        # a bit for the top bits of each seed, so that most windows need no search
+        bits = min(24, max(16, (64 * len(flat)).bit_length()))
+        self.shift, self.table = np.uint64(64 - bits), np.zeros(1 << bits, dtype=bool)
+        self.table[flat >> self.shift] = True
         self.item = np.concatenate([np.full(len(s), k) for k, s in enumerate(seeds)])[order] if seeds else np.zeros(0, int)
         self.at = np.concatenate([np.arange(len(s)) for s in seeds])[order] if seeds else np.zeros(0, int)
 
+    def _shared(self, w: np.ndarray) -> np.ndarray:
+        """The windows that may be seeds: their top bits are in the table."""
+        return w[self.table[w >> self.shift]]
+
     def seeded(self, h: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """The items that share windows with a document: places of these in the item, and the
         windows' hashes. Each window of the block is listed once, however often it occurs."""
-        found = np.unique(windows(h))
+        found = self._shared(windows(h))
+        if not len(found):
+            return {}
+        found = np.unique(found)
         lo, hi = np.searchsorted(self.seeds, found, "left"), np.searchsorted(self.seeds, found, "right")
         counts = hi - lo
         if not counts.any():
