@@ -164,16 +164,16 @@ def _some(texts: list[str], limit: int = 1_500_000):
 
 
 #: Characters of a bucket, and ids that are sampled to place the borders of buckets.
-BUCKET_CHARS, BORDER_SAMPLE = 8_000_000, 200_000
+BUCKET_CHARS, BORDER_SAMPLE = 2_000_000, 200_000
 _KEY = ["no_id", "id", "h"]
 
 
 def with_neighbours(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """docs(no_id, id, text): add h, bucket and guest. In descending order of (id, h), h a hash of
     the text, each bucket holds a run of documents, and as guests the documents that follow
-    its last. One exchange of the texts. Buckets are about as many as tasks; what the driver
-    holds is one border and one top key a bucket, and at most BORDER_SAMPLE sampled keys,
-    which place the borders and do not change results."""
+    its last. One exchange of the texts. There are a few buckets a task, so that tasks even out,
+    and at most BORDER_SAMPLE; what the driver holds is one border and one top key a bucket,
+    and at most BORDER_SAMPLE sampled keys, which place the borders and do not change results."""
     docs = docs.withColumn("h", F.xxhash64("text"))
     keys = materialize(docs.select(*_KEY, F.length("text").alias("n")), "keys")
     rows, chars = keys.agg(F.count("*"), F.sum("n")).first()
