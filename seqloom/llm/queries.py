@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editembed, lines, mixing, quality, sharding, simhash, tiling, tokencount, tokenout, urlfilter
+from . import editembed, lines, mixing, quality, ranking, sharding, simhash, spelling, tiling, tokencount, tokenout, urlfilter
 from .common import table
 
 
@@ -102,6 +102,60 @@ kept AS (SELECT p.page_id, p.host, p.ls, list_filter(p.ls, lambda x: NOT list_co
 SELECT page_id, host, len(ls)::INT AS n_lines, (len(ls) - len(k))::INT AS n_dropped, coalesce(array_to_string(k, chr(10)), '') AS kept_text FROM kept
 """
 
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+g AS (SELECT count(*)::BIGINT AS docs, sum(len(ts))::BIGINT AS terms FROM d WHERE len(ts) > 0),
+p AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(ts)::BIGINT AS n, unnest(ts) AS t FROM d) GROUP BY doc_id, n, t),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY t, docs),
+q AS (
+  SELECT DISTINCT item_id, t FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark)),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), g GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, k::INT AS rank, doc_id, score FROM ranked WHERE k <= 10
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE codes AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+runs AS (
+  SELECT doc_id, r, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+  WHERE length(r) >= 6 GROUP BY doc_id, r),
+hexes AS (SELECT r, k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM runs),
+hashed AS (
+  SELECT r, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h
+  FROM hexes, codes),
+spoilt AS (SELECT k, CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word FROM hashed),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM spoilt WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT u, v, vn FROM (
+    SELECT a.word AS u, b.word AS v, b.n AS vn FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+    UNION ALL SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word)),
+best AS (SELECT u, count(*)::BIGINT AS n_near, first(v ORDER BY vn DESC, encode(v)) AS v, max(vn) AS vn FROM pairs GROUP BY u),
+forms AS (SELECT word, CASE WHEN vn >= 5 * n THEN v END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN vn >= 5 * n THEN vn END AS form_n FROM words LEFT JOIN best ON word = u),
+chain AS (SELECT word, word AS root, 0 AS step FROM forms UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_quality": op2_quality,
@@ -113,5 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_sort": op8_histogram_sort,
     "op9_decontamination": op9_decontamination,
     "op10_site_lines": op10_site_lines,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_spelling_variants": op12_spelling_variants,
 }
-SQL: dict[str, str] = {"op1_url_rules": OP1_SQL, "op10_site_lines": OP10_SQL}
+SQL: dict[str, str] = {"op1_url_rules": OP1_SQL, "op10_site_lines": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_spelling_variants": OP12_SQL}
