@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import editembed, lines, mixing, quality, ranking, sharding, simhash, spelling, tiling, tokencount, tokenout, urlfilter
+from . import editembed, langid, lines, mixing, quality, ranking, sharding, simhash, spelling, tiling, tokencount, tokenout, urlfilter
 from .common import table
 
 
@@ -156,6 +156,11 @@ roots AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 """
 
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_quality": op2_quality,
@@ -169,5 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_site_lines": op10_site_lines,
     "op11_ranked_search": op11_ranked_search,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_language_id": op13_language_id,
 }
 SQL: dict[str, str] = {"op1_url_rules": OP1_SQL, "op10_site_lines": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_spelling_variants": OP12_SQL}
