@@ -8,22 +8,24 @@ greedy string tiling). Tiles may lie in any order, so an item whose sentences we
 still covered. A document is contaminated by an item if the tiles cover at least COVERAGE of
 the item's words.
 
-The benchmark is a query set against all documents: its items go to every task in blocks of at
-most BLOCK_WORDS words, one pass a block, and the table is written between passes, so that
-driver and workers hold one block at a time. Documents are never exploded, joined or shuffled,
-and each is tiled within its own row. Only matches that no earlier word extends are listed, with
-lengths by names of doubled windows, so repetitive texts do not expand into all pairs of
-their words.
+The benchmark is a query set against all documents: its distinct items go to every task in blocks
+of at most BLOCK_WORDS words (or one item), one pass a block, and the table is written
+between passes, so that driver and workers hold one block at a time. Documents are never
+exploded, joined or shuffled, and each is tiled within its own row. Windows that match are
+listed by hash on either side and never as pairs, so repetitive texts take memory in
+proportion to their words.
 
 Defined cases: case and punctuation do not count (words are runs of letters and digits, lower
 case; in scripts that are written without blanks each character is a word); null or empty
 texts are never contaminated and null or shorter items than MATCH words contaminate nothing;
-repeated items count once, under the least item_id; columns of any name pass through.
+items of equal words count once, under the least item_id, whatever their blocks; an item without
+an id contaminates, and is named null where no equal item has an id; columns of any name pass
+through.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -66,12 +68,10 @@ class Block:
     """Benchmark items with an index of their seeds."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        seen: dict[bytes, None] = {}
         self.ids, self.words = [], []
-        for i, text in sorted(items, key=lambda x: x[0]):
+        for i, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0)):
             h = word_hashes(text)
-            if len(h) >= MATCH and h.tobytes() not in seen:
-                seen[h.tobytes()] = None
+            if len(h) >= MATCH:
                 self.ids.append(i)
                 self.words.append(h)
         seeds = [windows(h) for h in self.words]
@@ -114,67 +114,72 @@ def _marked(starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def runs(item: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the item, place in the document, words) of the matches of at least MATCH words
-    that can be extended to neither side. Windows of doubled lengths get names, equal for equal
-    words, and a match grows by the longest windows that still agree."""
-    n, m = len(item), len(doc)
-    names = [np.unique(np.concatenate([item, doc]), return_inverse=True)[1].astype(np.int64)]
-    while 2 << (len(names) - 1) <= min(n, m):
-        x, size = names[-1], 1 << (len(names) - 1)
-        names.append(np.unique(x[:-size] * (n + m) + x[size:], return_inverse=True)[1].astype(np.int64))
-    k = MATCH.bit_length() - 1
-    x, shift = names[k], MATCH - (1 << k)
-    window = np.unique(x[: len(x) - shift] * (n + m) + x[shift:], return_inverse=True)[1].astype(np.int64)
-    i, j = np.arange(n - MATCH + 1), np.arange(m - MATCH + 1)
-    # the word before: none matches the beginning of an item or of a document
-    before_i, before_j = np.concatenate([[n + m], names[0][: n - 1]]), np.concatenate([[n + m + 1], names[0][n : n + m - 1]])
-    key_i, key_j = window[i] * (n + m + 2) + before_i[i], window[n + j] * (n + m + 2) + before_j[j]
-    order = np.argsort(key_i, kind="stable")
-    key_i, by_window = key_i[order], window[i][order]
-    edges = [np.searchsorted(by_window, window[n + j], "left"), np.searchsorted(key_i, key_j, "left"), np.searchsorted(key_i, key_j, "right"), np.searchsorted(by_window, window[n + j], "right")]
-    a, b = [], []
-    for lo, hi in ((edges[0], edges[1]), (edges[2], edges[3])):
-        counts = hi - lo
-        b.append(np.repeat(j, counts))
-        a.append(order[np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())])
-    a, b = np.concatenate(a), np.concatenate(b)
-    length = np.zeros(len(a), dtype=np.int64)
-    for k in range(len(names) - 1, -1, -1):
-        size = 1 << k
-        for _ in range(2 if k == len(names) - 1 else 1):
-            fits = (a + length + size <= n) & (b + length + size <= m)
-            at = np.flatnonzero(fits)
-            at = at[names[k][a[at] + length[at]] == names[k][n + b[at] + length[at]]]
-            length[at] += size
-    return a, b, length
+class _Rolling:
+    """Karp-Rabin hashes of windows of any length, from running sums: word k counts BASE^-k."""
+
+    def __init__(self, h: np.ndarray, inverse: np.ndarray, base: np.ndarray):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * inverse[: len(h)], dtype=np.uint64)])
+        self.base, self.marks = base, np.zeros(len(h), dtype=bool)
+
+    def free(self, size: int) -> np.ndarray:
+        """Starts of the windows without a marked word."""
+        taken = np.concatenate([[0], np.cumsum(self.marks)])
+        return np.flatnonzero(taken[size:] == taken[: len(taken) - size])
+
+    def hashes(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return (self.sums[starts + size] - self.sums[starts]) * self.base[starts]
+
+
+def _powers(x: int, n: int) -> np.ndarray:
+    """1, x, x^2, .. modulo 2^64."""
+    out = np.full(n, x, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def tile(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in the item, place in the document, words): the longest first, ties by
-    place in the item, then in the document."""
-    a, b, length = runs(item, doc)
-    order = np.lexsort((b, a, -length))
-    a, b, length = a[order], b[order], length[order]
-    item_marks, doc_marks, tiles, at, left = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool), [], 0, len(item)
-    parts: list[tuple[int, int, int]] = []  # what is still free of longer matches competes again
-    while left >= MATCH and (at < len(a) or parts):
-        first = (-int(length[at]), int(a[at]), int(b[at])) if at < len(a) else None
-        if first is None or parts and parts[0] < first:
-            n, i, j = heapq.heappop(parts)
-        else:
-            (n, i, j), at = first, at + 1
-        n = -n
-        taken = item_marks[i : i + n] | doc_marks[j : j + n]
-        if not taken.any():
-            tiles.append((i, j, n))
-            item_marks[i : i + n] = doc_marks[j : j + n] = True
-            left -= n
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
-        for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if end - start >= MATCH:
-                heapq.heappush(parts, (start - end, i + start, j + start))
+    place in the item, then in the document. The greatest length of a free match is found by
+    halving; its windows are listed by hash on either side, never as pairs, and each is tried with
+    the first free place of its hash. A round leaves no match of its length, so there are at most
+    as many rounds as tiles of different lengths fit into the item."""
+    size = max(len(item), len(doc)) + 1
+    base, inverse = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
+    a, b = _Rolling(item, inverse, base), _Rolling(doc, inverse, base)
+    tiles, most = [], min(len(item), len(doc))
+
+    def met(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Free windows of n words on both sides that meet, and their hashes."""
+        i, j = a.free(n), b.free(n)
+        x, y = a.hashes(i, n), b.hashes(j, n)
+        both = np.intersect1d(x, y)
+        p, q = np.isin(x, both), np.isin(y, both)
+        return i[p], x[p], j[q], y[q]
+
+    while most >= MATCH:
+        low = MATCH - 1
+        while low < most:
+            n = (low + most + 1) // 2
+            low, most = (n, most) if len(met(n)[0]) else (low, n - 1)
+        if most < MATCH:
+            break
+        i, x, j, y = met(most)
+        order = np.argsort(y, kind="stable")
+        places, ends = j[order], dict(zip(*np.unique(y, return_counts=True), strict=True))
+        start = dict(zip(ends, np.cumsum([0, *ends.values()])[:-1].tolist(), strict=True))
+        ends = {k: start[k] + n for k, n in ends.items()}
+        for at, key in zip(i.tolist(), x, strict=True):
+            if a.marks[at : at + most].any():
+                continue
+            # a place that is taken once stays so
+            while start[key] < ends[key] and b.marks[places[start[key]] : places[start[key]] + most].any():
+                start[key] += 1
+            if start[key] < ends[key]:
+                to = int(places[start[key]])
+                if (item[at : at + most] == doc[to : to + most]).all():
+                    tiles.append((at, to, most))
+                    a.marks[at : at + most] = b.marks[to : to + most] = True
+        most -= 1
     return tiles
 
 
@@ -204,15 +209,24 @@ def _gap(known: np.ndarray, n: int) -> np.ndarray:
     return new[:n]
 
 
-def _blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks, one in the driver's memory at a time."""
+def _digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        found = [words(t) for t in batch]
+        yield pd.DataFrame({"n": [len(w) for w in found], "digest": [hashlib.sha256(" ".join(w).encode("utf-8", "surrogatepass")).digest() for w in found]})
+
+
+def _blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark's distinct items in blocks, one in the driver's memory at a time."""
+    found = F.pandas_udf(_digests, "n int, digest binary")
+    items = benchmark.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).withColumn("w", found("text"))
+    same = items.where(F.col("w.n") >= MATCH).groupBy("w.digest").agg(F.min("id").alias("id"), F.first("text").alias("text"), F.first("w.n").alias("n"))
     held, size = [], 0
-    for r in benchmark.where(F.col(text).isNotNull() & F.col(id).isNotNull()).select(id, text).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1].split())
-        if size >= BLOCK_WORDS:
+    for r in same.toLocalIterator():
+        if held and size + r["n"] > BLOCK_WORDS:
             yield held
             held, size = [], 0
+        held.append((r["id"], r["text"]))
+        size += r["n"]
     if held:
         yield held
 
@@ -220,7 +234,7 @@ def _blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[list[tuple[int
 def _finder(shared, least: float):
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[{"item_id": int(i), "coverage": c} for i, c in covered(t, shared.value, least)] for t in texts], dtype=object)
+            yield pd.Series([[{"item_id": i, "coverage": c} for i, c in covered(t, shared.value, least)] for t in texts], dtype=object)
 
     return found
 
