@@ -205,10 +205,16 @@ def _cuts(rows: DataFrame) -> DataFrame:
     return by_source.mapInPandas(cut, "source string, class int, cut bigint")
 
 
+def _identity(docs: DataFrame, seed: int) -> Column:
+    """A hash of a whole row, in which a null and the column it is in count."""
+    whole = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.xxhash64(F.lit(seed), *[x for c in whole for x in (c.isNull(), c)])
+
+
 def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: int = MOST, shards: int = 8, seed: int = 7) -> DataFrame:
     """(id, h, source, size, source_size, target, draws) for every row of docs: draws are the
-    (shard, block) of each copy that the mix takes; h is a hash of id and text."""
-    h = F.xxhash64(F.lit(seed), F.col(id), F.col(text))
+    (shard, block) of each copy that the mix takes; h is a hash of the row."""
+    h = _identity(docs, seed)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = materialize(docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"), h.alias("h")), "sizes")
     facts = _quotas(sources_of(rows, weights, most), most, shards, seed)
@@ -233,9 +239,9 @@ def plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, seed: int = 7, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with its `__shard`, its `__block` and
-    `__order`, the place of a row in its shard's local shuffle. Rows that are equal in id and
-    text count each, but the columns of one of them stand for all."""
-    h = F.xxhash64(F.lit(seed), F.col(id), F.col(text))
+    `__order`, the place of a row in its shard's local shuffle. Rows that are equal in all
+    columns count each."""
+    h = _identity(docs, seed)
     drawn = plan(docs, id, text, source, shards=shards, seed=seed, **how).select("id", "h", F.explode("draws").alias("x"))
     drawn = drawn.groupBy("id", "h", "x").agg(F.count("*").alias("n"))
     own = docs.withColumn("__h", h).dropDuplicates([id, "__h"])
