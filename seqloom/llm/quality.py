@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -166,9 +166,11 @@ def held_out(id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", predict_at: float = 0.7) -> DataFrame:
-    """(id, held_out, score, predicted) for every row of docs."""
-    rows = materialize(with_stats(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).select("id", "stats"), "stats")
+def score_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", predict_at: float = 0.7, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(id, held_out, score, predicted) for every row of docs, and the columns of `keep`."""
+    keep = keep or {}
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *[c.alias(f"keep_{k}") for k, c in keep.items()])
+    rows = materialize(with_stats(rows).drop("text"), "stats")
     known = labels.where(F.col(label).isNotNull() & ~held_out(id)).groupBy(F.col(id).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     train = rows.join(known, "id").withColumn("fold", F.pmod(F.shiftright(F.crc32(F.col("id").cast("string").cast("binary")), 2), F.lit(FOLDS)).cast("int"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(materialize(train, "train")))
@@ -177,5 +179,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
     def score(stats: pd.Series) -> pd.Series:
         return pd.Series(np.round(shared.value.score(np.stack(stats.to_numpy())), 9))
 
-    out = rows.select(F.col("id").alias(id), held_out("id").alias("held_out"), score("stats").alias("score"))
+    out = rows.select(F.col("id").alias(id), held_out("id").alias("held_out"), score("stats").alias("score"), *[F.col(f"keep_{k}").alias(k) for k in keep])
     return out.withColumn("predicted", (F.col("score") >= predict_at).cast("int"))
