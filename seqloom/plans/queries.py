@@ -28,7 +28,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return S.tokens_of_text(_t(spark, d, "documents"))
+    return S.tokens_of_text(S.spread(_t(spark, d, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

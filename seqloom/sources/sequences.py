@@ -13,9 +13,22 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Tables of fewer bytes than this are dealt out anew by spread().
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A small table, dealt out to all cores by its keys: a file with one row group is one task
+    however many cores there are, and what follows is grouped by these keys anyway. Larger
+    tables have tasks enough and stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size < SMALL else df
+
+
 def tokens_of_text(docs: DataFrame, id: str = "doc_id", text: str = "text", separator: str = " ") -> DataFrame:
     """Split texts at a literal separator; a null text has no tokens."""
-    return docs.select(F.col(id).alias("doc_id"), F.posexplode(F.split(text, f"\\Q{separator}\\E")).alias("pos", "token"))
+    plain = len(separator) == 1 and separator not in ".$|()[{^?*+\\"  # no pattern at all: the quick way to split
+    return docs.select(F.col(id).alias("doc_id"), F.posexplode(F.split(text, separator if plain else f"\\Q{separator}\\E")).alias("pos", "token"))
 
 
 def tokens_of_arrays(docs: DataFrame, id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
@@ -63,11 +76,11 @@ def sparse_vectors(coo: DataFrame, size: int) -> DataFrame:
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     @F.udf(VectorUDT())
-    def vector(entries):
-        return SparseVector(size, [e["col_id"] for e in entries], [e["value"] for e in entries])
+    def vector(at, values):
+        return SparseVector(size, at, values)
 
     packed = coo.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("col_id", "value"))).alias("entries"))
-    return packed.select("row_id", vector("entries").alias("features"))
+    return packed.select("row_id", vector(F.transform("entries", lambda e: e["col_id"]), F.transform("entries", lambda e: e["value"])).alias("features"))
 
 
 def write_matrix(coo: DataFrame, path: str, mode: str = "error") -> None:

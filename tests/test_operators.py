@@ -1,6 +1,7 @@
 """Golden values, equivalences between operators, and properties."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -644,3 +645,29 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("known").count() == rows.join(vocab, "token").count()
+
+
+def test_blocks_of_rows(spark, monkeypatch):
+    """Blocks hold whole rows, a long row is one of its own, and string ids stay."""
+    monkeypatch.setattr(linalg, "BLOCK_ENTRIES", 7)
+    rng = np.random.default_rng(8)
+    rows = [(f"r{i % 9}", int(c), float(v)) for i, (c, v) in enumerate(zip(rng.integers(0, 50, 200), rng.integers(1, 9, 200), strict=True))] + [("long", c, 1.0) for c in range(40)]
+    df = spark.createDataFrame(rows, "row_id string, col_id int, value double").repartition(5)
+    blocks = linalg.csr_blocks(df).collect()
+    ids = [i for b in blocks for i in b["ids"]]
+    assert sorted(ids) == sorted(set(r[0] for r in rows)) and len(blocks) > 3
+    back = linalg.block_entries(linalg.csr_blocks(df, norm=1, power=0.5)).toPandas()
+    size = {i: sum(r[2] for r in rows if r[0] == i) for i in ids}
+    assert Counter((a, b, round(v, 9)) for a, b, v in back.itertuples(index=False)) == Counter((a, b, round((v / size[a]) ** 0.5, 9)) for a, b, v in rows)
+    assert linalg.csr_blocks(df.limit(0)).count() == 0
+
+
+def test_krylov_of_a_flat_spectrum(spark):
+    """Singular values close to each other, which power iteration is slow to part."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(300, 60))
+    f = linalg.svd(coo(spark, m), 60, 8)
+    assert f.s == pytest.approx(np.linalg.svd(m)[1][:8], rel=1e-6)
+    with pytest.warns(UserWarning, match="nothing is compressed"):
+        same = linalg.compress_counts(coo(spark, np.abs(m)), 60, 60)[1].toPandas()
+    assert np.stack(same.sort_values("row_id")["embedding"]) == pytest.approx(np.abs(m))
