@@ -1,15 +1,17 @@
 """Compression tokenizers: Lempel-Ziv phrase counts and byte-pair encodings of strings.
 
 Both are sequential within a string and independent between strings, so strings are
-spread over tasks. Pair counts of a BPE round are one partially combined sum over all
-strings, distinct ones counted with multiplicity."""
+spread over tasks. Distinct strings are counted with multiplicity."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,17 +71,55 @@ def lz_matrix(counts: DataFrame, max_columns: int | None = 1 << 16, hash_functio
     return columns, out
 
 
-def contract(codes: list[int], pair: tuple[int, int], code: int) -> list[int]:
-    """Replace a pair by a code, greedily from the left."""
-    out, i, n = [], 0, len(codes)
-    while i < n:
-        if i + 1 < n and codes[i] == pair[0] and codes[i + 1] == pair[1]:
-            out.append(code)
-            i += 2
-        else:
-            out.append(codes[i])
-            i += 1
-    return out
+#: Stands between strings in an array of codes; no code is negative.
+BREAK = -1
+#: Codes of a block of strings; a longer string is a block of its own.
+BLOCK_CODES = 1 << 20
+#: Pairs that the driver holds, pairs it looks at for a round, and merges that tasks repeat before
+#: the strings are written anew.
+HELD, LOOK, PENDING = 100_000, 256, 64
+
+
+def found(codes: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
+    """Where a pair is merged, greedily from the left."""
+    at = np.flatnonzero((codes[:-1] == pair[0]) & (codes[1:] == pair[1]))
+    if pair[0] == pair[1] and len(at):
+        # in a run of one code every other place
+        first = np.concatenate([[True], np.diff(at) > 1])
+        at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
+    return at
+
+
+def contract(codes: np.ndarray, pair: tuple[int, int], code: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Replace a pair by a code."""
+    at = found(codes, pair) if at is None else at
+    if not len(at):
+        return codes
+    codes, keep = codes.copy(), np.ones(len(codes), dtype=bool)
+    codes[at], keep[at + 1] = code, False
+    return codes[keep]
+
+
+def joined(texts: Iterable[str | None], first: int) -> np.ndarray:
+    """Strings as codes, a BREAK after each; characters above the limit become code 0."""
+    flat = np.frombuffer("".join(f"{t or ''}\U0010ffff" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    ends = np.cumsum([len(t or "") + 1 for t in texts]) - 1
+    codes = np.where(flat < first, flat, 0).astype(np.int32)
+    codes[ends] = BREAK
+    return codes
+
+
+def pair_counts(codes: np.ndarray, times: np.ndarray, at: np.ndarray, sign: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that begin at the places, as a << 32 | b, and how often each counts."""
+    at = at[(at >= 0) & (at + 1 < len(codes))]
+    at = at[(codes[at] != BREAK) & (codes[at + 1] != BREAK)]
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    string = np.searchsorted(np.flatnonzero(codes == BREAK), at)
+    pairs, which = np.unique(codes[at].astype(np.int64) << 32 | codes[at + 1], return_inverse=True)
+    n = np.zeros(len(pairs), np.int64)
+    np.add.at(n, which, sign * times[string])
+    return pairs, n
 
 
 @dataclass
@@ -95,79 +135,169 @@ class Merges:
         a, b = self.pairs[code - self.first]
         return self.text_of(a) + self.text_of(b)
 
-    def encode(self, text: str) -> list[int]:
-        """Characters above the limit become code 0."""
-        codes = [c if c < self.first else 0 for c in map(ord, text)]
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The codes of each text; characters above the limit become code 0."""
+        if not texts:
+            return []
+        codes = joined(texts, self.first)
         for i, pair in enumerate(self.pairs):
-            if len(codes) > 1:
-                codes = contract(codes, pair, self.first + i)
-        return codes
+            codes = contract(codes, pair, self.first + i)
+        return [x[:-1] for x in np.split(codes, np.flatnonzero(codes == BREAK)[:-1] + 1)]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, codes: list[int]) -> str:
         return "".join(map(self.text_of, codes))
 
 
-def bpe_train(strings: DataFrame, text: str = "s", max_vocab: int = 10_000, limit: str | int = "unicode", min_count: int = 1, cut_every: int = 8) -> Merges:
-    """Merge the pair with the largest (count, length, codes) until its count is at most min_count
-    or 1, or the vocabulary is full. A round is one grouped count; the state is written every
-    few rounds, and the driver holds the merges only."""
-    first = (LIMITS[limit] if isinstance(limit, str) else limit) + 1
-    merges = Merges(first, [])
+def _blocks(strings: DataFrame, first: int) -> DataFrame:
+    """(codes, times): distinct strings and how often each occurs, in blocks of arrays."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(texts, times):
+            codes, times = joined(texts, first), np.array(times, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([codes.tobytes()], pa.binary()), pa.array([times.tobytes()], pa.binary())], ["codes", "times"])
+
+        texts, times, size = [], [], 0
+        for batch in batches:
+            for t, n in zip(batch.column("s").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                if texts and size + len(t) >= BLOCK_CODES:
+                    yield block(texts, times)
+                    texts, times, size = [], [], 0
+                texts.append(t)
+                times.append(n)
+                size += len(t) + 1
+        if texts:
+            yield block(texts, times)
+
+    rows = strings.groupBy("s").agg(F.count("*").alias("times"))
+    return rows.repartition(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s").mapInArrow(build, "codes binary, times binary")
+
+
+def _counted(state: DataFrame, done: list[tuple[tuple[int, int], int]], new: list[tuple[tuple[int, int], int]] | None) -> DataFrame:
+    """(pair, n) after the merges `done`: of all pairs, or what the merges `new` change."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, t in zip(batch.column("codes"), batch.column("times"), strict=True):
+                codes, times, parts = np.frombuffer(c.as_py(), np.int32), np.frombuffer(t.as_py(), np.int64), []
+                for pair, code in done:
+                    codes = contract(codes, pair, code)
+                if new is None:
+                    parts.append(pair_counts(codes, times, np.arange(len(codes))))
+                for pair, code in new or []:
+                    at = found(codes, pair)
+                    if len(at):
+                        parts.append(pair_counts(codes, times, np.unique(np.concatenate([at - 1, at, at + 1])), -1))
+                        codes = contract(codes, pair, code, at)
+                        made = np.flatnonzero(codes == code)
+                        parts.append(pair_counts(codes, times, np.unique(np.concatenate([made - 1, made]))))
+                if parts:
+                    pairs, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+
+    return state.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+
+
+def _written(state: DataFrame, done: list[tuple[tuple[int, int], int]]) -> DataFrame:
+    """The blocks with the merges in place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c in batch.column("codes"):
+                codes = np.frombuffer(c.as_py(), np.int32)
+                for pair, code in done:
+                    codes = contract(codes, pair, code)
+                out.append(codes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column("times")], ["codes", "times"])
+
+    return materialize(state.mapInArrow(run, "codes binary, times binary"), "codes")
+
+
+def _round(held: dict[int, int], sizes: list[int], first: int, least: int, most: int) -> list[tuple[int, int]]:
+    """The next merges, as single steps would choose them, as many as are certain together. Merging
+    a pair leaves the counts of pairs without its symbols alone, and the new pairs that it makes
+    are no more frequent than those it is next to. So a pair is next as long as it shares no
+    symbol with those before it, and no pair that does is as frequent. A pair of one symbol
+    twice makes pairs of its own kind and ends the round."""
+    size = lambda c: 1 if c < first else sizes[c - first]
+    split = lambda p: (p >> 32, p & 0xFFFFFFFF)
+    key = lambda x: (x[1], size(x[0] >> 32) + size(x[0] & 0xFFFFFFFF), split(x[0]))
+    top = heapq.nlargest(LOOK, held.items(), key=key)
+    chosen, used, more = [], set(), len(top) == LOOK
+    for p, n in top:
+        a, b = split(p)
+        tied = chosen and (more and n == top[-1][1] or any(m == n and q != p and used & set(split(q)) for q, m in top))
+        if n <= least or len(chosen) == most or used & {a, b} or tied:
+            break
+        chosen.append((a, b))
+        used |= {a, b}
+        if a == b:
+            break
+    return chosen
+
 
-    @F.pandas_udf("array<int>")
-    def codes_of(s: pd.Series) -> pd.Series:
-        return pd.Series([[c if c < first else 0 for c in map(ord, x)] for x in s], dtype=object)
+def bpe_train(strings: DataFrame, text: str = "s", max_vocab: int = 10_000, limit: str | int = "unicode", min_count: int = 1) -> Merges:
+    """Merge the pair with the largest (count, length, codes) until its count is at most min_count
+    or 1, or the vocabulary is full.
 
-    rows = strings.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("s")).agg(F.count("*").alias("times"))
-    characters = rows.select(F.explode(F.split("s", "")).alias("c")).distinct().count()
-    state = materialize(rows.select("times", codes_of("s").alias("codes")), "codes")
-    pending: list[tuple[tuple[int, int], int]] = []
+    Pair counts are kept and changed only by what merges change. Pairs of old symbols only become
+    rarer and pairs of a new symbol are counted when it is made, so the driver need hold only
+    the HELD most frequent pairs and is exact until the best of them is no more frequent than those
+    it left out; then all are counted anew. A round of several merges is one job, whose tasks
+    repeat the merges since the strings were last written."""
+    first = (LIMITS[limit] if isinstance(limit, str) else limit) + 1
+    merges, sizes, least = Merges(first, []), [], max(1, min_count)
+    known = strings.where(F.col(text).isNotNull()).select(F.col(text).alias("s"))
+    characters = known.select(F.explode(F.split("s", "")).alias("c")).distinct().count()
+    state = materialize(_blocks(known, first), "codes")
+    done: list[tuple[tuple[int, int], int]] = []
+    held, floor = {}, None
     while characters + len(merges.pairs) < max_vocab:
-        now = _contracted(state, pending)
-        pairs = now.select("times", F.explode(F.zip_with(F.slice("codes", 1, F.greatest(F.size("codes") - 1, F.lit(0))), F.expr("slice(codes, 2, greatest(size(codes) - 1, 0))"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-        top = pairs.groupBy("p.a", "p.b").agg(F.sum("times").alias("n"))
-        best = top.agg(F.max("n").alias("n")).first()["n"]
-        if best is None or best <= max(1, min_count):
+        if floor is None or floor and max(held.values(), default=0) <= floor:
+            top = _counted(state, done, None).where(F.col("n") > least).orderBy(F.desc("n")).limit(HELD + 1).toArrow()
+            n = top["n"].to_numpy()
+            floor = int(n[-1]) if len(n) > HELD else 0
+            held = {p: c for p, c in zip(top["pair"].to_pylist(), n.tolist(), strict=True) if c > floor}
+            if floor and not held:  # more pairs tie than the driver looks at: hold them all
+                held = {r["pair"]: r["n"] for r in _counted(state, done, None).where(F.col("n") >= floor).toLocalIterator()}
+                floor -= 1
+        chosen = _round(held, sizes, first, max(least, floor), max_vocab - characters - len(merges.pairs))
+        if not chosen:
             break
-        # ties at the top are few, and their lengths are known to the driver alone
-        tied = [(r["a"], r["b"]) for r in top.where(F.col("n") == best).collect()]
-        pair = max(tied, key=lambda p: (len(merges.text_of(p[0])) + len(merges.text_of(p[1])), p))
-        pending.append((pair, first + len(merges.pairs)))
-        merges.pairs.append(pair)
-        if len(pending) == cut_every:
-            after = materialize(_contracted(state, pending), "codes")
+        new = [(pair, first + len(merges.pairs) + i) for i, pair in enumerate(chosen)]
+        merges.pairs += chosen
+        for a, b in chosen:
+            sizes.append(sum(1 if c < first else sizes[c - first] for c in (a, b)))
+        change = _counted(state, done, new).toArrow()
+        made = {code for _, code in new}
+        for p, n in zip(change["pair"].to_pylist(), change["n"].to_pylist(), strict=True):
+            if p in held:
+                held[p] += n
+            elif n > floor and (p >> 32 in made or p & 0xFFFFFFFF in made):
+                held[p] = n
+        for a, b in chosen:
+            held.pop(a << 32 | b, None)
+        done += new
+        if len(done) >= PENDING:
+            after = _written(state, done)
             release(state)
-            state, pending = after, []
+            state, done = after, []
     release(state)
     return merges
 
 
-def _contracted(state: DataFrame, pending: list[tuple[tuple[int, int], int]]) -> DataFrame:
-    if not pending:
-        return state
-    todo = list(pending)
-
-    @F.pandas_udf("array<int>")
-    def run(codes: pd.Series) -> pd.Series:
-        out = []
-        for c in codes:
-            c = list(c)
-            for pair, code in todo:
-                c = contract(c, pair, code)
-            out.append(c)
-        return pd.Series(out, dtype=object)
-
-    return state.select("times", run("codes").alias("codes"))
-
-
 def bpe_encode(strings: DataFrame, merges: Merges, id: str = "id", text: str = "s", tokens: bool = True) -> DataFrame:
     """(id, tokens): strings as lists of token strings, or of codes."""
     shared = strings.sparkSession.sparkContext.broadcast(merges)
 
     @F.pandas_udf("array<string>" if tokens else "array<int>")
     def run(s: pd.Series) -> pd.Series:
-        m = shared.value
-        found = [m.encode(x) if x is not None else [] for x in s]
-        return pd.Series([[m.text_of(c) for c in f] for f in found] if tokens else found, dtype=object)
+        m, out = shared.value, []
+        for at in range(0, len(s), 512):
+            out += m.encode_all(s.iloc[at : at + 512].to_list())
+        return pd.Series([[m.text_of(c) for c in x.tolist()] for x in out] if tokens else out, dtype=object)
 
     return strings.select(F.col(id).alias("id"), run(F.col(text)).alias("tokens"))

@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.halo import Blocked, blocked
 from ..plans.tables import numbered
 from . import vocab as V
 from .windows import Kernel, flat
 
 
-def ngrams(tokens: DataFrame, n: int, behaviour: str = "exact", token: str = "token") -> DataFrame:
-    """(doc_id, pos, gram ARRAY): runs of n tokens, or with "subgrams" of 1 to n at each place."""
+def _held(rows: DataFrame, before: int, after: int, long: int | None) -> Blocked:
+    """Documents in groups; those of more than `long` tokens are cut into blocks."""
+    return Blocked(rows, "doc_id", "pos") if long is None else blocked(rows, "doc_id", "pos", before, after, long)
+
+
+def ngrams(tokens: DataFrame, n: int, behaviour: str = "exact", token: str = "token", long: int | None = None) -> DataFrame:
+    """(doc_id, pos, gram ARRAY): runs of n tokens, or with "subgrams" of 1 to n at each place. Documents
+    of more than `long` tokens are cut into blocks, each a group of its own."""
     if behaviour not in ("exact", "subgrams"):
         raise ValueError("behaviour is exact or subgrams")
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    ahead = [F.col(token)] + [F.lead(token, k).over(w) for k in range(1, n)]
-    sizes = [n] if behaviour == "exact" else range(1, n + 1)
-    grams = F.array(*[F.when(ahead[k - 1].isNotNull(), F.array(*ahead[:k])) for k in sizes])
     if n == 1:
         return tokens.select("doc_id", "pos", F.array(token).alias("gram"))
-    rows = tokens.select("doc_id", "pos", grams.alias("grams"))
+    held = _held(tokens.select("doc_id", "pos", token), 0, n - 1, long)
+    ahead = [F.col(token)] + [F.lead(token, k).over(held.window) for k in range(1, n)]
+    sizes = [n] if behaviour == "exact" else range(1, n + 1)
+    grams = F.array(*[F.when(ahead[k - 1].isNotNull(), F.array(*ahead[:k])) for k in sizes])
+    rows = held.own(held.rows.select("doc_id", "pos", *held.extra, grams.alias("grams")))
     return rows.select("doc_id", "pos", F.explode("grams").alias("gram")).where(F.col("gram").isNotNull())
 
 
@@ -68,19 +75,21 @@ def merge_counts(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame])
     return columns, parts[0].unionByName(parts[1])
 
 
-def pairs_after(encoded: DataFrame, radius: int, kernel: Kernel = flat, reverse: bool = False, carry: tuple[str, ...] = (), own_radii: str | None = None, mask: int | None = None) -> DataFrame:
+def pairs_after(encoded: DataFrame, radius: int, kernel: Kernel = flat, reverse: bool = False, carry: tuple[str, ...] = (), own_radii: str | None = None, mask: int | None = None, long: int | None = None) -> DataFrame:
     """(doc_id, head, tail, w): tokens and what follows them (or comes before) within the radius, or
-    within the token's own radius in a column. Pairs with the mask's index are left out."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
+    within the token's own radius in a column. Pairs with the mask's index are left out. Documents
+    of more than `long` tokens are cut into blocks."""
+    held = _held(encoded, radius if reverse else 0, 0 if reverse else radius, long)
     step = F.lag if reverse else F.lead
-    tail = lambda d: step("idx", d).over(w)
-    near: list[Column] = [F.struct((F.when(F.col(own_radii) >= d, tail(d)) if own_radii else tail(d)).alias("tail"), kernel(d).alias("w")) for d in range(1, radius + 1)]
-    rows = encoded.select("doc_id", F.col("idx").alias("head"), *carry, F.array(*near).alias("near"))
-    rows = rows.select("doc_id", "head", *carry, F.explode("near").alias("x"))
-    rows = rows.where(F.col("x.tail").isNotNull())
+    # contexts are plain columns first, so that only whole numbers are exploded
+    tails = {f"__t{d}": step("idx", d).over(held.window) for d in range(1, radius + 1)}
+    rows = held.own(held.rows.select("doc_id", F.col("idx").alias("head"), *carry, *held.extra, *([own_radii] if own_radii and own_radii not in carry else []), *[c.alias(t) for t, c in tails.items()]))
+    near: list[Column] = [F.when(F.col(own_radii) >= d, F.col(t)) if own_radii else F.col(t) for d, t in enumerate(tails, 1)]
+    rows = rows.select("doc_id", "head", *carry, F.posexplode(F.array(*near)).alias("d", "tail")).where(F.col("tail").isNotNull())
     if mask is not None:
-        rows = rows.where((F.col("head") != mask) & (F.col("x.tail") != mask))
-    return rows.select("doc_id", "head", *carry, "x.tail", "x.w")
+        rows = rows.where((F.col("head") != mask) & (F.col("tail") != mask))
+    weights = F.array(*[F.lit(kernel(d)).cast("double") for d in range(1, radius + 1)])
+    return rows.select("doc_id", "head", *carry, "tail", F.get(weights, F.col("d")).alias("w"))
 
 
 def skip_grams(encoded: DataFrame, radius: int = 5, kernel: Kernel = flat, reverse: bool = False, **how) -> DataFrame:

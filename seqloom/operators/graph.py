@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialize, numbered
+from ..plans.tables import materialize, numbered, release
 from .windows import Kernel, flat
 
 
@@ -34,39 +34,52 @@ def collapse(matrix: DataFrame, labels: DataFrame, key: tuple[str, ...] = ("tree
 
 def splice(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Take out the nodes whose label is not in keep(label): each parent inherits the children of
-    a removed node with the children's edge weights; self-loops are ignored and parallel edges
-    add up. One round joins a removed node's parents with its children, and chains of removed
-    nodes take as many rounds as the longest chain."""
+    a removed node with the children's edge weights, once for each way it reached the node; a
+    removed node's self-loops are ignored and parallel edges add up. The nodes go one after
+    another in a hashed order, many at once: a round takes those that come before all removed
+    nodes they share an edge with, and joins their parents with their children. Neighbours never
+    go in one round, so a round is what single steps would do, and each takes some node, on
+    cycles too."""
     known = nodes.join(keep.select("label").distinct(), "label", "left_semi")
-    inside = materialize(known.select("tree_id", "node_id"), "kept")
-    now = edges.where(F.col("src") != F.col("dst")).select("tree_id", "src", "dst", "weight")
-    end = lambda c: inside.select("tree_id", F.col("node_id").alias(c))
-    done = now.join(end("src"), ["tree_id", "src"], "left_semi").join(end("dst"), ["tree_id", "dst"], "left_semi")
-    open_ = now.join(end("src"), ["tree_id", "src"], "left_semi").join(end("dst"), ["tree_id", "dst"], "left_anti")
-    below = now.join(end("src"), ["tree_id", "src"], "left_anti").select("tree_id", F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("weight").alias("own"))
-    below = materialize(below, "below")
-    parts, open_ = [done], materialize(open_.select("tree_id", "src", "dst"), "open")
-    while not open_.isEmpty():
-        ahead = open_.join(below, ["tree_id", "dst"]).select("tree_id", "src", F.col("next").alias("dst"), F.col("own").alias("weight")).where(F.col("src") != F.col("dst"))
-        ahead = materialize(ahead, "ahead")
-        parts.append(ahead.join(end("dst"), ["tree_id", "dst"], "left_semi"))
-        open_ = materialize(ahead.join(end("dst"), ["tree_id", "dst"], "left_anti").select("tree_id", "src", "dst"), "open")
-    out = parts[0].select("tree_id", "src", "dst", "weight")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("tree_id", "src", "dst", "weight"))
-    return known, out.groupBy("tree_id", "src", "dst").agg(F.sum("weight").alias("weight"))
+    gone = nodes.join(keep.select("label").distinct(), "label", "left_anti")
+    turn = F.struct(F.xxhash64("tree_id", "node_id").alias("h"), "node_id")
+    left = materialize(gone.select("tree_id", "node_id", turn.alias("turn")).distinct(), "removed")
+    sums = lambda df: df.groupBy("tree_id", "src", "dst").agg(F.sum("ways").alias("ways"), F.sum("weight").alias("weight"))
+    now = materialize(sums(edges.withColumn("ways", F.lit(1.0))), "edges")
+    end = lambda c: left.select("tree_id", F.col("node_id").alias(c), F.col("turn").alias(f"turn_{c}"))
+    while not left.isEmpty():
+        both = now.where(F.col("src") != F.col("dst")).join(end("src"), ["tree_id", "src"]).join(end("dst"), ["tree_id", "dst"])
+        later = F.when(F.col("turn_src") < F.col("turn_dst"), F.col("dst")).otherwise(F.col("src"))
+        waits = both.select("tree_id", later.alias("node_id")).distinct()
+        free = materialize(left.join(waits, ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id"), "free")
+        at = lambda c: free.select("tree_id", F.col("node_id").alias(c))  # noqa: E731, B023
+        loose = now.where(F.col("src") != F.col("dst"))
+        above = loose.join(at("dst"), ["tree_id", "dst"], "left_semi").select("tree_id", "src", F.col("dst").alias("mid"), F.col("ways").alias("in"))
+        below = loose.join(at("src"), ["tree_id", "src"], "left_semi").select("tree_id", F.col("src").alias("mid"), "dst", "ways", "weight")
+        new = above.join(below, ["tree_id", "mid"]).select("tree_id", "src", "dst", (F.col("in") * F.col("ways")).alias("ways"), (F.col("in") * F.col("weight")).alias("weight"))
+        rest = now.join(at("src"), ["tree_id", "src"], "left_anti").join(at("dst"), ["tree_id", "dst"], "left_anti")
+        after = materialize(sums(rest.select("tree_id", "src", "dst", "ways", "weight").unionByName(new)), "edges")
+        still = materialize(left.join(free, ["tree_id", "node_id"], "left_anti"), "removed")
+        release(now, left, free)
+        now, left = after, still
+    inside = known.select("tree_id", "node_id")
+    for c in ("src", "dst"):
+        now = now.join(inside.withColumnRenamed("node_id", c), ["tree_id", c], "left_semi")
+    return known, now.select("tree_id", "src", "dst", "weight")
 
 
-def tree_cooccurrence(nodes: DataFrame, edges: DataFrame, radius: int = 5, kernel: Kernel = flat, orientation: str = "directional", keep: DataFrame | None = None, mask: str | None = None) -> DataFrame:
+def tree_cooccurrence(nodes: DataFrame, edges: DataFrame, radius: int = 5, kernel: Kernel = flat, orientation: str = "directional", keep: DataFrame | None = None, mask: str | None = None, nullify: bool = False) -> DataFrame:
     """(row_label, col_label, value): labels that walks of up to `radius` steps connect. With keep
-    and a mask, other labels become the mask, whose rows and columns stay empty; without a
-    mask their nodes are spliced out."""
+    and a mask, other labels become the mask, whose rows and columns stay empty if it is
+    nullified; without a mask their nodes are spliced out."""
     if orientation not in ("before", "after", "symmetric", "directional"):
         raise ValueError(f"unknown orientation {orientation!r}")
     if keep is not None and mask is None:
         nodes, edges = splice(nodes, edges, keep)
     elif keep is not None:
-        nodes = nodes.join(keep.select("label").distinct(), "label", "left_semi")
+        known = keep.where(F.col("label") != mask).select("label").distinct().withColumn("__known", F.lit(True))
+        nodes = nodes.join(known, "label", "left").withColumn("label", F.when(F.col("__known"), F.col("label")).otherwise(mask)).drop("__known")
+        nodes = nodes.where(F.col("label") != mask) if nullify else nodes
     after = collapse(walks(edges, radius, kernel), nodes)
     before = after.select(F.col("col_label").alias("row_label"), F.col("row_label").alias("col_label"), "value")
     if orientation == "after":

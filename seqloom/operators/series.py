@@ -1,7 +1,8 @@
 """Numeric series: sliding windows, differences, change points, histograms and densities.
 
 Series are rows (series_id, pos, x). Windows of a fixed width are `lead`s over one sort within a
-series; kernels are matrices whose rows become weighted sums of those columns."""
+series, or within blocks of a series that is too long for one task; kernels are matrices whose
+rows become weighted sums of those columns."""
 
 from __future__ import annotations
 
@@ -13,13 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.halo import blocked
 from ..plans.tables import before_parts, ranged
 
 
-def _w() -> Window:
-    return Window.partitionBy("series_id").orderBy("pos")
-
-
 def padded(series: DataFrame, width: int, value: float = 0.0) -> DataFrame:
     """`width` values before and after each series."""
     if width == 0:
@@ -31,10 +29,10 @@ def padded(series: DataFrame, width: int, value: float = 0.0) -> DataFrame:
 
 def sliding_windows(series: DataFrame, width: int = 10, stride: int = 1, sample: list[int] | None = None, pad: int = 0, pad_value: float = 0.0) -> DataFrame:
     """(series_id, start, points ARRAY) of all whole windows; sample picks places of a window."""
-    rows = padded(series, pad, pad_value)
-    at = [F.lead("x", k).over(_w()) for k in range(width)]
-    rows = rows.select("series_id", (F.row_number().over(_w()) - 1).alias("start"), at[-1].isNotNull().alias("whole") if width > 1 else F.lit(True).alias("whole"), F.array(*[at[k] for k in (sample or range(width))]).alias("points"))
-    return rows.where(F.col("whole") & (F.col("start") % stride == 0)).drop("whole")
+    held = blocked(padded(series, pad, pad_value), "series_id", "pos", 0, width - 1)
+    at = [F.lead("x", k).over(held.window) for k in range(width)]
+    rows = held.rows.select("series_id", *held.extra, held.rank().cast("int").alias("start"), at[-1].isNotNull().alias("whole") if width > 1 else F.lit(True).alias("whole"), F.array(*[at[k] for k in (sample or range(width))]).alias("points"))
+    return held.own(rows).where(F.col("whole") & (F.col("start") % stride == 0)).drop("whole")
 
 
 # Kernels: lists of rows, each a list of weights over the places of a window.
@@ -107,7 +105,8 @@ def of_values(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], n
 
 def sequential_differences(series: DataFrame, stride: int = 1) -> DataFrame:
     """(series_id, pos, x): x[i + stride] - x[i]."""
-    return series.select("series_id", "pos", (F.lead("x", stride).over(_w()) - F.col("x")).alias("x")).where(F.col("x").isNotNull())
+    held = blocked(series.select("series_id", "pos", "x"), "series_id", "pos", 0, stride)
+    return held.own(held.rows.withColumn("x", F.lead("x", stride).over(held.window) - F.col("x"))).where(F.col("x").isNotNull())
 
 
 def log_gamma(x: Column) -> Column:
@@ -128,8 +127,9 @@ def log_binomial(n: Column, k: Column) -> Column:
 def count_changepoints(series: DataFrame, width: int = 10, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
     """(series_id, start, score): how unexpected a window's last count is under the negative
     binomial that its other counts predict."""
-    before = _w().rowsBetween(-(width - 1), -1)
-    rows = series.select("series_id", (F.row_number().over(_w()) - width).alias("start"), F.col("x").cast("long").alias("x"), F.sum(F.col("x").cast("long")).over(before).alias("s"))
+    held = blocked(series.select("series_id", "pos", F.col("x").cast("long").alias("x")), "series_id", "pos", width - 1, 0)
+    before = held.window.rowsBetween(-(width - 1), -1)
+    rows = held.own(held.rows.withColumns({"start": (held.rank() + 1 - width).cast("int"), "s": F.sum("x").over(before)}))
     a, b, x = F.lit(alpha) + F.col("s"), beta + width - 1, F.col("x")
     p = 1.0 / (1.0 + b)
     score = -(log_binomial(x + a - 1, x) + a * math.log(1 - p) + x * math.log(p))

@@ -220,16 +220,17 @@ class CooccurrenceVectorizer(_Fit):
     def _fit(self, df: DataFrame) -> CooccurrenceModel:
         rows = _rows(df)
         model = CooccurrenceModel(self, _vocabulary(rows, self.token_dictionary, self.rules, _documents(df)))
+        if self.variant == "ngram":
+            # grams are pruned by the rules of tokens; a mask keeps its place in them
+            known = V.encode(rows, model.vocab, self.mask, close=False).join(model.names().select("idx", "token"), "idx")
+            model.gram_vocab = V.require_tokens(V.vocabulary(grams.ngrams(known, self.ngram_size), self.rules, _documents(df), key="gram"))
         for i, f in enumerate(self.functions()):
             if f is not None:
-                own = f(model.vocab, self.window_radii[i]).select("idx", F.col("radius").alias(f"radius{i}"))
+                own = f(model.vocab if model.gram_vocab is None else model.gram_vocab, self.window_radii[i]).select("idx", F.col("radius").alias(f"radius{i}"))
                 model.largest[i] = own.agg(F.max(f"radius{i}")).first()[0] or 1
                 model.radii = own if model.radii is None else model.radii.join(own, "idx")
         if self.variant == "timed":
             model.delta = cooc.mean_gap(V.encode(rows, model.vocab))
-        if self.variant == "ngram":
-            named = V.encode(rows, model.vocab).join(model.vocab.select("idx", "token"), "idx")
-            model.gram_vocab = V.vocabulary(grams.ngrams(named, self.ngram_size), key="gram")
         return model
 
 
@@ -255,8 +256,8 @@ class CooccurrenceModel(_Fitted):
             known = known if self.radii is None else known.join(self.radii, "idx", "left")
             return cooc.timed_contexts(known, windows, kernels, self.delta, normalize, mask)
         if how.variant == "ngram":
-            named = known.join(self.vocab.select("idx", "token"), "idx")
-            return cooc.ngram_contexts(named, known, how.ngram_size, windows, self.gram_vocab, normalize)
+            named = known.join(self.names().select("idx", "token"), "idx")
+            return cooc.ngram_contexts(named, known, how.ngram_size, windows, self.gram_vocab, normalize, self.radii, mask, how.mask)
         return cooc.contexts(known, windows, normalize, self.radii, mask)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -267,8 +268,12 @@ class CooccurrenceModel(_Fitted):
             out = cooc.em(cooc.exploded(self._contexts(rows, False)), out, self.how.n_iter, self.how.epsilon)
         return out
 
+    def names(self) -> DataFrame:
+        """(token, idx), the mask included."""
+        return self.vocab if self.how.mask is None else V.add_mask(self.vocab, self.how.mask)
+
     def labelled(self, df: DataFrame) -> DataFrame:
-        names = self.vocab if self.how.mask is None else V.add_mask(self.vocab, self.how.mask)
+        names = self.names()
         rows = names if self.gram_vocab is None else self.gram_vocab.select("idx", F.array_join("token", "_").alias("token"))
         return cooc.labelled(self.transform(df), self.windows(), rows, names)
 
@@ -280,19 +285,35 @@ class CooccurrenceModel(_Fitted):
 
 @dataclass(eq=False)
 class MultiSetCooccurrenceVectorizer(_Fit):
-    """Tokens by what shares their set or is in the sets around it; rows (doc_id, sets)."""
+    """Tokens by what shares their set or is in the sets around it; rows (doc_id, sets).
 
-    window_radius: int = 5
-    orientation: str = "directional"
-    kernel: str = "flat"
-    kernel_args: dict = field(default_factory=dict)
+    Radii, orientations, kernels and their arguments are one value or a list with one a window; a mask
+    stands for tokens outside the vocabulary, and with nullify_mask neither counts nor is counted."""
+
+    window_radius: Any = 5
+    orientation: Any = "directional"
+    kernel: Any = "flat"
+    kernel_args: Any = field(default_factory=dict)
     normalize_windows: bool = True
     n_iter: int = 0
     epsilon: float = 0.0
     rules: V.Prune = V.NO_PRUNING
+    mix_weights: tuple[float, ...] | None = None
+    token_dictionary: list | None = None
+    mask: str | None = None
+    nullify_mask: bool = False
+
+    def windows(self) -> list[WindowSpec]:
+        many = [len(v) for v in (self.window_radius, self.orientation, self.kernel, self.kernel_args, self.mix_weights) if isinstance(v, tuple | list)]
+        n = max(many, default=1)
+        if set(many) - {n}:
+            raise ValueError("radii, orientations, kernels and weights are of one length")
+        each = lambda v: list(v) if isinstance(v, tuple | list) else [v] * n
+        parts = zip(*map(each, (self.window_radius, self.orientation, self.kernel, self.kernel_args, 1.0 if self.mix_weights is None else self.mix_weights)), strict=True)
+        return [w for r, o, k, args, mix in parts for w in expand(o, r, kernel_of(k, **args), mix)]
 
     def _fit(self, df: DataFrame) -> MultiSetCooccurrenceModel:
-        return MultiSetCooccurrenceModel(self, V.require_tokens(V.vocabulary(S.multisets_of_arrays(df), self.rules, df.count())))
+        return MultiSetCooccurrenceModel(self, _vocabulary(S.multisets_of_arrays(df), self.token_dictionary, self.rules, df.count()))
 
 
 @dataclass(eq=False)
@@ -301,18 +322,30 @@ class MultiSetCooccurrenceModel(_Fitted):
     vocab: DataFrame
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        how = self.how
-        known = S.multisets_of_arrays(df).join(self.vocab.select("token", "idx"), "token")
-        windows = expand(how.orientation, how.window_radius, kernel_of(how.kernel, **how.kernel_args))
-        pairs = lambda n: cooc.multiset_pairs(known, windows, n).withColumn("pos", F.struct("set_pos", "item_pos"))
+        """(row_id, w, c, value)."""
+        how, windows = self.how, self.how.windows()
+        known = V.encode(S.multisets_of_arrays(df), self.vocab, how.mask, close=False)
+        mask = self.vocab.where(F.col("token") != how.mask).count() if how.mask is not None and how.nullify_mask else None
+        pairs = lambda n: cooc.multiset_pairs(known, windows, n, mask).withColumn("pos", F.struct("set_pos", "item_pos"))
         out = cooc.cells(pairs(how.normalize_windows))
         return cooc.em(pairs(False), out, how.n_iter, how.epsilon) if how.n_iter or how.epsilon > 0 else out
 
+    def labelled(self, df: DataFrame) -> DataFrame:
+        names = self.vocab if self.how.mask is None else V.add_mask(self.vocab, self.how.mask)
+        return cooc.labelled(self.transform(df), self.how.windows(), names, names)
+
+    def reduce_dimension(self, df: DataFrame, dimension: int = 150, power: float = 0.25, n_iter: int = 7, seed: int = 0) -> DataFrame:
+        n = self.vocab.count() + (self.how.mask is not None)
+        coo = self.transform(df).select("row_id", (F.col("c") + F.col("w") * n).alias("col_id"), "value")
+        return linalg.reduce_cooccurrence(coo, n * len(self.how.windows()), dimension, power, self.how.n_iter > 0, n_iter, seed)
+
 
 @dataclass(eq=False)
 class LabelledTreeCooccurrenceVectorizer(_Fit):
     """Labels that walks in trees connect. Trees are edges (tree_id, src, dst, weight); their nodes
-    (tree_id, node_id, label) are a parameter, as are the rules on labels."""
+    (tree_id, node_id, label) are a parameter, as are the rules on labels or a dictionary of them.
+    Nodes of other labels are spliced out, or with a mask stay in their places under its
+    name; with nullify_mask the mask's own cells go."""
 
     nodes: DataFrame
     window_radius: int = 5
@@ -321,10 +354,12 @@ class LabelledTreeCooccurrenceVectorizer(_Fit):
     kernel_args: dict = field(default_factory=dict)
     rules: V.Prune = V.NO_PRUNING
     mask: str | None = None
+    nullify_mask: bool = False
+    token_dictionary: list | None = None
 
     def _fit(self, df: DataFrame) -> LabelledTreeCooccurrenceModel:
         tokens = self.nodes.select(F.col("tree_id").alias("doc_id"), F.col("label").alias("token"))
-        vocab = V.require_tokens(V.vocabulary(tokens, self.rules, tokens.select("doc_id").distinct().count()))
+        vocab = _vocabulary(tokens, self.token_dictionary, self.rules, tokens.select("doc_id").distinct().count())
         return LabelledTreeCooccurrenceModel(self, vocab)
 
 
@@ -338,7 +373,7 @@ class LabelledTreeCooccurrenceModel(_Fitted):
         """(row_label, col_label, value); set nodes for trees other than the fitted ones."""
         how, nodes = self.how, self.nodes if self.nodes is not None else self.how.nodes
         keep = self.vocab.select(F.col("token").alias("label"))
-        return graph.tree_cooccurrence(nodes, df, how.window_radius, kernel_of(how.kernel, **how.kernel_args), how.orientation, keep, how.mask)
+        return graph.tree_cooccurrence(nodes, df, how.window_radius, kernel_of(how.kernel, **how.kernel_args), how.orientation, keep, how.mask, how.nullify_mask)
 
 
 @dataclass(eq=False)

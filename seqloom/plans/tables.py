@@ -64,9 +64,9 @@ def before_parts(parts: DataFrame, value: Column) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
-    """Number rows from 0 in an order, for tables of any length: ranges are numbered each in a task
-    of its own, and the numbers of rows before them are added."""
-    rows = ranged(df, *order)
-    at = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    found = rows.withColumn("at", at).join(before_parts(rows, F.lit(1)), "part")
-    return found.withColumn(out, (F.col("before") + F.col("at") - 1).cast("long")).drop("part", "at", "before")
+    """Number rows from 0 in an order, for tables of any length: ranges are sorted each in a task of
+    its own, and the numbers of rows before them are added."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    rows = materialize(rows, "numbers").withColumn("part", F.shiftright("__id", 33))
+    at = F.col("__id") - F.shiftleft("part", 33)
+    return rows.join(before_parts(rows, F.lit(1)), "part").withColumn(out, (F.col("before") + at).cast("long")).drop("part", "__id", "before")

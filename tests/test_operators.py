@@ -671,3 +671,173 @@ def test_krylov_of_a_flat_spectrum(spark):
     with pytest.warns(UserWarning, match="nothing is compressed"):
         same = linalg.compress_counts(coo(spark, np.abs(m)), 60, 60)[1].toPandas()
     assert np.stack(same.sort_values("row_id")["embedding"]) == pytest.approx(np.abs(m))
+
+
+def test_long_sequences_are_cut_into_blocks(spark, monkeypatch):
+    """Windows over blocks with halos are those over whole sequences."""
+    from seqloom.plans import halo
+
+    rng = np.random.default_rng(2)
+    rows = [(s, int(p), float(x)) for s, n in ((1, 700), (None, 333), (2, 40), (3, 1)) for p, x in zip(np.cumsum(rng.integers(1, 4, n)), rng.integers(0, 9, n), strict=True)]
+    df = spark.createDataFrame(rows, "series_id int, pos int, x double").repartition(6)
+    tokens = df.select(F.col("series_id").alias("doc_id"), "pos", F.col("x").cast("int").alias("idx"))
+    words = tokens.select("doc_id", "pos", F.concat(F.lit("t"), "idx").alias("token"))
+    windows = [WindowSpec("before", 7, harmonic), WindowSpec("after", 3)]
+    timed = tokens.withColumn("t", F.col("pos") * 1.0)
+
+    def results():
+        long = halo.LONG
+        yield series.sliding_windows(df, 9, stride=2, pad=3)
+        yield series.sequential_differences(df, 5)
+        yield series.count_changepoints(df, 8)
+        yield cooc.exploded(cooc.contexts(tokens, windows, long=long))
+        yield cooc.exploded(cooc.timed_contexts(timed, windows, long=long))
+        yield grams.ngrams(words, 4, "subgrams", long=long)
+        yield grams.pairs_after(tokens, 6, harmonic, long=long)
+        yield grams.pairs_after(tokens, 6, harmonic, reverse=True, long=long)
+        vocab = V.vocabulary(grams.ngrams(words, 2), key="gram")
+        yield cooc.exploded(cooc.ngram_contexts(words, tokens, 2, windows, vocab, long=long))
+
+    pack = lambda df: Counter(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    whole = [pack(r) for r in results()]
+    monkeypatch.setattr(halo, "LONG", 100)
+    monkeypatch.setattr(halo, "BLOCK", 16)
+    held = halo.blocked(df, "series_id", "pos", 3, 2)
+    assert held.cut and held.rows.where("series_id = 1").select("__block").distinct().count() >= 700 // 16
+    assert sorted(r[0] for r in held.own(held.rows.where("series_id = 1").withColumn("r", held.rank())).select("r").collect()) == list(range(700))
+    assert [pack(r) for r in results()] == whole
+
+
+def test_ngram_rows_with_masks_and_variable_windows(seqs):
+    docs = ["a b c a b d", "d a a b", "c c c c", "b"]
+    known = ["a", "b"]
+
+    def brute(texts, radius_of, nullify):
+        out: dict = {}
+        for text in texts:
+            t = [w if w in known else "<m>" for w in text.split()]
+            for i in range(len(t) - 1):
+                gram = f"{t[i]}_{t[i + 1]}"
+                if nullify and gram == "<m>_<m>":
+                    continue
+                for j, c in enumerate(t):
+                    if nullify and c == "<m>":
+                        continue
+                    if 0 < j - i - 1 <= radius_of(gram):
+                        out[gram, f"post_0_{c}"] = out.get((gram, f"post_0_{c}"), 0) + 1
+                    if 0 < i - j <= radius_of(gram):
+                        out[gram, f"pre_0_{c}"] = out.get((gram, f"pre_0_{c}"), 0) + 1
+        return out
+
+    how = {"variant": "ngram", "window_radii": (2,), "token_dictionary": known, "mask": "<m>", "normalize_windows": False}
+    for nullify in (False, True):
+        got = cells(E.CooccurrenceVectorizer(**how, nullify_mask=nullify).fit(seqs(docs)).labelled(seqs(docs)), "row_label", "col_label")
+        assert got == brute(docs, lambda g: 2, nullify)
+    some = lambda v, size: v.select("idx", (F.col("n") % 2 + size - 1).cast("int").alias("radius"))
+    model = E.CooccurrenceVectorizer(**how, window_functions=(some,)).fit(seqs(docs))
+    radii = {"_".join(r["token"]): r["n"] % 2 + 1 for r in model.gram_vocab.collect()}
+    assert set(radii.values()) == {1, 2}
+    assert cells(model.labelled(seqs(docs)), "row_label", "col_label") == brute(docs, radii.get, False)
+    pruned = E.CooccurrenceVectorizer(**how, rules=V.Prune(min_occurrences=3)).fit(seqs(docs))
+    assert {tuple(r["token"]) for r in pruned.gram_vocab.collect()} == {("a", "b"), ("<m>", "<m>")}
+
+
+def test_multisets_with_windows_and_masks(spark):
+    sets = [[["a", "b"], ["c"], ["a", "x"], []], [["b", "b"], ["y", "a"]]]
+    df = spark.createDataFrame(list(enumerate(sets)), "doc_id bigint, sets array<array<string>>")
+    known = ["a", "b", "c"]
+    for nullify in (False, True):
+        want: dict = {}
+        for doc in sets:
+            for i, own in enumerate(doc):
+                for n, x in enumerate(own):
+                    for j, other in enumerate(doc):
+                        for m, y in enumerate(other):
+                            p, q = (v if v in known else "<m>" for v in (x, y))
+                            if (i, n) == (j, m) or nullify and "<m>" in (p, q):
+                                continue
+                            if 0 <= j - i <= 1:
+                                want[p, f"post_0_{q}"] = want.get((p, f"post_0_{q}"), 0) + 2 * 0.5 ** (j - i)
+                            if 0 <= i - j <= 2:
+                                want[p, f"pre_0_{q}"] = want.get((p, f"pre_0_{q}"), 0) + 1
+        how = E.MultiSetCooccurrenceVectorizer((1, 2), ("after", "before"), ("geometric", "flat"), ({"power": 0.5}, {}), normalize_windows=False, mix_weights=(2.0, 1.0), token_dictionary=known, mask="<m>", nullify_mask=nullify)
+        model = how.fit(df)
+        assert cells(model.labelled(df), "row_label", "col_label") == pytest.approx(want)
+    assert len(model.reduce_dimension(df, 2).first()["embedding"]) == 2
+    with pytest.raises(ValueError):
+        E.MultiSetCooccurrenceVectorizer((1, 2), ("after",) * 3).fit(df).transform(df)
+
+
+def test_trees_with_masks_and_dictionaries(spark):
+    nodes, edges = tree(spark, ["abac", "xbc"])
+    how = {"window_radius": 2, "orientation": "after", "token_dictionary": ["a", "c"]}
+    got = lambda **more: cells(E.LabelledTreeCooccurrenceVectorizer(nodes, **how, **more).fit(edges).transform(edges), "row_label", "col_label")
+    assert got(mask="<m>") == {("a", "<m>"): 1, ("a", "a"): 1, ("<m>", "a"): 1, ("<m>", "c"): 3, ("a", "c"): 1, ("<m>", "<m>"): 1}
+    assert got(mask="<m>", nullify_mask=True) == {("a", "a"): 1, ("a", "c"): 1}
+    assert got() == {("a", "a"): 1, ("a", "c"): 2}
+
+
+def test_splice_on_cycles_is_removal_one_by_one(spark):
+    from collections import defaultdict
+
+    rng = np.random.default_rng(11)
+    cases = [([("k", "r1"), ("r1", "r2"), ("r2", "r1"), ("r2", "k")], {"k"})]
+    for _ in range(5):
+        pairs = [(f"{'rk'[int(a) % 3 == 0]}{a}", f"{'rk'[int(b) % 3 == 0]}{b}") for a, b in rng.integers(0, 9, (16, 2))]
+        cases.append((pairs, {x for p in pairs for x in p if x[0] == "k"}))
+    edges = [(t, a, b, float(1 + i)) for t, (pairs, _) in enumerate(cases) for i, (a, b) in enumerate(pairs)]
+    nodes = sorted({(t, x, x) for t, a, b, _ in edges for x in (a, b)})
+    n = spark.createDataFrame(nodes, "tree_id int, node_id string, label string")
+    e = spark.createDataFrame(edges, "tree_id int, src string, dst string, weight double")
+    order = [(r["tree_id"], r["node_id"]) for r in n.orderBy(F.xxhash64("tree_id", "node_id"), "node_id").collect()]
+    ways, weight = defaultdict(float), defaultdict(float)
+    for t, a, b, w in edges:
+        ways[t, a, b] += 1
+        weight[t, a, b] += w
+    keep = {(t, x) for t, (_, k) in enumerate(cases) for x in k}
+    for t, x in order:
+        if (t, x) in keep:
+            continue
+        own = [k for k in ways if k[0] == t]
+        for _, a, mid in own:
+            for _, start, b in own:
+                if mid == start == x and a != x and b != x:
+                    ways[t, a, b] += ways[t, a, x] * ways[t, x, b]
+                    weight[t, a, b] += ways[t, a, x] * weight[t, x, b]
+        for k in own:
+            if x in k[1:]:
+                del ways[k], weight[k]
+    labels = spark.createDataFrame([(x,) for _, k in cases for x in k], "label string")
+    got = {tuple(r)[:3]: r["weight"] for r in graph.splice(n, e, labels)[1].collect()}
+    assert got == pytest.approx(dict(weight))
+
+
+@pytest.mark.parametrize("held", [codecs.HELD, 7])
+def test_bpe_merges_are_those_of_the_plain_loop(spark, monkeypatch, held):
+    """Several merges a round, a bounded table of pairs and strings written anew change nothing."""
+    monkeypatch.setattr(codecs, "HELD", held)
+    monkeypatch.setattr(codecs, "PENDING", 5)
+    monkeypatch.setattr(codecs, "BLOCK_CODES", 60)
+    rng = np.random.default_rng(held)
+    texts = ["".join(rng.choice(list("aab cdé"), rng.integers(0, 30))) for _ in range(60)] + ["aaaaaaa", "abab" * 9, "", "a"] * 3
+    df = spark.createDataFrame([*enumerate(texts), (999, None)], "id int, s string").repartition(3)
+    merges = codecs.bpe_train(df, max_vocab=60)
+    want, codes, text = [], [list(map(ord, t)) for t in texts], {c: chr(c) for c in range(0x110000)}
+    while 7 + len(want) < 60:
+        counts = Counter(p for c in codes for p in zip(c, c[1:], strict=False))
+        pair, n = max(counts.items(), key=lambda x: (x[1], len(text[x[0][0]]) + len(text[x[0][1]]), x[0]))
+        if n <= 1:
+            break
+        new = 0x110000 + len(want)
+        text[new] = text[pair[0]] + text[pair[1]]
+        want.append(pair)
+        for k, c in enumerate(codes):
+            out, i = [], 0
+            while i < len(c):
+                hit = tuple(c[i : i + 2]) == pair
+                out.append(new if hit else c[i])
+                i += 1 + hit
+            codes[k] = out
+    assert merges.pairs == want
+    got = {r["id"]: r["tokens"] for r in codecs.bpe_encode(df, merges, tokens=False).collect()}
+    assert all(got[i] == c for i, c in enumerate(codes)) and got[999] == []
