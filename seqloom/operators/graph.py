@@ -41,7 +41,7 @@ def splice(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFra
     go in one round, so a round is what single steps would do, and each takes some node, on
     cycles too."""
     known = nodes.join(keep.select("label").distinct(), "label", "left_semi")
-    gone = nodes.join(keep.select("label").distinct(), "label", "left_anti")
+    gone = nodes.join(known, ["tree_id", "node_id"], "left_anti")
     turn = F.struct(F.xxhash64("tree_id", "node_id").alias("h"), "node_id")
     left = materialize(gone.select("tree_id", "node_id", turn.alias("turn")).distinct(), "removed")
     sums = lambda df: df.groupBy("tree_id", "src", "dst").agg(F.sum("ways").alias("ways"), F.sum("weight").alias("weight"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -70,9 +70,48 @@ def lyndon_words(d: int, level: int) -> list[tuple[int, ...]]:
     return sorted(out, key=lambda x: (len(x), x))
 
 
+@cache
+def bracket(word: tuple[int, ...]) -> dict[tuple[int, ...], int]:
+    """The words and coefficients of a Lyndon word's bracket: of the word uv, whose longest proper
+    Lyndon suffix is v, it is [u, v]."""
+    if len(word) == 1:
+        return {word: 1}
+    cut = next(k for k in range(1, len(word)) if all(word[k:] < word[j:] for j in range(k + 1, len(word))))
+    out: dict[tuple[int, ...], int] = {}
+    u, v = bracket(word[:cut]), bracket(word[cut:])
+    for a, x in u.items():
+        for b, y in v.items():
+            out[a + b] = out.get(a + b, 0) + x * y
+            out[b + a] = out.get(b + a, 0) - x * y
+    return {w: n for w, n in out.items() if n}
+
+
+@cache
+def _lyndon_basis(d: int, level: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the places of the Lyndon words, and the matrix from coefficients of brackets to
+    coefficients at words, which is triangular: a bracket's other words are greater than its own."""
+    out = []
+    for n in range(1, level + 1):
+        words = [w for w in lyndon_words(d, n) if len(w) == n]
+        at = {w: i for i, w in enumerate(words)}
+        m = np.zeros((len(words), len(words)))
+        for j, w in enumerate(words):
+            for other, c in bracket(w).items():
+                if other in at:
+                    m[at[other], j] = c
+        out.append((np.array([_place(w, d) for w in words], dtype=int), m))
+    return out
+
+
+def lyndon_coefficients(log: list[np.ndarray], d: int) -> np.ndarray:
+    """A tensor logarithm in the basis of the Lyndon words' brackets, by length and then in order."""
+    parts = [np.linalg.solve(m, x[at]) if len(at) else np.zeros(0) for x, (at, m) in zip(log, _lyndon_basis(d, len(log)), strict=True)]
+    return np.concatenate(parts)
+
+
 def signatures(paths: DataFrame, level: int = 2, log: bool = False, basepoint: bool = False) -> DataFrame:
-    """(path_id, signature ARRAY). Logarithms are given by their coefficients at Lyndon words, which
-    determine them. A basepoint puts the origin before the path."""
+    """(path_id, signature ARRAY). Logarithms are given in the basis of the Lyndon words' brackets. A
+    basepoint puts the origin before the path."""
     if level < 1:
         raise ValueError("the level is 1 or more")
 
@@ -84,9 +123,7 @@ def signatures(paths: DataFrame, level: int = 2, log: bool = False, basepoint: b
             x = np.vstack([np.zeros(x.shape[1]), x]) if basepoint else x
             sig = signature(x, level)
             if log:
-                d, sig = x.shape[1], log_signature(sig)
-                words = lyndon_words(d, level)
-                out.append(np.array([sig[len(w) - 1][_place(w, d)] for w in words]))
+                out.append(lyndon_coefficients(log_signature(sig), x.shape[1]))
             else:
                 out.append(np.concatenate(sig))
         return pd.Series(out, dtype=object)
@@ -128,12 +165,10 @@ def signatures_of_rows(rows: DataFrame, coordinates: list[str], level: int = 2,
         now = materialize(packed(now, fan, "s").select("path_id", "n", product("e").alias("s")), "signatures")
     if not log:
         return now.select("path_id", F.col("s").alias("signature"))
-    words = lyndon_words(d, level)
 
     @F.pandas_udf("array<double>")
     def logarithm(x: pd.Series) -> pd.Series:
-        found = [log_signature(np.split(np.asarray(s), sizes[:-1])) for s in x]
-        return pd.Series([np.array([f[len(w) - 1][_place(w, d)] for w in words]) for f in found], dtype=object)
+        return pd.Series([lyndon_coefficients(log_signature(np.split(np.asarray(s), sizes[:-1])), d) for s in x], dtype=object)
 
     return now.select("path_id", logarithm("s").alias("signature"))
 

@@ -30,6 +30,8 @@ def manhattan_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2)
 
 
+#: Rows that share the arrays of a Sinkhorn iteration.
+SINKHORN_ROWS = 64
 METRICS: dict[str, Callable] = {"cosine": cosine_cost, "euclidean": euclidean_cost, "manhattan": manhattan_cost}
 
 
@@ -53,84 +55,185 @@ def pairwise(rows: DataFrame, points: np.ndarray, metric: str | Callable = "cosi
     return rows.withColumn("distances", run(vec))
 
 
-def transport_plan(p: np.ndarray, q: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """An optimal plan between masses p and q, by shortest augmenting paths with potentials."""
-    n, m = len(p), len(q)
-    left, need = p / p.sum(), q / q.sum()
-    left, need, flow = left.copy(), need.copy(), np.zeros((n, m))
-    u, v = np.zeros(n), cost.min(axis=0).astype(float)
-    eps = 1e-13
-    while left.max() > eps and need.max() > eps:
-        # distances over reduced costs from all points with mass left
-        dl, dr = np.where(left > eps, 0.0, np.inf), np.full(m, np.inf)
-        from_l, from_r = np.full(m, -1), np.full(n, -1)
-        done_l, done_r = np.zeros(n, bool), np.zeros(m, bool)
-        end = -1
+class _Basis:
+    """A spanning tree of sources 0 .. n - 1 and sinks n .. n + m - 1: each node's parent, depth,
+    children and the flow between it and its parent; u and v are the potentials at which the
+    tree's costs vanish."""
+
+    def __init__(self, cells: dict[tuple[int, int], float], cost: np.ndarray):
+        n, m = cost.shape
+        near: list[list[tuple[int, float]]] = [[] for _ in range(n + m)]
+        for (i, j), f in cells.items():
+            near[i].append((n + j, f))
+            near[n + j].append((i, f))
+        self.n, self.u, self.v = n, np.zeros(n), np.zeros(m)
+        self.parent, self.depth, self.flow = [-1] * (n + m), [0] * (n + m), [0.0] * (n + m)
+        self.children: list[set[int]] = [set() for _ in range(n + m)]
+        todo = [0]
+        while todo:
+            x = todo.pop()
+            for y, f in near[x]:
+                if y != self.parent[x]:
+                    self.parent[y], self.depth[y], self.flow[y] = x, self.depth[x] + 1, f
+                    self.children[x].add(y)
+                    if y >= n:
+                        self.v[y - n] = cost[x, y - n] - self.u[x]
+                    else:
+                        self.u[y] = cost[y, x - n] - self.v[x - n]
+                    todo.append(y)
+
+    def enter(self, i: int, j: int, gain: float) -> None:
+        """Send as much as fits from source i to sink j, and let the arc that empties first go."""
+        n, x, y = self.n, i, self.n + j
+        sides: tuple[list[int], list[int]] = ([], [])
+        while x != y:
+            if self.depth[x] >= self.depth[y]:
+                sides[0].append(x)
+                x = self.parent[x]
+            else:
+                sides[1].append(y)
+                y = self.parent[y]
+        # what i sends to j it sends elsewhere no more, and j needs no more from elsewhere
+        less = [(self.flow[x], s, x) for s in (0, 1) for x in sides[s] if (x < n) == (s == 0)]
+        amount, side, last = min(less)
+        for s in (0, 1):
+            for x in sides[s]:
+                self.flow[x] += -amount if (x < n) == (s == 0) else amount
+        # the part of the tree below the arc that goes hangs on the new arc
+        self.children[self.parent[last]].discard(last)
+        x, above, f = (i, n + j, amount) if side == 0 else (n + j, i, amount)
         while True:
-            a, b = np.where(done_l, np.inf, dl), np.where(done_r, np.inf, dr)
-            i, j = int(a.argmin()), int(b.argmin())
-            if a[i] == np.inf and b[j] == np.inf:
+            old, old_flow = self.parent[x], self.flow[x]
+            if x != last:
+                self.children[old].discard(x)
+            self.parent[x], self.flow[x] = above, f
+            self.children[above].add(x)
+            if x == last:
                 break
-            if a[i] <= b[j]:
-                done_l[i] = True
-                new = dl[i] + np.maximum(0.0, cost[i] - u[i] - v)
-                better = new < dr - 1e-15
-                dr[better], from_l[better] = new[better], i
+            above, x, f = x, old, old_flow
+        top = i if side == 0 else n + j
+        todo, sources, sinks = [top], [], []
+        while todo:
+            x = todo.pop()
+            self.depth[x] = self.depth[self.parent[x]] + 1
+            (sources if x < n else sinks).append(x)
+            todo.extend(self.children[x])
+        shift = gain if side == 0 else -gain
+        self.u[sources] += shift
+        self.v[np.array(sinks, dtype=int) - n] -= shift
+
+
+def transport_plan(p: np.ndarray, q: np.ndarray, cost: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """An optimal plan between masses p and q, by the network simplex on a spanning tree in arrays.
+    start: potentials of q that a similar problem ended with, for a better first tree; see
+    solve_transport."""
+    return solve_transport(p, q, cost, start)[0]
+
+
+def solve_transport(p: np.ndarray, q: np.ndarray, cost: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(plan, potentials of q)."""
+    n, m = cost.shape
+    left, need = p / p.sum(), q / q.sum()
+    tiny = 1e-13 / (n + 1)
+    left = left + tiny  # no tree has an arc without flow
+    need = need.copy()
+    need[-1] += left.sum() - need.sum()
+    cells, rows, columns = {}, np.ones(n, bool), np.ones(m, bool)
+    a, b = left.copy(), need.copy()
+    # the cheapest cells first, each filled; a source or a sink is done with it, never both
+    for k in np.argsort(cost if start is None else cost - start, axis=None).tolist():
+        i, j = divmod(k, m)
+        if rows[i] and columns[j]:
+            f = min(a[i], b[j])
+            cells[i, j] = f
+            a[i], b[j] = a[i] - f, b[j] - f
+            if len(cells) == n + m - 1:
+                break
+            if (a[i] <= b[j] and rows.sum() > 1) or columns.sum() == 1:
+                rows[i] = False
             else:
-                done_r[j] = True
-                if need[j] > eps:
-                    end = j
-                    break
-                back = np.where(flow[:, j] > eps, dr[j] + np.maximum(0.0, -(cost[:, j] - u - v[j])), np.inf)
-                better = back < dl - 1e-15
-                dl[better], from_r[better] = back[better], j
-        if end < 0:
+                columns[j] = False
+    tree = _Basis(cells, cost)
+    least = 1e-12 * max(1.0, float(np.abs(cost).max()))
+    for _ in range(50 * (n + m) + n * m):
+        gain = cost - tree.u[:, None] - tree.v
+        k = int(gain.argmin())
+        i, j = divmod(k, m)
+        if gain[i, j] >= -least:
             break
-        far = dr[end]
-        u += np.where(done_l, far - dl, 0.0)
-        v -= np.where(done_r, far - dr, 0.0)
-        path, j, amount = [], end, need[end]
-        while True:
-            i = from_l[j]
-            path.append((i, j, 1))
-            if from_r[i] < 0:
-                amount = min(amount, left[i])
-                break
-            path.append((i, from_r[i], -1))
-            amount = min(amount, flow[i, from_r[i]])
-            j = from_r[i]
-        for a_, b_, sign in path:
-            flow[a_, b_] += sign * amount
-        left[i] -= amount
-        need[end] -= amount
-    return flow
+        tree.enter(i, j, float(gain[i, j]))
+    flow = np.zeros((n, m))
+    for x, up in enumerate(tree.parent):
+        if up >= 0:
+            flow[(x, up - n) if x < n else (up, x - n)] = max(0.0, tree.flow[x])
+    return flow, tree.v
+
+
+def sinkhorn_plans(masses: list[np.ndarray], q: np.ndarray, costs: list[np.ndarray], regularization: float = 0.05, rounds: int = 1000, tolerance: float = 1e-9) -> list[np.ndarray]:
+    """Entropic plans of many rows against one reference, all at once over arrays padded to the
+    largest row. Potentials are scaled as logarithms, so none overflows, and the regularisation
+    comes down by halves from the costs' own size, each step from the potentials before. A row
+    stops on its own marginal error and does not depend on the others."""
+    size, m = max(map(len, masses)), len(q)
+    log_p, cost = np.full((len(masses), size), -np.inf), np.zeros((len(masses), size, m))
+    for k, (p, c) in enumerate(zip(masses, costs, strict=True)):
+        with np.errstate(divide="ignore"):
+            log_p[k, : len(p)] = np.log(np.asarray(p, float) / np.sum(p))
+        cost[k, : len(p)] = c
+    with np.errstate(divide="ignore"):
+        log_q = np.log(q / q.sum())
+    f, g = np.zeros((len(masses), size)), np.zeros((len(masses), m))
+    scale = np.array([max(regularization, float(np.max(c, initial=0.0))) for c in costs])
+
+    def soft(x: np.ndarray, axis: int) -> np.ndarray:
+        top = np.maximum(x.max(axis=axis, keepdims=True), -1e300)
+        return np.log(np.maximum(np.exp(x - top).sum(axis=axis), 1e-300)) + top.squeeze(axis)
+
+    todo = np.arange(len(masses))
+    eps = scale.copy()
+    steps = np.zeros(len(masses), dtype=int)
+    while len(todo):
+        e = eps[todo][:, None]
+        x, lp = cost[todo] / e[:, :, None], log_p[todo]
+        pad = ~np.isfinite(lp)
+        h = np.where(pad, -np.inf, f[todo] / e)
+        gg = log_q - soft(h[:, :, None] - x, 1)
+        ff = np.where(pad, 0.0, lp - soft(gg[:, None, :] - x, 2))
+        f[todo], g[todo] = ff * e, gg * e
+        steps[todo] += 1
+        check = steps[todo] % 10 == 1
+        if check.any():
+            mass = np.exp(soft(np.where(pad, -np.inf, ff)[:, :, None] + gg[:, None, :] - x, 1))
+            error = np.abs(mass - q / q.sum()).sum(axis=1)
+            final = eps[todo] <= regularization
+            settled = check & (error <= np.where(final, tolerance, 1e-3)) | (steps[todo] >= np.where(final, rounds, 100))
+            move = todo[settled & ~final]
+            eps[move], steps[move] = np.maximum(regularization, eps[move] / 2), 0
+            todo = todo[~(settled & final)]
+    plans = []
+    for k, p in enumerate(masses):
+        n = len(p)
+        with np.errstate(invalid="ignore"):
+            h = np.where(np.isfinite(log_p[k, :n]), f[k, :n], -np.inf)
+        plans.append(np.exp((h[:, None] + g[k] - cost[k, :n]) / regularization))
+    return plans
 
 
 def sinkhorn_plan(p: np.ndarray, q: np.ndarray, cost: np.ndarray, regularization: float = 0.05, rounds: int = 1000, tolerance: float = 1e-9) -> np.ndarray:
-    """An entropic plan; stops on the marginal error, or at the last finite scaling."""
-    p, q = p / p.sum(), q / q.sum()
-    k = np.exp(-cost / regularization)
-    u, v = np.ones(len(p)) / len(p), np.ones(len(q)) / len(q)
-    for r in range(rounds):
-        new_v = q / (k.T @ u)
-        new_u = p / (k @ new_v)
-        if not (np.isfinite(new_u).all() and np.isfinite(new_v).all()):
-            break
-        u, v = new_u, new_v
-        if r % 10 == 0 and np.abs(v * (k.T @ u) - q).sum() <= tolerance:
-            break
-    return u[:, None] * k * v[None, :]
+    """An entropic plan; its first marginal is exact, the second within the tolerance."""
+    return sinkhorn_plans([p], q, [cost], regularization, rounds, tolerance)[0]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def lot_vector(weights: np.ndarray, points: np.ndarray, ref: np.ndarray, ref_mass: np.ndarray, metric: str | Callable = "cosine", method: str = "exact", regularization: float = 0.05) -> np.ndarray:
+def lot_vector(weights: np.ndarray, points: np.ndarray, ref: np.ndarray, ref_mass: np.ndarray, metric: str | Callable = "cosine", method: str = "exact", regularization: float = 0.05, plan: np.ndarray | None = None) -> np.ndarray:
     """The images of the reference points under the transport to a distribution, less the points;
     on the sphere, in its tangent space and scaled by the cosine distance."""
-    cost = metric_of(metric)(points, ref)
-    plan = transport_plan(weights, ref_mass, cost) if method == "exact" else sinkhorn_plan(weights, ref_mass, cost, regularization)
+    if plan is None:
+        cost = metric_of(metric)(points, ref)
+        plan = transport_plan(weights, ref_mass, cost) if method == "exact" else sinkhorn_plan(weights, ref_mass, cost, regularization)
     image = (plan / ref_mass).T @ points
     if metric != "cosine":
         return (image - ref).ravel()
@@ -178,11 +281,24 @@ def ot_vectors(packed: DataFrame, reference: Reference, method: str = "exact", m
 
     @F.pandas_udf("array<double>")
     def run(weights: pd.Series, points: pd.Series) -> pd.Series:
-        ref = shared.value
-        out = []
-        for w, p in zip(weights, points, strict=True):
-            x = np.stack([np.asarray(v, dtype=float) for v in p])
-            out.append(lot_vector(np.asarray(w, float), _unit(x) if metric == "cosine" else x, ref.points, ref.mass, metric, method, regularization))
+        ref, cost_of, out, start = shared.value, metric_of(metric), [None] * len(weights), None
+        masses = [np.asarray(w, float) for w in weights]
+        rows = [np.stack([np.asarray(v, dtype=float) for v in p]) for p in points]
+        rows = [_unit(x) for x in rows] if metric == "cosine" else rows
+        # rows of like size share an array; an exact plan starts from the potentials of the one before
+        order = sorted(range(len(rows)), key=lambda k: len(rows[k]))
+        for at in range(0, len(order), SINKHORN_ROWS):
+            part = order[at : at + SINKHORN_ROWS]
+            costs = [cost_of(rows[k], ref.points) for k in part]
+            if method == "sinkhorn":
+                plans = sinkhorn_plans([masses[k] for k in part], ref.mass, costs, regularization)
+            else:
+                plans = []
+                for k, c in zip(part, costs, strict=True):
+                    plan, start = solve_transport(masses[k], ref.mass, c, start)
+                    plans.append(plan)
+            for k, plan in zip(part, plans, strict=True):
+                out[k] = lot_vector(masses[k], rows[k], ref.points, ref.mass, metric, method, regularization, plan)
         return pd.Series(out, dtype=object)
 
     return packed.select("row_id", run("weights", "points").alias("vec"))

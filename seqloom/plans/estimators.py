@@ -6,7 +6,7 @@ outputs are matrices in coordinates or dense rows. Fitted state is tables and sm
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from pyspark.ml import Estimator, Model, Transformer
@@ -223,7 +223,8 @@ class CooccurrenceVectorizer(_Fit):
         if self.variant == "ngram":
             # grams are pruned by the rules of tokens; a mask keeps its place in them
             known = V.encode(rows, model.vocab, self.mask, close=False).join(model.names().select("idx", "token"), "idx")
-            model.gram_vocab = V.require_tokens(V.vocabulary(grams.ngrams(known, self.ngram_size), self.rules, _documents(df), key="gram"))
+            rules = replace(self.rules, excluded=(), excluded_pattern=None)
+            model.gram_vocab = V.require_tokens(V.vocabulary(grams.ngrams(known, self.ngram_size), rules, _documents(df), key="gram"))
         for i, f in enumerate(self.functions()):
             if f is not None:
                 own = f(model.vocab if model.gram_vocab is None else model.gram_vocab, self.window_radii[i]).select("idx", F.col("radius").alias(f"radius{i}"))

@@ -92,6 +92,10 @@ SQL: dict[str, str] = {
       o AS (SELECT doc_id, pos, row_id FROM n2 JOIN gv USING (token, nxt))
       SELECT row_id, 0 AS w, b.idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM o JOIN enc b ON o.doc_id = b.doc_id AND o.pos - b.pos BETWEEN 1 AND 3 GROUP BY 1, 3
       UNION ALL SELECT row_id, 1 AS w, b.idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM o JOIN enc b ON o.doc_id = b.doc_id AND b.pos - o.pos BETWEEN 2 AND 4 GROUP BY 1, 3""",
+    "cooc_ngram_mask": f"""WITH {EV}, v2 AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM vocab WHERE token <> 'click'), m2 AS (SELECT doc_id, pos, coalesce(v2.token, '<mask>') AS token, v2.idx FROM ev LEFT JOIN v2 ON v2.token = ev.token),
+      o AS (SELECT doc_id, pos, token || ' ' || nxt AS gram FROM (SELECT doc_id, pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM m2) WHERE nxt IS NOT NULL AND NOT (token = '<mask>' AND nxt = '<mask>'))
+      SELECT gram, 0 AS w, b.idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM o JOIN m2 b ON o.doc_id = b.doc_id AND o.pos - b.pos BETWEEN 1 AND 3 WHERE b.idx IS NOT NULL GROUP BY 1, 3
+      UNION ALL SELECT gram, 1 AS w, b.idx AS col_id, CAST(count(*) AS DOUBLE) AS value FROM o JOIN m2 b ON o.doc_id = b.doc_id AND b.pos - o.pos BETWEEN 2 AND 4 WHERE b.idx IS NOT NULL GROUP BY 1, 3""",
     "cooc_multiset": """WITH it AS (SELECT o_custkey AS doc_id, dense_rank() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE)) AS sp, row_number() OVER () AS rid, l_returnflag || l_linestatus AS token FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
       v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM (SELECT DISTINCT token FROM it)), e AS (SELECT it.*, idx FROM it JOIN v USING (token)),
       p AS (SELECT a.idx AS row_id, b.idx AS col_id, b.sp - a.sp AS gap FROM e a JOIN e b ON a.doc_id = b.doc_id AND abs(b.sp - a.sp) <= 1 AND a.rid <> b.rid)
@@ -152,4 +156,19 @@ SQL: dict[str, str] = {
       d AS (SELECT path_id, t - lag(t) OVER w AS dt, v - lag(v) OVER w AS dv, lag(t) OVER w - first(t) OVER w AS mt, lag(v) OVER w - first(v) OVER w AS mv FROM p WINDOW w AS (PARTITION BY path_id ORDER BY pos))
       SELECT path_id, round(sum(dt), 3) AS s_0, round(sum(dv), 3) AS s_1, round(sum((mt + 0.5 * dt) * dt), 3) AS s_0_0, round(sum((mt + 0.5 * dt) * dv), 3) AS s_0_1, round(sum((mv + 0.5 * dv) * dt), 3) AS s_1_0, round(sum((mv + 0.5 * dv) * dv), 3) AS s_1_1
       FROM d WHERE dt IS NOT NULL GROUP BY 1""",
+    "svd_spectrum": """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE embedding IS NOT NULL), c AS (SELECT count(DISTINCT vec_id) AS c FROM e),
+      g AS (SELECT a.k AS i, b.k AS j, sum(a.x * b.x) / first(c) AS g FROM e a JOIN e b USING (vec_id), c GROUP BY 1, 2)
+      SELECT 1 AS power, round(sum(g), 6) AS value FROM g WHERE i = j UNION ALL SELECT 2, round(sum(g * g), 6) FROM g
+      UNION ALL SELECT 3, round(sum(a.g * b.g * c.g), 6) FROM g a JOIN g b ON a.j = b.i JOIN g c ON b.j = c.i AND c.j = a.i""",
+    "generated_windows": """WITH e AS (SELECT CAST(ts AS DATE) - DATE '1970-01-01' AS day FROM events WHERE ts IS NOT NULL), m AS (SELECT min(day) AS a, max(day) AS b FROM e),
+      w AS (SELECT k AS "window", a + k AS first_day FROM m, range(100000) t(k) WHERE a + k <= b - 6)
+      SELECT "window", first_day, count(day) AS n FROM w LEFT JOIN e ON day BETWEEN first_day AND first_day + 6 GROUP BY 1, 2""",
+    "procrustes": """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings WHERE embedding IS NOT NULL)
+      SELECT vec_id, CAST(k AS INTEGER) AS k, round(x - avg(x) OVER (PARTITION BY k), 6) + 0.0 AS x FROM e""",
+    "signatures_log3": """WITH p AS (SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, epoch_us(ts) / 8.64e10 - 19000 AS t, value AS v FROM events WHERE value IS NOT NULL),
+      d AS (SELECT path_id, pos, t - lag(t) OVER w AS a, v - lag(v) OVER w AS b, lag(t) OVER w - first(t) OVER w AS s0, lag(v) OVER w - first(v) OVER w AS s1 FROM p WINDOW w AS (PARTITION BY path_id ORDER BY pos)),
+      e AS (SELECT *, coalesce(sum(s0 * a + a * a / 2) OVER w, 0) AS s00, coalesce(sum(s0 * b + a * b / 2) OVER w, 0) AS s01, coalesce(sum(s1 * b + b * b / 2) OVER w, 0) AS s11 FROM d WHERE a IS NOT NULL WINDOW w AS (PARTITION BY path_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      f AS (SELECT path_id, sum(a) AS x, sum(b) AS y, sum(s0 * a + a * a / 2) AS xx, sum(s0 * b + a * b / 2) AS xy, sum(s1 * b + b * b / 2) AS yy,
+            sum(s00 * b + s0 * a * b / 2 + a * a * b / 6) AS xxy, sum(s01 * b + s0 * b * b / 2 + a * b * b / 6) AS xyy FROM e GROUP BY 1)
+      SELECT path_id, round(x, 3) AS l_0, round(y, 3) AS l_1, round(xy - x * y / 2, 3) AS l_01, round(xxy - (x * xy + xx * y) / 2 + x * x * y / 3, 3) AS l_001, round(xyy - (x * yy + xy * y) / 2 + x * y * y / 3, 3) AS l_011 FROM f""",
 }

@@ -12,6 +12,7 @@ from ..functions.tokens import row_tokens
 from ..operators import codecs, cooc, frames, grams, graph, linalg, mixture, paths, series, transport, weight
 from ..operators import vocab as V
 from ..operators.windows import WindowSpec, expand, geometric, harmonic, kernel_of, timed_geometric, variable_radii
+from ..sources import generators
 from ..sources import sequences as S
 
 KNOWN = V.Prune(min_document_occurrences=20)
@@ -221,6 +222,18 @@ def cooc_ngram_rows(spark, d):
     return cooc.cells(cooc.exploded(rows)).select("row_id", "w", F.col("c").alias("col_id"), "value")
 
 
+@query
+def cooc_ngram_mask(spark, d):
+    """Pairs of event types in their places, where clicks are masked and neither count nor are counted."""
+    t = _events(spark, d)
+    vocab = V.vocabulary(t, V.Prune(excluded=("click",)))
+    known = V.encode(t, vocab, mask="<mask>")
+    named = known.join(V.add_mask(vocab, "<mask>"), "idx")
+    pairs = V.vocabulary(grams.ngrams(named, 2), key="gram")
+    rows = cooc.ngram_contexts(named, known, 2, expand("directional", 3), pairs, normalize=False, mask=vocab.count(), mask_token="<mask>")
+    return cooc.cells(cooc.exploded(rows)).join(pairs, F.col("row_id") == F.col("idx")).select(F.array_join("token", " ").alias("gram"), "w", F.col("c").alias("col_id"), "value")
+
+
 @query
 def cooc_multiset(spark, d):
     rows = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -435,7 +448,9 @@ def signature_level2(spark, d):
 def signatures_log3(spark, d):
     e = _t(spark, d, "events").where(F.col("value").isNotNull())
     rows = e.select(F.col("user_id").alias("path_id"), F.struct(_micros("ts").alias("t"), "event_id").alias("pos"), (_micros("ts") / 8.64e10 - 19000).alias("t"), F.col("value").alias("v"))
-    return paths.signatures_of_rows(rows, ["t", "v"], 3, log=True)
+    out = paths.signatures_of_rows(rows, ["t", "v"], 3, log=True)
+    names = ["l_0", "l_1", "l_01", "l_001", "l_011"]
+    return out.select("path_id", *[_r(F.col("signature")[i], 3).alias(n) for i, n in enumerate(names)])
 
 
 @query
@@ -444,6 +459,26 @@ def svd_compress(spark, d):
     return linalg.compress_counts(m, columns.count(), 16)[1]
 
 
+@query
+def svd_spectrum(spark, d):
+    """Power sums of all singular values of the embeddings: the traces of powers of their Gram matrix."""
+    e = _t(spark, d, "embeddings").where(F.col("embedding").isNotNull())
+    coo = S.matrix_of_arrays(e.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("values")))
+    s = linalg.svd(coo, 64, 64).s
+    rows = e.count()
+    return spark.createDataFrame([(p, round(float(((s * s / rows) ** p).sum()), 6)) for p in (1, 2, 3)], "power int, value double")
+
+
+@query
+def generated_windows(spark, d):
+    """Events in sliding windows of a week; the windows come from a generator in each task."""
+    e = _t(spark, d, "events").where(F.col("ts").isNotNull()).select(F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("long").alias("day"))
+    ends = e.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    windows = generators.table_of(spark, *generators.day_windows(ends["a"], ends["b"], 7)) if ends["a"] is not None else spark.createDataFrame([], "window bigint, day bigint")
+    daily = e.groupBy("day").agg(F.count("*").alias("n"))
+    return windows.join(daily, "day", "left").groupBy("window").agg(F.min("day").alias("first_day"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 @query
 def cooc_reduced(spark, d):
     t = _tokens(spark, d)
@@ -453,9 +488,9 @@ def cooc_reduced(spark, d):
 
 @query
 def bpe_tokens(spark, d):
-    rows = _t(spark, d, "benchmark")
-    merges = codecs.bpe_train(rows, "text", max_vocab=100)
-    return codecs.bpe_encode(rows, merges, "item_id", "text").select("id", F.size("tokens").alias("n"), F.array_join("tokens", "|").alias("tokens"))
+    rows = _t(spark, d, "documents")
+    merges = codecs.bpe_train(rows, "text", max_vocab=300)
+    return codecs.bpe_encode(rows, merges, "doc_id", "text").select("id", F.size("tokens").alias("n"), F.array_join("tokens", "|").alias("tokens"))
 
 
 @query
@@ -496,4 +531,5 @@ def procrustes(spark, d):
     e = _t(spark, d, "embeddings").where(F.col("embedding").isNotNull())
     both = e.select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.reverse("embedding").cast("array<double>").alias("y"))
     _, my, _, _, fy, ry = linalg.procrustes(both)
-    return linalg.align(both.select("vec_id", "y"), "y", my, fy, ry).withColumnRenamed("y", "embedding")
+    out = linalg.align(both.select("vec_id", "y"), "y", my, fy, ry)
+    return out.select("vec_id", F.posexplode("y").alias("k", "x")).select("vec_id", "k", (_r("x") + 0.0).alias("x"))

@@ -841,3 +841,62 @@ def test_bpe_merges_are_those_of_the_plain_loop(spark, monkeypatch, held):
     assert merges.pairs == want
     got = {r["id"]: r["tokens"] for r in codecs.bpe_encode(df, merges, tokens=False).collect()}
     assert all(got[i] == c for i, c in enumerate(codes)) and got[999] == []
+
+
+def test_log_signatures_in_brackets():
+    """Level 3 of three axis steps, by hand: the Baker-Campbell-Hausdorff series of x, y and z."""
+    assert paths.bracket((0, 0, 1)) == {(0, 0, 1): 1, (0, 1, 0): -2, (1, 0, 0): 1}
+    assert paths.bracket((0, 2, 1)) == {(0, 2, 1): 1, (2, 0, 1): -1, (1, 0, 2): -1, (1, 2, 0): 1}
+    log = paths.lyndon_coefficients(paths.log_signature(paths.of_steps(np.eye(3), 3)), 3)
+    words = paths.lyndon_words(3, 3)
+    got = {w: v for w, v in zip(words, log, strict=True) if abs(v) > 1e-12}
+    # log(e^x e^y e^z) = x + y + z + ([x,y] + [x,z] + [y,z]) / 2 + [x,[x,y]] / 12 + ... + [x,[y,z]] / 3 + [[x,z],y] / 6
+    half, twelfth = [(0, 1), (0, 2), (1, 2)], [(0, 0, 1), (0, 0, 2), (0, 1, 1), (0, 2, 2), (1, 1, 2), (1, 2, 2)]
+    want = {(0,): 1, (1,): 1, (2,): 1} | dict.fromkeys(half, 0.5) | dict.fromkeys(twelfth, 1 / 12) | {(0, 1, 2): 1 / 3, (0, 2, 1): 1 / 6}
+    assert got == pytest.approx(want)
+    # brackets with these coefficients are the logarithm
+    tensor = np.zeros((3, 3, 3))
+    for w in words:
+        if len(w) == 3:
+            for other, c in paths.bracket(w).items():
+                tensor[other] += c * got.get(w, 0.0)
+    assert tensor.ravel() == pytest.approx(paths.log_signature(paths.of_steps(np.eye(3), 3))[2])
+
+
+def test_transport_plans_are_optimal():
+    """A plan is optimal if potentials exist that no arc beats and that arcs with flow meet."""
+    rng = np.random.default_rng(7)
+    start = None
+    for n, m, even in ((1, 5, False), (6, 1, False), (9, 9, True), (40, 12, False), (256, 64, False), (256, 64, True)):
+        p, q = (np.ones(n), np.ones(m)) if even else (rng.random(n), rng.random(m))
+        cost = transport.euclidean_cost(rng.normal(size=(n, 5)), rng.normal(size=(m, 5)))
+        plan, v = transport.solve_transport(p, q, cost)
+        again, start = transport.solve_transport(p, q, cost, v if start is None or len(start) != m else start)
+        assert plan.sum(1) == pytest.approx(p / p.sum(), abs=1e-9) and plan.sum(0) == pytest.approx(q / q.sum(), abs=1e-9)
+        u = (cost - v).min(axis=1)
+        assert (plan * (cost - u[:, None] - v)).sum() == pytest.approx(0, abs=1e-9)
+        assert (again * cost).sum() == pytest.approx((plan * cost).sum(), abs=1e-9)
+
+
+def test_sinkhorn_of_a_batch_is_that_of_rows():
+    rng = np.random.default_rng(9)
+    q = rng.random(6)
+    masses = [rng.random(n) for n in (3, 9, 1, 20)]
+    costs = [transport.cosine_cost(rng.normal(size=(len(p), 4)), rng.normal(size=(6, 4))) for p in masses]
+    for eps, rounds in ((0.05, 1000), (0.001, 20_000)):
+        batch = transport.sinkhorn_plans(masses, q, costs, eps, rounds)
+        for p, c, plan in zip(masses, costs, batch, strict=True):
+            assert plan == pytest.approx(transport.sinkhorn_plan(p, q, c, eps, rounds), abs=1e-9)
+            assert plan.sum(1) == pytest.approx(p / p.sum(), abs=1e-7) and plan.sum(0) == pytest.approx(q / q.sum(), abs=1e-7)
+            exact = (transport.transport_plan(p, q, c) * c).sum()
+            assert exact - 1e-7 <= (plan * c).sum() <= exact + eps * np.log(6 * len(p) + 1)
+
+
+def test_generators_are_tables(spark):
+    from seqloom.sources import generators
+
+    generate, partitions, schema = generators.day_windows(10, 100, 7, 3, 4)
+    rows = generators.table_of(spark, generate, partitions, schema)
+    assert rows.rdd.getNumPartitions() == partitions == 8
+    assert sorted(map(tuple, rows.collect())) == [(i, s + d) for i, s in enumerate(range(10, 95, 3)) for d in range(7)]
+    assert generators.table_of(spark, lambda k: iter(()), 2, "a int").count() == 0
