@@ -304,14 +304,28 @@ def ot_vectors(packed: DataFrame, reference: Reference, method: str = "exact", m
     return packed.select("row_id", run("weights", "points").alias("vec"))
 
 
-def compressed(rows: DataFrame, k: int = 128) -> tuple[linalg.Factors, DataFrame]:
-    """(factors, (row_id, embedding)) of dense rows (row_id, vec)."""
-    d = len(rows.first()["vec"])
+def compressed(rows: DataFrame, k: int = 128, n_iter: int = 7, sketch: int | None = None) -> tuple[linalg.Factors, DataFrame]:
+    """(factors, (row_id, embedding)) of dense rows (row_id, vec). sketch: singular vectors in one pass,
+    from so many frequent directions, for rows that are dear to make again."""
+    first = rows.first()
+    d = len(first["vec"]) if first else 0
     coo = rows.select("row_id", F.posexplode("vec").alias("col_id", "value"))
-    factors = linalg.svd(coo, d, min(k, d))
+    if sketch is not None:
+        factors = linalg.frequent_directions(rows, "vec", sketch).factors(min(k, d))
+    else:
+        factors = linalg.svd(coo, d, min(k, d), n_iter)
     return factors, linalg.project(coo, factors)
 
 
+def heaviest(rows: DataFrame, size: int) -> DataFrame:
+    """(row_id, weights, points) with at most `size` points a row, the heaviest, ties in their order."""
+    pairs = F.transform(F.arrays_zip("weights", "points"), lambda x, i: F.struct((-x["weights"]).alias("w"), i.alias("i"), x["points"].alias("p")))
+    top = F.slice(F.array_sort(pairs), 1, size)
+    out = rows.withColumn("__top", F.when(F.size("weights") > size, top))
+    pick = lambda name, old: F.when(F.col("__top").isNull(), F.col(old)).otherwise(F.transform("__top", lambda x: -x["w"] if name == "w" else x["p"]))
+    return out.withColumns({"weights": pick("w", "weights"), "points": pick("p", "points")}).drop("__top")
+
+
 def mean_vectors(coo: DataFrame, vectors: DataFrame, power: float = 1.0) -> DataFrame:
     """(row_id, vec): weighted sums of vectors over the row's mass to a power."""
     return linalg.weighted_sums(coo, vectors, power)

@@ -6,11 +6,14 @@ outputs are matrices in coordinates or dense rows. Fitted state is tables and sm
 
 from __future__ import annotations
 
+import io
+import pickle
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import codecs, cooc, frames, grams, graph, linalg, mixture, paths, series, transport, weight
@@ -33,6 +36,35 @@ class _Params:
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
 
+    def save(self, path: str) -> None:
+        """Write an estimator or a model under a path, which must not exist: its tables as Parquet, the
+        rest as one row of bytes that only trusted paths should be loaded from."""
+        tables: list[DataFrame] = []
+
+        class Pickler(cloudpickle.Pickler):
+            def persistent_id(self, x):
+                if not isinstance(x, DataFrame):
+                    return None
+                tables.append(x)
+                return len(tables) - 1
+
+        out = io.BytesIO()
+        Pickler(out).dump(self)
+        for i, df in enumerate(tables):
+            df.write.parquet(f"{path}/table-{i}")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(out.getvalue(),)], "object binary").coalesce(1).write.parquet(f"{path}/object")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str):
+        """What save() wrote, in any session."""
+
+        class Unpickler(pickle.Unpickler):
+            def persistent_load(self, i):
+                return spark.read.parquet(f"{path}/table-{i}")
+
+        return Unpickler(io.BytesIO(spark.read.parquet(f"{path}/object").first()["object"])).load()
+
     def __post_init__(self):
         super().__init__()
 
@@ -652,7 +684,9 @@ class CountFeatureCompressionModel(_Fitted):
 @dataclass(eq=False)
 class WassersteinVectorizer(_Fit):
     """Distributions (row_id, weights, points) as vectors. method: exact, sinkhorn or mean, the
-    last of which only averages."""
+    last of which only averages: weighted sums over the row's mass to normalization_power, so
+    that a power below 1 lets larger rows weigh more. Rows keep their max_distribution_size
+    heaviest points. sketch: compress in one pass, see transport.compressed()."""
 
     method: str = "exact"
     n_components: int = 128
@@ -660,13 +694,19 @@ class WassersteinVectorizer(_Fit):
     reference_scale: float = 0.01
     metric: str = "cosine"
     seed: int = 42
+    normalization_power: float = 1.0
+    n_svd_iter: int = 7
+    max_distribution_size: int = 256
+    regularization: float = 0.05
+    sketch: int | None = None
 
     def _fit(self, df: DataFrame) -> WassersteinModel:
         if self.method not in ("exact", "sinkhorn", "mean"):
             raise ValueError("the method is exact, sinkhorn or mean")
+        df = transport.heaviest(df, self.max_distribution_size)
         ref = None if self.method == "mean" else transport.reference_of(df, self.reference_size, self.reference_scale, self.metric, self.seed)
         model = WassersteinModel(self, ref)
-        model.factors = transport.compressed(model.raw(df), self.n_components)[0]
+        model.factors = transport.compressed(model.raw(df), self.n_components, self.n_svd_iter, self.sketch)[0]
         return model
 
 
@@ -677,12 +717,13 @@ class WassersteinModel(_Fitted):
     factors: linalg.Factors | None = None
 
     def raw(self, df: DataFrame) -> DataFrame:
+        df = transport.heaviest(df, self.how.max_distribution_size)
         if self.reference is None:
             rows = df.select("row_id", F.explode(F.arrays_zip("weights", "points")).alias("e"))
             coo = rows.select("row_id", F.col("e.weights").alias("w"), F.posexplode("e.points").alias("i", "x"))
-            sums = coo.groupBy("row_id", "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+            sums = coo.groupBy("row_id", "i").agg((F.sum(F.col("w") * F.col("x")) / F.pow(F.sum("w"), F.lit(self.how.normalization_power))).alias("x"))
             return sums.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("vec"))
-        return transport.ot_vectors(df, self.reference, self.how.method, self.how.metric)
+        return transport.ot_vectors(df, self.reference, self.how.method, self.how.metric, self.how.regularization)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return linalg.project(self.raw(df).select("row_id", F.posexplode("vec").alias("col_id", "value")), self.factors)

@@ -900,3 +900,82 @@ def test_generators_are_tables(spark):
     assert rows.rdd.getNumPartitions() == partitions == 8
     assert sorted(map(tuple, rows.collect())) == [(i, s + d) for i, s in enumerate(range(10, 95, 3)) for d in range(7)]
     assert generators.table_of(spark, lambda k: iter(()), 2, "a int").count() == 0
+
+
+def test_bandwidths_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(series, "CELLS", 16)
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(size=150), "b": rng.exponential(size=60) * 40, "c": np.array([1.0, 1.0, 1.0]), "d": np.array([7.5])}
+    rows = [(s, i, float(x)) for s, v in data.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, ("e", 0, None)], "series_id string, pos int, x double").repartition(4)
+    widths = np.geomspace(1e-3, 30, 12)
+    got = {(r["series_id"], r["k"]): r["s"] for r in series.gauss_sums(df, widths).collect()}
+    for s, v in data.items():
+        for k, h in enumerate(widths):
+            want = np.exp(-((v[:, None] - v) ** 2) / (2 * h * h)).sum()
+            assert got[s, k] == pytest.approx(want, rel=1e-6)
+
+
+def test_frequent_directions(spark):
+    """The sketch of many tasks loses no more than it says, and that is within its bound."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(900, 30)) * 0.9 ** np.arange(30) * 5
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(a)] + [(999, None)], "row_id int, vec array<double>").repartition(20)
+    sketch = linalg.frequent_directions(df, size=12, fan=3)
+    gap = np.linalg.eigvalsh(a.T @ a - sketch.b.T @ sketch.b)
+    tail = (np.linalg.svd(a)[1] ** 2)[6:].sum()
+    assert sketch.b.shape[0] <= 12 and gap.min() > -1e-6 and gap.max() <= sketch.lost + 1e-6 and sketch.lost <= tail / (12 - 6) + 1e-6
+    exact = linalg.frequent_directions(df, size=40)
+    assert exact.lost == 0 and exact.factors(5).s == pytest.approx(np.linalg.svd(a)[1][:5])
+    whole = df.where("vec is not null")
+    f, rows = transport.compressed(whole, 5, sketch=40)
+    assert rows.count() == 900 and np.abs(f.v.T @ transport.compressed(whole, 5)[0].v) == pytest.approx(np.eye(5), abs=1e-6)
+    assert linalg.frequent_directions(df.limit(0)).b.size == 0
+
+
+def test_transport_options(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(1, 9, n).astype(float).tolist(), rng.normal(size=(n, 3)).tolist()) for i, n in enumerate((2, 5, 9, 4))]
+    df = spark.createDataFrame(rows, "row_id int, weights array<double>, points array<array<double>>")
+    for i, w, p in transport.heaviest(df, 4).collect():
+        order = sorted(range(len(rows[i][1])), key=lambda k: -rows[i][1][k])[:4] if len(rows[i][1]) > 4 else range(len(rows[i][1]))
+        assert w == [rows[i][1][k] for k in order] and p == [rows[i][2][k] for k in order]
+    model = E.WassersteinVectorizer("mean", 3, normalization_power=0.5, max_distribution_size=100, n_svd_iter=4).fit(df)
+    for r in model.raw(df).collect():
+        w = np.array(rows[r["row_id"]][1])
+        assert r["vec"] == pytest.approx((w[:, None] * np.array(rows[r["row_id"]][2])).sum(0) / np.sqrt(w.sum()))
+
+
+def test_models_leave_their_session(seqs, spark, tmp_path):
+    models = [
+        E.NgramVectorizer(2).fit(seqs(TEXTS)), E.CooccurrenceVectorizer((2, 1), ("after", "before"), mask="<m>", token_dictionary=["foo", "wer"]).fit(seqs(TEXTS)),
+        E.SkipgramVectorizer(window_radius=2).fit(seqs(TEXTS)),
+    ]
+    for i, model in enumerate(models):
+        model.save(str(tmp_path / str(i)))
+        again = type(model).load(spark.newSession(), str(tmp_path / str(i)))
+        assert type(again) is type(model)
+        rows = lambda df: Counter(map(tuple, df.collect()))
+        assert rows(again.transform(seqs(TEXTS))) == rows(model.transform(seqs(TEXTS)))
+    counts = coo(spark, np.arange(1.0, 25.0).reshape(4, 6))
+    fitted = E.CountFeatureCompressionTransformer(2).fit(counts)
+    fitted.save(str(tmp_path / "c"))
+    assert np.stack(E.CountFeatureCompressionModel.load(spark, str(tmp_path / "c")).transform(counts).orderBy("row_id").toPandas()["embedding"]) == pytest.approx(np.stack(fitted.transform(counts).orderBy("row_id").toPandas()["embedding"]))
+
+
+def test_pairs_over_batches_of_a_stream(spark, tmp_path):
+    from seqloom.streaming import incremental as I
+
+    rng = np.random.default_rng(3)
+    rows = [(d, p, int(x)) for d in range(3) for p, x in enumerate(rng.integers(0, 5, 40 + d))]
+    cuts = [0, 1, 2, 17, 18, 30, 99]
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = spark.createDataFrame([r for r in rows if lo <= r[1] < hi], "doc_id bigint, pos int, idx int").coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id bigint, pos int, idx int").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = I.pairs_over_batches(stream, 4).writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    table = spark.createDataFrame(rows, "doc_id bigint, pos int, idx int")
+    want = grams.pairs_after(table, 4, lambda d: F.lit(float(d)))
+    assert Counter(map(tuple, spark.table("pairs").collect())) == Counter((r["doc_id"], r["head"], r["tail"], int(r["w"])) for r in want.collect())
