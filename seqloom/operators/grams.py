@@ -42,7 +42,7 @@ def ngram_counts(tokens: DataFrame, n: int = 1, behaviour: str = "exact", token_
         cells = per.join(columns.select("token", F.col("idx").alias("col_id")), "token")
         return columns.drop("token"), cells.select(F.col("doc_id").alias("row_id"), "col_id", F.col("k").cast("double").alias("value"))
     per = V.document_counts(ngrams(known_tokens(tokens, V.vocabulary(tokens, token_rules, documents), mask), n, behaviour), "gram")
-    columns = V.indexed(V.pruned(V.summed(per), gram_rules or token_rules, documents)).withColumnRenamed("token", "label")
+    columns = numbered(V.pruned(V.summed(per), gram_rules or token_rules, documents), "token").withColumnRenamed("token", "label")
     return columns, _cells(per, columns)
 
 
@@ -67,7 +67,7 @@ def _cells(per: DataFrame, columns: DataFrame) -> DataFrame:
 def merge_counts(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Two fitted count matrices as one: vocabularies united, rows stacked, columns renumbered."""
     labels = a[0].select("label", "n", "df").unionByName(b[0].select("label", "n", "df"))
-    columns = V.indexed(labels.groupBy("label").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), by="label")
+    columns = numbered(labels.groupBy("label").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "label")
     parts = []
     for names, cells in (a, b):
         new = names.select("label", F.col("idx").alias("col_id")).join(columns.select("label", F.col("idx").alias("new")), "label")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import matches_fully
+from ..plans.tables import numbered
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,9 @@ def prune(stats: DataFrame, rules: Prune, documents: int | None = None) -> DataF
 def vocabulary(tokens: DataFrame, rules: Prune = NO_PRUNING, documents: int | None = None, key: str = "token") -> DataFrame:
     """(token, n, df, idx). documents is needed for document frequencies: the number of rows of
     the table of documents, since empty ones have no token row."""
-    return indexed(pruned(counts(tokens, key), rules, documents))
+    stats = pruned(counts(tokens, key), rules, documents)
+    # tokens are numbered in one task, after pruning; longer keys are as many as the corpus has of them
+    return indexed(stats) if key == "token" else numbered(stats, "token")
 
 
 def pruned(stats: DataFrame, rules: Prune, documents: int | None) -> DataFrame:

@@ -144,7 +144,7 @@ class NgramModel(_Fitted):
         """One model of two corpora: vocabularies united, counts added."""
         if self.how.ngram_size > 1 or other.how.ngram_size > 1 or self.how != other.how and self.how.rules != other.how.rules:
             raise NotImplementedError("only 1-gram models of equal rules merge")
-        columns = V.indexed(
+        columns = numbered(
             self.columns.select("label", "n", "df").unionByName(other.columns.select("label", "n", "df")).groupBy("label").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "label"
         )
         return NgramModel(self.how, V.merged_vocabulary(self.vocab, other.vocab), columns)

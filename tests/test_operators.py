@@ -691,6 +691,8 @@ def test_long_sequences_are_cut_into_blocks(spark, monkeypatch):
         yield series.sequential_differences(df, 5)
         yield series.count_changepoints(df, 8)
         yield cooc.exploded(cooc.contexts(tokens, windows, long=long))
+        for how in ({}, {"normalize": False}, {"mask": 3}):
+            yield cooc.context_pairs(tokens, windows, long=long, **how)
         yield cooc.exploded(cooc.timed_contexts(timed, windows, long=long))
         yield grams.ngrams(words, 4, "subgrams", long=long)
         yield grams.pairs_after(tokens, 6, harmonic, long=long)
@@ -700,6 +702,8 @@ def test_long_sequences_are_cut_into_blocks(spark, monkeypatch):
 
     pack = lambda df: Counter(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
     whole = [pack(r) for r in results()]
+    for k, how in enumerate(({}, {"normalize": False}, {"mask": 3}), 4):
+        assert whole[k] == pack(cooc.exploded(cooc.contexts(tokens, windows, **how)))
     monkeypatch.setattr(halo, "LONG", 100)
     monkeypatch.setattr(halo, "BLOCK", 16)
     held = halo.blocked(df, "series_id", "pos", 3, 2)
@@ -979,3 +983,16 @@ def test_pairs_over_batches_of_a_stream(spark, tmp_path):
     table = spark.createDataFrame(rows, "doc_id bigint, pos int, idx int")
     want = grams.pairs_after(table, 4, lambda d: F.lit(float(d)))
     assert Counter(map(tuple, spark.table("pairs").collect())) == Counter((r["doc_id"], r["head"], r["tail"], int(r["w"])) for r in want.collect())
+
+
+def test_rows_em_is_row_em_of_each():
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(1, 30, n).astype(float) for n in (1, 7, 40, 3, 0, 12)]
+    backs = [rng.random(len(r)) + 0.01 for r in rows]
+    own, mix = weight.rows_em(np.concatenate(rows), np.concatenate(backs), np.array([len(r) for r in rows]))
+    at = 0
+    for k, (x, b) in enumerate(zip(rows, backs, strict=True)):
+        if len(x):
+            want, m = weight.row_em(x, b)
+            assert own[at : at + len(x)] == pytest.approx(want, abs=1e-9) and mix[k] == pytest.approx(m, abs=1e-9)
+        at += len(x)
