@@ -23,10 +23,19 @@ def cast_tokens(c: Column | str, nested: bool = False) -> Column:
 
 
 def check_token_type(df: DataFrame, column: str = "tokens") -> None:
-    """A column type makes tokens alike; types that do not sort and compare are refused."""
-    kind = df.schema[column].dataType
+    """A column type makes tokens alike; types that do not sort and compare are refused. Tokens that are
+    variants are counted by their types, and more than one is an error that names them."""
+    kind, rows = df.schema[column].dataType, df.select(F.col(column).alias("t"))
     while isinstance(kind, T.ArrayType):
-        kind = kind.elementType
+        kind, rows = kind.elementType, rows.select(F.explode("t").alias("t"))
+    if isinstance(kind, T.VariantType):
+        # a decimal's precision and scale are its digits', not a type of its own
+        named = F.regexp_replace(F.schema_of_variant("t"), r"\(.*\)", "")
+        found = {r["kind"]: r["n"] for r in rows.where(F.col("t").isNotNull()).groupBy(named.alias("kind")).agg(F.count("*").alias("n")).limit(100).collect()}
+        found.pop("VOID", None)  # nulls
+        if len(found) > 1 or any("<" in k for k in found):
+            raise ValueError(f"tokens must be of one simple type, found {found}; cast them to strings")
+        return
     if not isinstance(kind, (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
         raise ValueError(f"tokens must be of one simple type, not {kind.simpleString()}")
 

@@ -996,3 +996,12 @@ def test_rows_em_is_row_em_of_each():
             want, m = weight.row_em(x, b)
             assert own[at : at + len(x)] == pytest.approx(want, abs=1e-9) and mix[k] == pytest.approx(m, abs=1e-9)
         at += len(x)
+
+
+def test_tokens_of_one_type(spark):
+    parse = lambda *docs: spark.createDataFrame([(d,) for d in docs], "s string").select(F.transform(F.from_json("s", "array<variant>"), lambda v: v).alias("tokens"))
+    T.check_token_type(parse("[1, 2, 30]", "[4]", "[]"))
+    T.check_token_type(parse('["a", "b"]', "[null]"))
+    for mixed in (('[1, "foo"]',), ("[1]", '["a"]'), ("[[1]]",)):
+        with pytest.raises(ValueError, match="one simple type"):
+            T.check_token_type(parse(*mixed))
