@@ -171,4 +171,14 @@ SQL: dict[str, str] = {
       f AS (SELECT path_id, sum(a) AS x, sum(b) AS y, sum(s0 * a + a * a / 2) AS xx, sum(s0 * b + a * b / 2) AS xy, sum(s1 * b + b * b / 2) AS yy,
             sum(s00 * b + s0 * a * b / 2 + a * a * b / 6) AS xxy, sum(s01 * b + s0 * b * b / 2 + a * b * b / 6) AS xyy FROM e GROUP BY 1)
       SELECT path_id, round(x, 3) AS l_0, round(y, 3) AS l_1, round(xy - x * y / 2, 3) AS l_01, round(xxy - (x * xy + xx * y) / 2 + x * x * y / 3, 3) AS l_001, round(xyy - (x * yy + xy * y) / 2 + x * y * y / 3, 3) AS l_011 FROM f""",
+    "row_denoise_mass": MAT.replace("WITH tok", "WITH RECURSIVE tok", 1) + """, bg AS (SELECT col_id, sum(value) AS mass FROM m GROUP BY 1),
+      e0 AS (SELECT row_id, col_id, value / sum(value) OVER r AS x, mass / sum(mass) OVER r AS b FROM m JOIN bg USING (col_id) WINDOW r AS (PARTITION BY row_id)),
+      it AS (SELECT row_id, x, b, (x + b) / 2 AS own, 0.5::DOUBLE AS mix, -1.0::DOUBLE AS was, 0 AS k FROM e0
+        UNION ALL SELECT row_id, x, b, got / part, (part + 0.5) / 2, mix, k + 1 FROM (SELECT *, sum(got) OVER (PARTITION BY row_id) AS part FROM (SELECT *, x * (own * mix) / (own * mix + b * (1 - mix)) AS got FROM it WHERE abs(mix - was) > 1e-7 AND mix > 1e-7 AND mix < 1 - 1e-7)))
+      SELECT row_id, round(t * mix, 4) AS mass FROM (SELECT row_id, arg_max(mix, k) AS mix FROM it GROUP BY 1) JOIN (SELECT row_id, sum(value) AS t FROM m GROUP BY 1) USING (row_id)""",
+    "lz_events": """WITH RECURSIVE s AS (SELECT user_id AS id, string_agg(event_type[1], '' ORDER BY ts, event_id) AS s FROM events WHERE event_type IS NOT NULL GROUP BY 1),
+      p AS (SELECT id, s, 0 AS e, 0 AS start, CAST([] AS VARCHAR[]) AS seen FROM s
+        UNION ALL SELECT id, s, e + 1, CASE WHEN list_contains(seen, substr(s, start + 1, e - start)) THEN start ELSE e END,
+          CASE WHEN list_contains(seen, substr(s, start + 1, e - start)) THEN seen ELSE list_append(seen, substr(s, start + 1, e - start)) END FROM p WHERE e < length(s))
+      SELECT id, CAST(len(seen) AS BIGINT) AS phrases, CAST(e AS BIGINT) AS n, CAST(list_max(list_transform(seen, lambda x: length(x))) AS INTEGER) AS longest FROM p WHERE e = length(s)""",
 }

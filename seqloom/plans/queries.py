@@ -428,6 +428,22 @@ def row_denoise(spark, d):
     return weight.denoise_rows(_matrix(spark, d)).select("row_id", "col_id", _r("value").alias("value"))
 
 
+@query
+def row_denoise_mass(spark, d):
+    """What of each document's counts is its own."""
+    return weight.denoise_rows(_matrix(spark, d)).groupBy("row_id").agg(_r(F.sum("value"), 4).alias("mass"))
+
+
+@query
+def lz_events(spark, d):
+    """Phrases of each user's events, a letter an event."""
+    e = _t(spark, d, "events").where(F.col("event_type").isNotNull())
+    parts = F.array_sort(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 1).alias("c"))))
+    strings = e.groupBy("user_id").agg(F.array_join(F.transform(parts, lambda x: x["c"]), "").alias("s"))
+    out = codecs.lz_counts(strings, "user_id", "s").groupBy("id")
+    return out.agg(F.count("*").alias("phrases"), F.sum("n").alias("n"), F.max(F.char_length("phrase")).alias("longest"))
+
+
 @query
 def bag_mean_vector(spark, d):
     e = _t(spark, d, "embeddings").where(F.col("embedding").isNotNull() & F.col("label").isNotNull())
