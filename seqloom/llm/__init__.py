@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline: URL rules, quality, mixing, near-duplicates,
-tokenisation, sharding, decontamination and boilerplate lines.
+tokenisation, sharding, decontamination, boilerplate lines, ranked search, spelling variants and
+language identification.
 
 Nothing outside this subpackage imports it.
 """
