@@ -165,8 +165,8 @@ def solve_transport(p: np.ndarray, q: np.ndarray, cost: np.ndarray, start: np.nd
     flow = np.zeros((n, m))
     for x, up in enumerate(tree.parent):
         if up >= 0:
-            flow[(x, up - n) if x < n else (up, x - n)] = max(0.0, tree.flow[x])
-    return flow, tree.v
+            flow[(x, up - n) if x < n else (up, x - n)] = tree.flow[x]
+    return np.where(flow > 1e-12, flow, 0.0), tree.v
 
 
 def sinkhorn_plans(masses: list[np.ndarray], q: np.ndarray, costs: list[np.ndarray], regularization: float = 0.05, rounds: int = 1000, tolerance: float = 1e-9) -> list[np.ndarray]:
