@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialize
 from . import linalg
 
 
@@ -307,6 +308,7 @@ def ot_vectors(packed: DataFrame, reference: Reference, method: str = "exact", m
 def compressed(rows: DataFrame, k: int = 128, n_iter: int = 7, sketch: int | None = None) -> tuple[linalg.Factors, DataFrame]:
     """(factors, (row_id, embedding)) of dense rows (row_id, vec). sketch: singular vectors in one pass,
     from so many frequent directions, for rows that are dear to make again."""
+    rows = materialize(rows, "vectors")  # read several times, dear to make
     first = rows.first()
     d = len(first["vec"]) if first else 0
     coo = rows.select("row_id", F.posexplode("vec").alias("col_id", "value"))
