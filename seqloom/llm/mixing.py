@@ -162,12 +162,13 @@ def _running(rows: DataFrame) -> DataFrame:
     and class_size, through exact sums of hash buckets."""
     rows = rows.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(-1).cast("int"))
     # equal rows share a hash; where they are many they are dealt out, since which is which does not matter
-    many = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_A_BUCKET).select("h", F.lit(True).alias("many")), "many")
-    place = F.col("h")
-    if not many.isEmpty():
-        rows = rows.join(many, "h", "left")
-        place = F.when(F.col("many"), F.xxhash64("h", F.monotonically_increasing_id())).otherwise(place)
-    rows = materialize(rows.select("id", "source", "size", "h", "class", place.alias("place")), "places")
+    many = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_A_BUCKET).select("h", F.lit(True).alias("many"))
+    if many.isEmpty():
+        rows = rows.withColumn("place", F.col("h"))
+    else:
+        place = F.when(F.col("many"), F.xxhash64("h", F.monotonically_increasing_id())).otherwise(F.col("h"))
+        rows = rows.join(many, "h", "left").select("id", "source", "size", "h", "class", place.alias("place"))
+        rows = materialize(rows, "places")
     buckets = max(1, rows.count() // ROWS_A_BUCKET)
     rows = rows.withColumn("bucket", F.floor(F.shiftrightunsigned("place", 12) / float(1 << 52) * buckets).cast("int"))
     group = ["source", "class", "bucket"]

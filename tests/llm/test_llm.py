@@ -339,6 +339,16 @@ def test_stage_is_simhash_over_segments():
     assert len(flips) == 63 and sum(all(not (long == x and shift <= y < shift + size) for x, y in flips) for long, shift, size, _ in segments) == 1
 
 
+def test_mix_writes_no_places_where_few_rows_are_equal(spark, small, monkeypatch):
+    tags = []
+    keep = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, tag: tags.append(tag) or keep(df, tag))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    few = mixing.plan(docs).orderBy("id").collect()
+    assert not {"many", "places"} & {*tags}
+    assert len(few) == docs.count()
+
+
 # 5 and 7
 
 
