@@ -275,7 +275,8 @@ def _cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _hot_links(hot_keys: DataFrame, nodes: DataFrame, how: SimHash) -> DataFrame:
     """hot_keys(seg, v, id, probe): all rows of the hot buckets. nodes(id, of): what decides a
     link."""
-    left, right = _cells(hot_keys.join(nodes, "id").select("seg", "v", "id", "probe", "of"))
+    # the blocks and both sides read these rows, which are joined once
+    left, right = _cells(materialize(hot_keys.join(nodes, "id").select("seg", "v", "id", "probe", "of"), "hot"))
 
     def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
