@@ -44,7 +44,7 @@ class SimHash:
     distinct shingles; pairs that the index finds are dropped where their last longs differ in
     more than `distance` bits, and link if their sets of shingles of overlap_words words
     overlap (shared over all) by at least that, counted for each pair. The last long is then in
-    no segment, and a digest of the set of shingles follows the fingerprint."""
+    no segment, and a digest and the size of the set of shingles follow the fingerprint."""
 
     words: int = 3
     longs: int = 1
@@ -83,12 +83,12 @@ def fingerprint(text: str | None, how: SimHash) -> list[int]:
     """Unsigned longs of a text; a bit is 1 if it is set in over half the hashes."""
     words = _words(text)
     if not words:
-        return [0] * (how.longs + how.exact)
+        return [0] * (how.longs + 2 * how.exact)
     if not how.exact:
         return _longs(_hashes(words, how.words), how.longs)
     each = _word_hashes(words)
     prints, sets = (np.unique(_joined(each, n)) for n in (how.words, how.overlap_words))
-    return [*_signs(prints, how.longs), xxhash.xxh64_intdigest(sets.tobytes(), 42)]
+    return [*_signs(prints, how.longs), xxhash.xxh64_intdigest(sets.tobytes(), 42), len(sets)]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -177,7 +177,8 @@ def _flips(segment: int, value: Column, bits: int) -> Column:
 def _keys(fps: DataFrame, how: SimHash) -> DataFrame:
     """Rows (seg, v, id, probe): each fingerprint once in each segment's table, and a probe for
     each other value of its ball. Of two values at distance 1 only the one whose bit is 0
-    probes, which finds the pair once. With how.exact, `last` is the last long."""
+    probes, which finds the pair once. With how.exact, `last` is the last long and `size` the
+    number of distinct shingles."""
     fp, rows = F.col("fp"), []
     for i, seg in enumerate(_segments(how)):
         value = _value(fp, seg)
@@ -186,9 +187,9 @@ def _keys(fps: DataFrame, how: SimHash) -> DataFrame:
             if r > 1:
                 raise ValueError("segment radii are 0 or 1")
             rows.append(_flips(i, value, seg[2]))
-    last = [fp[how.longs - 1].alias("last")] if how.exact else []
-    keys = fps.select("id", *last, F.explode(F.flatten(F.array(*rows))).alias("k"))
-    return keys.select("id", "k.seg", "k.v", "k.probe", *["last"] * how.exact)
+    more = {"last": fp[how.longs - 1], "size": fp[how.longs + 1]} if how.exact else {}
+    keys = fps.select("id", *[c.alias(k) for k, c in more.items()], F.explode(F.flatten(F.array(*rows))).alias("k"))
+    return keys.select("id", "k.seg", "k.v", "k.probe", *more)
 
 
 def _distance(a: str, b: str, how: SimHash) -> Column:
@@ -246,18 +247,25 @@ def _overlapping(sets_a: list[np.ndarray], sets_b: list[np.ndarray], overlap: fl
     return linked
 
 
+def _blocks(longs: Column) -> list[Column]:
+    """Sums over a bucket: `own` and `foreign`, the numbers of blocks of its table rows and of its
+    probes, each row with so many longs to compare."""
+    count = lambda c: (F.count_if(c), F.sum(F.when(c, longs).otherwise(0)))
+    # hashing deals unevenly, so more than one block are planned three quarters full
+    part = lambda n, most: F.when(n <= most, F.lit(1)).otherwise(F.ceil(n * 4 / (3 * most)))
+    number = lambda c: F.greatest(part(count(c)[0], BLOCK), part(count(c)[1], BLOCK_LONGS)).cast("int")
+    return [number(~F.col("probe")).alias("own"), number(F.col("probe")).alias("foreign")]
+
+
 def _cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows(seg, v, id, probe, of) of hot buckets -> the two sides of their cells, (seg, v,
     probes, i, j, id, of). Table rows and probes are dealt into blocks of their own, by their own
     counts; a cell is two blocks of table rows, or one of table rows and one of probes. A block
-    has at most about BLOCK rows and BLOCK_LONGS longs, unless a single row has more."""
+    has at most about BLOCK rows and BLOCK_LONGS longs, unless a single row has more. The numbers
+    of blocks are counted here unless the rows have them."""
     probe = F.col("probe")
-    count = lambda c: (F.sum(F.when(c, 1).otherwise(0)), F.sum(F.when(c, F.size("of")).otherwise(0)))
-    # hashing deals unevenly, so more than one block are planned three quarters full
-    part = lambda n, most: F.when(n <= most, F.lit(1)).otherwise(F.ceil(n * 4 / (3 * most)))
-    number = lambda c: F.greatest(part(count(c)[0], BLOCK), part(count(c)[1], BLOCK_LONGS)).cast("int")
-    blocks = rows.groupBy("seg", "v").agg(number(~probe).alias("own"), number(probe).alias("foreign"))
-    rows = rows.join(blocks, ["seg", "v"])
+    if "own" not in rows.columns:
+        rows = rows.join(rows.groupBy("seg", "v").agg(*_blocks(F.size("of"))), ["seg", "v"])
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda first, last: F.sequence(F.lit(first) if isinstance(first, int) else first, last)
     cell = lambda probes, i, j: F.struct(F.lit(probes).alias("probes"), i.alias("i"), j.alias("j"))
@@ -273,10 +281,10 @@ def _cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _hot_links(hot_keys: DataFrame, nodes: DataFrame, how: SimHash) -> DataFrame:
-    """hot_keys(seg, v, id, probe): all rows of the hot buckets. nodes(id, of): what decides a
-    link."""
-    # the blocks and both sides read these rows, which are joined once
-    left, right = _cells(materialize(hot_keys.join(nodes, "id").select("seg", "v", "id", "probe", "of"), "hot"))
+    """hot_keys(seg, v, id, probe, own, foreign): all rows of the hot buckets. nodes(id, of): what
+    decides a link."""
+    # both sides read these rows, which are joined once
+    left, right = _cells(materialize(hot_keys.join(nodes, "id").select("seg", "v", "id", "probe", "own", "foreign", "of"), "hot"))
 
     def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -301,13 +309,14 @@ def links(fps: DataFrame, how: SimHash, texts: DataFrame | None = None) -> DataF
     that meet another are read again for their shingles."""
     # with many segments they are taken from the fingerprints twice rather than written
     keys = _keys(fps, how) if how.exact else materialize(_keys(fps, how), "segments")
-    # a bucket of one row has no pair: only rows of the others are exchanged again
-    sizes = keys.groupBy("seg", "v").agg(F.count("*").alias("rows"), F.count_if(~F.col("probe")).alias("n"))
-    sizes = materialize(sizes.where((F.col("rows") > 1) & (F.col("n") > 0)).select("seg", "v", "n"), "buckets")
-    shared = materialize(keys.join(sizes, ["seg", "v"]), "shared")
+    # a bucket of one row has no pair: only rows of the others are exchanged again; they take the
+    # numbers of blocks along, so that rows of hot buckets need not be counted and joined anew
+    sizes = keys.groupBy("seg", "v").agg(F.count("*").alias("rows"), F.count_if(~F.col("probe")).alias("n"), *_blocks(F.col("size") if how.exact else F.lit(how.longs)))
+    sizes = materialize(sizes.where((F.col("rows") > 1) & (F.col("n") > 0)).drop("rows"), "buckets")
+    shared = materialize(keys.drop("size").join(sizes, ["seg", "v"]), "shared")
     release(keys, sizes)
     hot = F.col("n") > (HOT if how.hot is None else how.hot)
-    hot_keys, cool = shared.where(hot).drop("n"), shared.where(~hot).drop("n")
+    hot_keys, cool = shared.where(hot).drop("n"), shared.where(~hot).drop("n", "own", "foreign")
     any_hot = not hot_keys.isEmpty()
     side = lambda df, end, *more: df.select("seg", "v", F.col("id").alias(end), *more, *[F.col("last").alias(f"last_{end}")] * how.exact)
     met = side(cool.where(~F.col("probe")), "a").join(side(cool, "b", "probe"), ["seg", "v"])

@@ -317,6 +317,29 @@ def test_stage_links_by_the_overlap_of_shingles(spark, monkeypatch, hot, block):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(group))
 
 
+@pytest.mark.parametrize("how", [simhash.SimHash(), simhash.STAGE])
+def test_rows_of_hot_buckets_are_joined_with_their_counts_once(spark, monkeypatch, how):
+    """Copies that all differ share buckets; their numbers of blocks come with the bucket's size,
+    by rows and by the longs that a cell compares, and no further join on a bucket follows."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "BLOCK_LONGS", 40 * 56)
+    rng = np.random.default_rng(14)
+    base = [f"w{rng.integers(10**6)}" for _ in range(60)]
+    texts = [" ".join([*base[:-1], f"n{k}"]) for k in range(60)]
+    kind = type(spark.range(0))
+    cells, joins, keep, plain = [], [], simhash._cells, kind.join
+    monkeypatch.setattr(simhash, "_cells", lambda rows: cells.append(rows) or keep(rows))
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, *a: joins.append(on) or plain(self, other, on, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = simhash.near_duplicates(df, dataclasses.replace(how, hot=0)).collect()
+    assert len(got) == 60 and (not how.exact or {r["component_id"] for r in got} == {0})
+    want = cells[0].groupBy("seg", "v").agg(*simhash._blocks(F.size("of")))
+    numbers = cells[0].select("seg", "v", "own", "foreign").distinct()
+    assert sorted(map(tuple, numbers.collect())) == sorted(map(tuple, want.collect()))
+    assert not how.exact or want.agg(F.max("own")).first()[0] > 1
+    assert joins.count(["seg", "v"]) == 2  # keys with sizes, and pairs of cool buckets
+
+
 def test_stage_is_simhash_over_segments():
     """Bits are majorities over the distinct shingles, so they differ as the angle of two texts
     does; and 63 of the bits of the index can't touch all of its segments."""
