@@ -27,8 +27,12 @@ _LEAST, _MOST = "¡", "ɏ"
 #: begin a word of letters.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SAFE = bytes([10, *range(32, 127)])
+#: What stands for a frequent mark that closes a word, once it is cut off. No text that is cut has it.
+_CLOSING = {",": "\x01", ".": "\x02"}
+#: Bytes of UTF-8 as blanks, letters and digits (all beyond ASCII too), and marks.
+_KINDS = bytes(32 if b in b"\n " else 97 if b > 127 or chr(b).isalnum() else 33 for b in range(256))
 #: Pieces kept in each of two generations, about 160 bytes each.
-_CACHE = 200_000
+_CACHE = 300_000
 
 
 class _Pieces(dict):
@@ -45,7 +49,7 @@ class _Pieces(dict):
         self.blank = before and self.split(f"a{before}b")[1][0][0]
         self.letters = {c: self.split(chr(c))[0][0] for c in range(ord(_LEAST), ord(_MOST) + 1)}
         self.bytes_of = [i.to_bytes(4, "little") for i in range(1 + max(tok.get_vocab().values()))]
-        self.marks: dict[str, bytes] = {}
+        self.marks = {stand_in: self._words(mark) for mark, stand_in in _CLOSING.items()}
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
@@ -62,14 +66,13 @@ class _Pieces(dict):
         return found
 
     def _mixed(self, piece: str) -> bytes:
+        if piece in self.marks:
+            return self.marks[piece]
         if piece[:1] == "\n" and self.first is not None:
             return self.first["\n"] + self.first[piece[1:]] if piece[1:] else self.first["\n"]
         body = piece.rstrip(_MARKS)
         if body.isalpha():
-            marks = piece[len(body) :]
-            if marks not in self.marks:
-                self.marks[marks] = self._words(marks)
-            return self[body] + self.marks[marks]
+            return self[body] + self._words(piece[len(body) :])
         return self._words(self.before + piece)
 
     def _words(self, text: str) -> bytes:
@@ -127,6 +130,21 @@ class Encoder:
         """The first word, and pieces: what follows a blank, or a line feed and what follows it."""
         return text.replace("\n", " \n").split(" ")
 
+    @staticmethod
+    def _cut_marks(text: str) -> list[str]:
+        """As _cut(), for texts that can be cut, and commas and full stops before a blank or a line
+        feed are pieces of their own. They are words of the pre-tokeniser if each follows a letter
+        or digit, so texts where one may not are cut as by _cut()."""
+        kinds = text.encode("utf-8")
+        beyond = b"" if text.isascii() else kinds.translate(None, _SAFE)
+        kinds = kinds.translate(_KINDS)
+        if b"!! " in kinds or b" ! " in kinds or beyond and not beyond.decode("utf-8").isalpha():
+            return Encoder._cut(text)
+        text = text.replace("\n", " \n")
+        for mark, stand_in in _CLOSING.items():
+            text = text.replace(f"{mark} ", f" {stand_in} ")
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return self.whole(texts)
@@ -134,7 +152,7 @@ class Encoder:
         rest, first, odd = self.rest.__getitem__, self.first.__getitem__, []
         for i, text in enumerate(texts):
             if self._can_cut(text):
-                cut = self._cut(text)
+                cut = self._cut_marks(text)
                 out.append(first(cut[0]) + b"".join(map(rest, islice(cut, 1, None))))
             else:
                 odd.append(i)

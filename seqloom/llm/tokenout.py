@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,11 @@ from .encoder import batches_of, encoder
 
 CHUNK_BYTES, CHUNK_DOCS, BUCKET_KEYS, GAMMA, LEVELS = 4 << 20, 8192, 20_000, 2.0, 40
 _CHUNK = "shard int, chunk int, first bigint, payload binary, keys array<bigint>, times array<bigint>, lengths array<bigint>"
+_LONGS = pa.list_(pa.int64())
+_CHUNK_ARROW = pa.schema({"shard": pa.int32(), "chunk": pa.int32(), "first": pa.int64(), "payload": pa.binary(), "keys": _LONGS, "times": _LONGS, "lengths": _LONGS})
 _NULL_KEY = -(1 << 63)
+#: Texts that are Python strings at once; a batch of Arrow holds the others.
+_TEXTS = 256
 
 
 def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text") -> None:
@@ -44,36 +49,36 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int, id: str =
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").drop("h")
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         chunk, first, size = 0, 0, 0
         held: list[tuple[int, int, bytes]] = []
         last, times = None, 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             keys, seen, bodies = zip(*held, strict=True)
-            return pd.DataFrame({
-                "shard": [shard], "chunk": [chunk], "first": [first], "payload": [b"".join(bodies)],
-                "keys": [list(keys)], "times": [list(seen)], "lengths": [[len(b) // 4 for b in bodies]],
-            })
-
-        for df in frames:
-            keys, texts = df["key"].tolist(), df["text"].tolist()
-            for a, b in batches_of(texts):
-                for key, ids in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
-                    times = times + 1 if key == last else 0
-                    last = key
-                    held.append((key, times, ids + end))
-                    size += len(ids) + 4
-                    if size >= CHUNK_BYTES or len(held) >= CHUNK_DOCS:
-                        yield flush()
-                        chunk, first, size = chunk + 1, first + size // 4, 0
-                        held.clear()
+            row = [shard, chunk, first, b"".join(bodies), keys, seen, [len(b) // 4 for b in bodies]]
+            return pa.RecordBatch.from_pylist([dict(zip(_CHUNK_ARROW.names, row, strict=True))], _CHUNK_ARROW)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS):
+                some = batch.slice(at, _TEXTS).to_pydict()
+                keys, texts = some["key"], some["text"]
+                for a, b in batches_of(texts):
+                    for key, ids in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
+                        times = times + 1 if key == last else 0
+                        last = key
+                        held.append((key, times, ids + end))
+                        size += len(ids) + 4
+                        if size >= CHUNK_BYTES or len(held) >= CHUNK_DOCS:
+                            yield flush()
+                            chunk, first, size = chunk + 1, first + size // 4, 0
+                            held.clear()
         if held:
             yield flush()
 
-    rows.mapInPandas(encode, _CHUNK).write.parquet(out)
+    rows.mapInArrow(encode, _CHUNK).write.parquet(out)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -391,6 +391,31 @@ def test_encoder_is_the_library(library, spark, small):
         assert np.frombuffer(g, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_closing_marks_are_pieces_of_their_own(library):
+    """Words that commas and full stops close are learnt once, with whatever mark; marks that do
+    not stand alone after a letter or digit are encoded as the library does."""
+    enc = encoder.Encoder(tokenizer_file())
+    texts = ["vorla, vorla. vorla vorla,\nvorla.\n\nvorla 12, 1.5, 7. été, été. été", "vorla.", ", vorla", ". vorla", "vorla ,vorla"]
+    odd = ["vorla , x", "vorla., x", "vorla,, x", "(vorla), x", "vorla', x", "vorla'. S", "vorla \n, x", "x\n, vorla", "été« , x", "été», x", "½, x", "a. . b", "._. a", "\u0378, x", "a,\n\n b", "\u0149. a", "º, ª. x", "²,  x", "a,\nb.\n"]
+    for t, g in zip([*texts, *odd], enc.encode([*texts, *odd]), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    enc = encoder.Encoder(tokenizer_file())
+    enc.encode(["x " + "vorla, vorla. " * 3 + "vorla"])
+    assert [p for p in enc.rest if "vorla" in p] == ["vorla"]
+
+
+def test_few_texts_are_strings_at_once(spark, monkeypatch, tmp_path):
+    """Files are the same however many texts of an Arrow batch become strings at once."""
+    rows = [(i // 2, f"vorla {i}, wek. " * (i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = []
+    for n in (3, 256):
+        monkeypatch.setattr(tokenout, "_TEXTS", n)
+        got = tokenout.round_trip(df, tokenizer_file(), out=str(tmp_path / str(n)))
+        found.append(sorted(map(tuple, got.collect())))
+    assert found[0] == found[1] and len(found[0]) == 40
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(tokencount.CHUNK, tokencount.OVERLAP), (300, 40), (90, 34)])
 def test_token_counts(docs, library, chunk, overlap):
     got = tokencount.count_tokens(docs, tokenizer_file(), chunk=chunk, overlap=overlap)
