@@ -40,7 +40,7 @@ _LONGS = pa.list_(pa.int64())
 _CHUNK_ARROW = pa.schema({"shard": pa.int32(), "chunk": pa.int32(), "first": pa.int64(), "payload": pa.binary(), "keys": _LONGS, "times": _LONGS, "lengths": _LONGS})
 _NULL_KEY = -(1 << 63)
 #: Texts that are Python strings at once; a batch of Arrow holds the others.
-_TEXTS = 256
+_TEXTS = 512
 
 
 def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text") -> None:
@@ -65,7 +65,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int, id: str =
             for at in range(0, batch.num_rows, _TEXTS):
                 some = batch.slice(at, _TEXTS).to_pydict()
                 keys, texts = some["key"], some["text"]
-                for a, b in batches_of(texts):
+                for a, b in batches_of(texts, 2_000_000):
                     for key, ids in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
                         times = times + 1 if key == last else 0
                         last = key

@@ -404,6 +404,20 @@ def test_closing_marks_are_pieces_of_their_own(library):
     assert [p for p in enc.rest if "vorla" in p] == ["vorla"]
 
 
+def test_repeated_pieces_cost_once(library, monkeypatch):
+    """A piece is looked up once for all texts of a call, and a run of marks that closes words is
+    encoded once whatever the word; texts that are cut and others keep their order."""
+    texts = ["x vorla wek vorla", "wek  vorla", "", "vorla wek", "été vorla%%% wek%%% x%%%", "\nvorla\nwek", " ", "\n", "a ", " \x03", "x vorla"] * 3
+    enc = encoder.Encoder(tokenizer_file())
+    runs, seen, split = [], [], enc.rest.split
+    enc.rest.split = lambda text: runs.append(text) or split(text)
+    monkeypatch.setattr(encoder._Pieces, "__getitem__", lambda self, piece: seen.append((self is enc.rest, piece)) or dict.__getitem__(self, piece) if piece in self else self.__missing__(piece), raising=False)
+    for t, g in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert runs.count("%%%") == 1
+    assert seen.count((True, "vorla")) <= 2  # "vorla%%%" asks for it again
+
+
 def test_few_texts_are_strings_at_once(spark, monkeypatch, tmp_path):
     """Files are the same however many texts of an Arrow batch become strings at once."""
     rows = [(i // 2, f"vorla {i}, wek. " * (i % 5)) for i in range(40)]
