@@ -746,6 +746,15 @@ def test_ngram_rows_with_masks_and_variable_windows(seqs):
     assert {tuple(r["token"]) for r in pruned.gram_vocab.collect()} == {("a", "b"), ("<m>", "<m>")}
 
 
+@pytest.mark.parametrize("mask", [None, 1])
+def test_multiset_cells_are_sums_of_multiset_pairs(spark, mask):
+    rows = [(d, s, i, (7 * d + 3 * s + i * i) % 4) for d in range(3) for s in range(4) for i in range(5)] + [(9, 0, 0, 2), (9, 2, 0, 2)]
+    sets = spark.createDataFrame(rows, "doc_id bigint, set_pos int, item_pos int, idx bigint")
+    windows = [WindowSpec("before", 2, geometric(0.5)), WindowSpec("after", 1, lambda d: F.lit(1.0 / (d + 1)), 3.0), WindowSpec("after", 0)]
+    want = cells(cooc.cells(cooc.multiset_pairs(sets, windows, mask=mask)), "row_id", "w", "c")
+    assert want and cells(cooc.multiset_cells(sets.drop("item_pos"), windows, mask), "row_id", "w", "c") == want
+
+
 def test_multisets_with_windows_and_masks(spark):
     sets = [[["a", "b"], ["c"], ["a", "x"], []], [["b", "b"], ["y", "a"]]]
     df = spark.createDataFrame(list(enumerate(sets)), "doc_id bigint, sets array<array<string>>")

@@ -42,3 +42,25 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(SQL) <= set(QUERIES)
+
+
+def test_multisets_do_not_depend_on_the_order_of_lines(spark, db, small, monkeypatch):
+    """Lines of an order share numbers, so a plan that ranks them and reads its tables several times
+    ranks them differently each time. Here rows come in another order whenever they are read."""
+    import numpy as np
+
+    from seqloom.plans import queries
+
+    read = queries._t
+
+    def shuffled(spark, d, name):
+        df = read(spark, d, name).coalesce(1)
+        return df.mapInPandas(lambda frames: (f.sample(frac=1, random_state=np.random.default_rng()) for f in frames), df.schema)
+
+    monkeypatch.setattr(queries, "_t", shuffled)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = QUERIES["cooc_multiset"](spark, small).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert rows(got) == rows(db.sql(SQL["cooc_multiset"]).df())
