@@ -1014,3 +1014,14 @@ def test_tokens_of_one_type(spark):
     for mixed in (('[1, "foo"]',), ("[1]", '["a"]'), ("[[1]]",)):
         with pytest.raises(ValueError, match="one simple type"):
             T.check_token_type(parse(*mixed))
+
+
+def test_grams_are_not_counted_in_the_task_of_their_window(seqs):
+    """What a hash aggregate holds in a window's task the window can't get, so an exchange lies between."""
+    tokens = S.tokens_of_arrays(seqs(TEXTS))
+    model = E.NgramVectorizer(ngram_size=2).fit(seqs(TEXTS))
+    for df in (grams.ngram_counts(tokens, 2, "subgrams")[1], grams.count_matrix(grams.ngrams(tokens, 2), model.columns)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        at = next(i for i, line in enumerate(plan) if " Window [" in line)
+        above = [line for line in reversed(plan[:at]) if "Exchange" in line or "HashAggregate" in line]
+        assert "Exchange" in above[0] and "HashAggregate" in above[1]
