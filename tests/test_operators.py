@@ -856,6 +856,26 @@ def test_bpe_merges_are_those_of_the_plain_loop(spark, monkeypatch, held):
     assert all(got[i] == c for i, c in enumerate(codes)) and got[999] == []
 
 
+def test_bpe_holds_few_codes_and_tokens_at_once(spark, monkeypatch):
+    """Blocks of codes are small in an executor, and batches of encoded strings are bounded by their
+    characters, whatever a batch of Arrow holds."""
+    import pyarrow as pa
+
+    texts = ["vorla wek, été " * 5_000, None, "", "x", *["wek vorla " * 2_000] * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, s string").repartition(1)
+    codes = sum(len(t or "") for t in {*texts})
+    assert codecs._blocks(df.where("s IS NOT NULL"), 0x110000).agg(F.sum(F.octet_length("codes"))).first()[0] < codes
+    merges = codecs.Merges(0x110000, [(ord("w"), ord("e")), (0x110000, ord("k"))])
+    made, mapped = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: made.append(f) or mapped(self, f, *a, **b))
+    got = {r["id"]: r["tokens"] for r in codecs.bpe_encode(df, merges).collect()}
+    batches = list(made[0](iter([pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "s": texts})])))
+    assert len(batches) > 1 and all(len(pa.Table.from_batches([b])["tokens"].combine_chunks().flatten()) <= codecs.BLOCK_CODES for b in batches)
+    rows = [(r["id"], r["tokens"]) for b in batches for r in b.to_pylist()]
+    assert [i for i, _ in rows] == list(range(len(texts)))
+    assert all(got[i] == t == [merges.text_of(c) for c in merges.encode(texts[i] or "")] for i, t in rows)
+
+
 def test_log_signatures_in_brackets():
     """Level 3 of three axis steps, by hand: the Baker-Campbell-Hausdorff series of x, y and z."""
     assert paths.bracket((0, 0, 1)) == {(0, 0, 1): 1, (0, 1, 0): -2, (1, 0, 0): 1}
